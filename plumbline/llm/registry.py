@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, media, ngram_join, pii, quality
 
-MODULES = (bpe,)
+MODULES = (media, quality, ngram_join, pii, bpe)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
