@@ -41,9 +41,9 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
 MARK_BITS = 22
 
 
-def marked_by(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """``df`` with ``marked``: false where the key is surely not among ``ids``, by a broadcast bitmap of 2**MARK_BITS bits."""
-    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << MARK_BITS))
+def marked_by(df: DataFrame, key: str, ids: DataFrame, bits: int = MARK_BITS) -> DataFrame:
+    """``df`` with ``marked``: false where the key is surely not among ``ids``, by a broadcast bitmap of 2**bits bits."""
+    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
     bit = lambda c: F.expr(f"shiftleft(1L, int({c} % 64))")
     words = ids.select(cell(ids[key]).alias("_cell")).groupBy(F.expr("_cell div 64").alias("_word")).agg(F.bit_or(bit("_cell")).alias("_bits"))
     found = df.withColumn("_cell", cell(df[key])).join(F.broadcast(words), F.expr("_cell div 64 = _word"), "left")
@@ -103,7 +103,8 @@ _BASE = np.uint64(0xD6E8FEB86659FD93)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    """The first n powers of ``base`` modulo 2**64."""
     out = np.full(n, base, np.uint64)
     out[:1] = 1
     return np.multiply.accumulate(out)
@@ -128,8 +129,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     last[edges - 1] = solid[edges - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_CODES[_LOWER[data]] * _powers(_BASE, n), out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * _powers(_BASE_INV, n)[starts] + (ends - starts).astype(np.uint64))
+    np.cumsum(_CODES[_LOWER[data]] * powers(_BASE, n), out=sums[1:])
+    hashes = mix((sums[ends] - sums[starts]) * powers(_BASE_INV, n)[starts] + (ends - starts).astype(np.uint64))
     rows = np.searchsorted(offsets, starts, "right") - 1
     return hashes, starts, ends, rows
 

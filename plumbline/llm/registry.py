@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, ngram_join, pii, quality
+from . import bpe, chat, decontaminate, licenses, media, ngram_join, pii, quality, substring_dedup, suffix_tree
 
-MODULES = (media, quality, ngram_join, pii, bpe)
+MODULES = (media, chat, quality, substring_dedup, ngram_join, pii, bpe, licenses, suffix_tree, decontaminate)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
