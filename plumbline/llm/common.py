@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_ROWS = 20_000
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,6 +95,39 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def summed_cells(df: DataFrame, count: Callable[[np.ndarray, pa.RecordBatch], None], size: int, parts: int = 64) -> np.ndarray:
+    """The sum over all batches of ``df`` of what ``count(cells, batch)`` adds to ``size`` cells, a table of fixed size.
+
+    Each task sends its cells once, packed in ``parts`` rows; few tasks add them up part by part as they stream by.
+    """
+    part = -(-size // parts)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(part * parts, np.int64)
+        for batch in batches:
+            count(cells, batch)
+        yield packed(dict(enumerate(cells.reshape(parts, part))))
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                cells = np.frombuffer(zlib.decompress(c), np.int64)
+                sums[p] = sums[p] + cells if p in sums else cells
+        if sums:
+            yield packed(sums)
+
+    def packed(cells: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(cells), pa.int32()), pa.array([zlib.compress(c.tobytes(), 1) for c in cells.values()], pa.binary())], names=["part", "cells"])
+
+    small_batches(df.sparkSession)
+    kind = "part int, cells binary"
+    out = np.zeros((parts, part), np.int64)
+    for r in df.mapInArrow(counted, kind).repartition(parts // 4, "part").mapInArrow(added, kind).toLocalIterator():  # ``parts`` rows
+        out[r.part] = np.frombuffer(zlib.decompress(bytes(r.cells)), np.int64)
+    return out.reshape(-1)[:size]
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -103,11 +137,17 @@ _BASE = np.uint64(0xD6E8FEB86659FD93)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: np.uint64, n: int) -> np.ndarray:
     """The first n powers of ``base`` modulo 2**64."""
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+    known = _POWERS.get(int(base))
+    if known is None or len(known) < n:
+        known = np.full(max(n, 1 << 16), base, np.uint64)
+        known[0] = 1
+        known = _POWERS[int(base)] = np.multiply.accumulate(known)
+    return known[:n]
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
