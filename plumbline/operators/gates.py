@@ -52,5 +52,5 @@ def not_finite(column: Column) -> Column:
 def union(*frames: DataFrame, tolerant: bool = False) -> DataFrame:
     """All rows, by column name; ``tolerant`` fills columns that some frames lack with null. None is an error."""
     if not frames:
-        raise ValueError("there is no table to read")
+        raise GateError("there is no table to read")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=tolerant), frames)
