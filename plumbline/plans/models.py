@@ -60,7 +60,7 @@ def e2_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def e3_mean_readout(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = E.readout(_residues(spark, sf_dir), "label", "mean")
-    return out.select("label", F.posexplode("vec").alias("i", "x")).select("label", "i", F.round(F.col("x").cast("double"), 4).alias("x"))
+    return out.select("label", F.posexplode("vec").alias("i", "x")).select("label", "i", (F.round(F.col("x").cast("double"), 4) + 0.0).alias("x"))
 
 
 def e4_at_position(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +74,7 @@ def e5_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = residues.select("label", F.pmod("label", F.lit(7)).alias("position")).distinct()
     wild = residues.where("label = 0").select("position", "vec")
     out = E.readout(residues, "label", "difference_at_position", wanted, wild)
-    return out.select("label", F.round(F.col("vec")[0].cast("double"), 5).alias("first"))
+    return out.select("label", (F.round(F.col("vec")[0].cast("double"), 5) + 0.0).alias("first"))
 
 
 def e6_cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -381,9 +381,9 @@ SQL = {
       s AS (SELECT "order", batch, sum(m * c) AS slots, sum(m * m * c) AS squares, sum(useful) AS useful FROM b GROUP BY ALL)
       SELECT s.batch, s."order", s.slots::BIGINT AS slots, s.squares::BIGINT AS square_slots, 1 - s.useful / s.slots AS waste, g.slots / s.slots AS reduction FROM s JOIN s g ON g.batch = s.batch AND g."order" = 'given'""",
     "e2_encoded": "SELECT doc_id, CASE WHEN trim(t) = '' THEN 0 ELSE length(t) END::DOUBLE AS v0, CASE WHEN trim(t) = '' THEN 0 ELSE length(t) - length(replace(t, ' ', '')) END::DOUBLE AS v1, coalesce(list_sum(list_transform(string_split(substr(t, 1, 50), ''), lambda c: unicode(c))), 0)::DOUBLE AS v2 FROM (SELECT doc_id, substr(text, 1, 1000) AS t FROM documents)",
-    "e3_mean_readout": _RES + "SELECT label, i::INT AS i, round(avg(x::DOUBLE)::FLOAT::DOUBLE, 4) AS x FROM (SELECT label, unnest(vec) AS x, unnest(range(64)) AS i FROM r) GROUP BY label, i",
+    "e3_mean_readout": _RES + "SELECT label, i::INT AS i, round(avg(x::DOUBLE)::FLOAT::DOUBLE, 4) + 0.0::DOUBLE AS x FROM (SELECT label, unnest(vec) AS x, unnest(range(64)) AS i FROM r) GROUP BY label, i",
     "e4_at_position": _RES + "SELECT label, vec[1]::DOUBLE AS first, vec[64]::DOUBLE AS last FROM r WHERE position = label % 7",
-    "e5_difference": _RES + "SELECT r.label, round((r.vec[1] - w.vec[1])::DOUBLE, 5) AS first FROM r JOIN r w ON w.label = 0 AND w.position = r.position WHERE r.position = r.label % 7",
+    "e5_difference": _RES + "SELECT r.label, round((r.vec[1] - w.vec[1])::DOUBLE, 5) + 0.0::DOUBLE AS first FROM r JOIN r w ON w.label = 0 AND w.position = r.position WHERE r.position = r.label % 7",
     "e6_cache_misses": f"SELECT DISTINCT sha256('{E.spec_text(SPEC)}' || chr(0) || text) AS item_key FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE doc_id % 3 = 0)",
     "e7_miss_reasons": "SELECT CASE WHEN doc_id % 7 = 0 THEN 'predates specs' WHEN doc_id % 3 > 0 THEN 'changed' WHEN doc_id % 5 = 0 THEN 'removed' ELSE 'inputs changed' END AS reason, CASE WHEN doc_id % 7 = 0 THEN 'encoder,pooling,width' WHEN doc_id % 3 > 0 THEN 'width' ELSE '' END AS changed, CASE WHEN doc_id % 7 > 0 AND doc_id % 5 = 0 THEN 'layer' ELSE '' END AS removed, count(*) AS n FROM documents GROUP BY ALL",
     "e8_fingerprint": """WITH h AS (SELECT md5(doc_id || chr(31) || coalesce(lang, chr(0)) || chr(31) || n_chars) AS h FROM documents),
