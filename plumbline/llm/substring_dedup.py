@@ -1,7 +1,8 @@
 """Repeated passages by content-defined chunks (operator 4).
 
 A gear hash of the last ``SPAN`` bytes rolls over each text and cuts it where the hash meets a mask, so that a passage is
-cut alike wherever it stands and an insertion shifts no cut beyond its neighbourhood. Chunks are named by a 64-bit
+cut alike wherever it stands and an insertion shifts no cut beyond its neighbourhood; where no hash meets it for long,
+the greatest hash cuts. Chunks are named by a 64-bit
 digest. Spark counts the documents of each digest; of a digest that more than one document holds, the smallest doc_id
 keeps its text and the others repeat it. Neighbouring repeated chunks of a document form a passage; passages of at
 least ``PASSAGE`` bytes are reported and removed.
@@ -44,7 +45,12 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
             least = at + LEAST
             while i < n_places and places[i] < least:
                 i += 1
-            end = min(places[i] if i < n_places else stop, at + MOST, stop)
+            if i < n_places and places[i] <= min(at + MOST, stop):
+                end = places[i]
+            elif stop - at <= MOST:
+                end = stop
+            else:  # such as one word over and over: where the hash is greatest, wherever the text began
+                end = least + int(h[least - 1 : at + MOST].argmax())
             rows.append(row)
             starts.append(at)
             ends.append(end)

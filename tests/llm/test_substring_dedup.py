@@ -57,5 +57,11 @@ def test_planted_passages(spark, seed):
     assert all(len(cut[i]) < len(texts[i]) - 150 for h in holders.values() for i in h if i != min(h))
 
 
+def test_one_word_over_and_over(spark):
+    rows = [(1, "Thhe " * 90), (2, prose(8, 31) + " " + "Thhe " * 80), (3, prose(9, 90))]
+    out = D.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in out} == {1, 2}
+
+
 def test_empty(spark):
     assert D.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
