@@ -2,9 +2,13 @@
 
 High-recall generators propose overlapping spans for each kind. Boosted trees score a candidate from its format and
 its context, a threshold calibrated per kind selects spans, and the best-scored of overlapping ones stay. Candidates
-that meet the base rules of a kind (address grammar, octet range, Luhn digits, international prefix) are always kept
-and are the training signal: features are binned, so that Spark counts positives and negatives of every distinct
-feature vector over all candidates, and the trees are fitted on those counts, which are bounded by the bins.
+that meet the base rules of a kind (address grammar, octet range, Luhn digits, international prefix) are always kept.
+
+Positives are base spans written otherwise where they stand: an ``@`` spelt out, a number in national form, card digits
+regrouped. Negatives are candidates that cannot be of their kind, such as dates, octets over 255 or a sentence's end
+within an address; other candidates have no label. ``SEEDS`` adds a few labelled rows, so that small tables have both.
+Features are binned, so that Spark counts positives and negatives of every distinct feature vector, and the trees are
+fitted on those counts, which are bounded by the bins. Both labels of a kind weigh ``WEIGHT`` whatever their number.
 
 Null texts count as empty. A text without spans gives zero counts and empty strings. Positions are code points, end
 exclusive. Equal texts give equal rows. Runs of any length are read in linear time.
@@ -22,8 +26,10 @@ from pyspark.sql import functions as F
 from .common import map_batches, table, texts_of, utf8
 
 KINDS = ("email", "ip", "card", "phone")
-#: The share of base spans of a kind that the calibrated threshold lets through.
+#: The least share of the positives of a kind that the calibrated threshold lets through.
 RECALL = 0.98
+#: What the positives of a kind weigh in the fit, and what its negatives weigh.
+WEIGHT = 1000.0
 TREES, DEPTH, RATE = 40, 3, 0.3
 LEAST_SCORE = 0.5
 
@@ -37,6 +43,8 @@ _WORD_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ012
 #: High-recall generators beside the base rules: spelt-out addresses, national numbers, grouped digits, partial quads.
 _LOOSE = (
     ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]{2,63}+)+")),
+    # an address that ends where a sentence does, too
+    ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{1,63}+(?:(?: ?(?:\(dot\)|\[dot\]) ?|\.)[A-Za-z0-9-]{2,63}+)+")),
     ("phone", re.compile(r"(?<![0-9+])(?:\([0-9]{2,4}\) ?|0|00)[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,4}(?![0-9])")),
     ("ip", re.compile(r"(?<![0-9.])[0-9]{1,3}+(?:\.[0-9]{1,3}+){3}(?![0-9.])")),
     ("card", re.compile(r"(?<![0-9])[0-9]{4}(?:[ -][0-9]{4}){3}(?![0-9])")),
@@ -101,7 +109,47 @@ def loose_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 #: The number of bins of each feature of a candidate.
-BINS = (4, 6, 6, 3, 4, 4, 3, 4, 2, 2)
+BINS = (4, 6, 6, 3, 4, 4, 4, 4, 2, 2)
+_SENTENCE = re.compile(r"(?<! )\. | \.(?! )")
+_LAST_LABEL = re.compile(r"[A-Za-z0-9-]+$")
+_DATE = re.compile(r"[0-9]{1,2}([./-])[0-9]{1,2}\1[0-9]{4}|[0-9]{4}([./-])[0-9]{2}\2[0-9]{2}")
+_SPELT = ((" (at) ", " (dot) "), ("(at)", "(dot)"), (" [at] ", " [dot] "), ("[at]", "[dot]"), (" (at) ", "."), ("[at]", "."), (" (at) ", " . "))
+#: Labelled texts, read like those of the corpus. Base spans are positives in their other forms.
+SEEDS = (
+    "Write to jane.doe@host.example.org or call +44 (377) 555-0271 or +1 377 555 02 71, card 4111 1111 1111 1111.",
+    "jo@site.org, +4930123456789; 5500000000000004",
+    "x (at) 12.50 and look (at) home. Then go (at) noon .Here",
+    "from 03-04-2020 to 05.06.2021, 012 34 and 00 12 34, id 1234567890 and 12345678901234567890123, 999.1.1.1, 10.300.7.2, +12 34 and +1234567890123456789",
+)
+
+
+def broken(span: str) -> bool:
+    """Whether a spelt-out address holds the end of a sentence, or ends in a number."""
+    return _SENTENCE.search(span) is not None or not any(c.isalpha() for c in _LAST_LABEL.search(span)[0])
+
+
+def masked(kind: str, span: str) -> list[str]:
+    """Other forms of a base span that the generators of its kind are to find."""
+    d = _digits(span)
+    if kind == "email":
+        local, host = span.split("@")
+        return [local + at + host.replace(".", dot) for at, dot in _SPELT]
+    if kind == "phone":
+        a, b, c = d[-10:-7], d[-7:-4], d[-4:]
+        return [f"({a}) {b}-{c}", f"(0{a}) {b}-{c}", f"0{a} {b} {c}", f"0{a}-{b}-{c}", f"0{a}.{b}.{c}", f"0{a[1:]} {b} {c[:3]}", f"0{a} {b} {c[:2]} {c[2:]}", f"00{d[:2]} {a} {b} {c}"]
+    if kind == "card":  # the features do not tell which digits: mistyped ones look alike
+        return [d, *(sep.join((d[:4], d[4:8], d[8:12], d[12:])) for sep in (" ", "-") if len(d) == 16)]
+    return []
+
+
+def impossible(kind: str, span: str) -> bool:
+    """Whether a candidate that is no base span cannot be of its kind in another form either."""
+    if kind == "email":
+        return broken(span)
+    n = len(_digits(span))
+    if kind == "phone":
+        return n < 7 or n > 15 or _DATE.fullmatch(span) is not None
+    return kind == "ip" or n < 14 or n > 19
 
 
 def features(text: str, kind: str, start: int, end: int) -> tuple[int, ...]:
@@ -121,7 +169,7 @@ def features(text: str, kind: str, start: int, end: int) -> tuple[int, ...]:
         0 if len(groups) < 2 else 1 if len({len(g) for g in groups}) == 1 else 2,
         min(3, sum(c in " ()." for c in span)),
         min(3, sum(c in "-+" for c in span)),
-        0 if not any(c.isalpha() for c in span) else 1 if "@" not in span else 2,
+        0 if not any(c.isalpha() for c in span) else 2 if "@" in span else 1 if broken(span) else 3,
         left,
         int(right == 2),
         cue,
@@ -150,6 +198,20 @@ def candidates(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[tuple[
     return base, [(s, _code(features(text, *s))) for s in spans]
 
 
+def labelled(text: str) -> list[tuple[int, bool]]:
+    """The codes of the candidates of a text that have a label, and the label."""
+    base, found = candidates(text)
+    held = set(base)
+    out = [(code, False) for (kind, start, end), code in found if (kind, start, end) not in held and impossible(kind, text[start:end])]
+    for kind, start, end in base:
+        before, after = text[max(0, start - 24) : start], text[end : end + 1]
+        for form in masked(kind, text[start:end]):
+            changed, span = before + form + after, (kind, len(before), len(before) + len(form))
+            if span in loose_spans(changed):
+                out.append((_code(features(changed, *span)), True))
+    return out
+
+
 def _rows(batch: pa.RecordBatch) -> list[int]:
     """The rows of a batch that hold a digit, ``@`` or a spelt-out ``at``; others have no candidates."""
     data, offsets = utf8(batch.column(1))
@@ -160,17 +222,15 @@ def _rows(batch: pa.RecordBatch) -> list[int]:
 
 
 def candidate_counts(docs: DataFrame) -> DataFrame:
-    """code, n, positive: candidates by feature vector over all documents; positive where a base rule holds."""
+    """code, n, positive: labelled candidates by feature vector over all documents."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         n: dict[int, list[int]] = {}
         for i in _rows(batch):
-            base, found = candidates(batch.column(1)[i].as_py())
-            base = set(base)
-            for s, code in found:
+            for code, positive in labelled(batch.column(1)[i].as_py()):
                 cell = n.setdefault(code, [0, 0])
                 cell[0] += 1
-                cell[1] += s in base
+                cell[1] += positive
         return pa.RecordBatch.from_arrays(
             [pa.array(list(n), pa.int64()), pa.array([v[0] for v in n.values()], pa.int64()), pa.array([v[1] for v in n.values()], pa.int64())], names=["code", "n", "positive"]
         )
@@ -204,10 +264,19 @@ def _apply(tree: tuple, x: np.ndarray) -> np.ndarray:
 
 def fit(counts: list[tuple[int, int, int]]) -> dict:
     """Boosted trees on weighted feature vectors (logistic loss) and a threshold for each kind."""
-    if not counts:
-        return {"trees": [], "start": 0.0, "threshold": [1.0] * len(KINDS)}
-    codes, n, pos = (np.array(v) for v in zip(*sorted(counts), strict=True))
-    x, start = _vectors(codes), float(np.log((pos.sum() + 1) / (n.sum() - pos.sum() + 1)))
+    cells: dict[int, list[float]] = {}
+    for code, n, pos in [*counts, *((code, 1, int(positive)) for text in SEEDS for code, positive in labelled(text))]:
+        cell = cells.setdefault(code, [0.0, 0.0])
+        cell[0] += n - pos
+        cell[1] += pos
+    codes = np.array(sorted(cells))
+    neg, pos = np.array([cells[c] for c in codes.tolist()]).T
+    x = _vectors(codes)
+    for k in range(len(KINDS)):
+        own = x[:, 0] == k
+        for label in (neg, pos):
+            label[own] *= WEIGHT / max(label[own].sum(), 1e-9)
+    n, start = neg + pos, float(np.log((pos.sum() + 1) / (neg.sum() + 1)))
     f, trees = np.full(len(x), start), []
     for _ in range(TREES):
         p = 1 / (1 + np.exp(-f))
@@ -215,13 +284,18 @@ def fit(counts: list[tuple[int, int, int]]) -> dict:
         trees.append(tree)
         f += RATE * np.clip(_apply(tree, x), -4, 4)
     p = 1 / (1 + np.exp(-f))
-    threshold = []
-    for k in range(len(KINDS)):
-        own = np.flatnonzero((x[:, 0] == k) & (pos > 0))
-        order = own[np.argsort(-p[own])]
-        kept = np.cumsum(pos[order]) if len(order) else np.zeros(0)
-        threshold.append(max(LEAST_SCORE, float(p[order[np.searchsorted(kept, RECALL * kept[-1])]])) if len(order) else 1.0)
-    return {"trees": trees, "start": start, "threshold": threshold}
+    return {"trees": trees, "start": start, "threshold": [_threshold(p[own], pos[own], neg[own]) for own in (x[:, 0] == k for k in range(len(KINDS)))]}
+
+
+def _threshold(p: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> float:
+    """Midway below the chance that parts the labels best and lets RECALL of the positives through; at least LEAST_SCORE."""
+    if not pos.sum():
+        return 1.0
+    levels, at = np.unique(-p, return_inverse=True)
+    passed, wrong = (np.cumsum(np.bincount(at, v, len(levels))) for v in (pos, neg))
+    best = int(np.argmax(np.where(passed >= RECALL * passed[-1], passed - wrong, -np.inf)))
+    below = -levels[best + 1] if best + 1 < len(levels) else 0.0
+    return max(LEAST_SCORE, float((below - levels[best]) / 2))
 
 
 def chances(model: dict, codes: np.ndarray) -> np.ndarray:

@@ -55,3 +55,23 @@ def test_frame(spark):
     assert find(df.limit(0)).count() == 0
     clean = {r.doc_id: r for r in redact(df).collect()}
     assert clean[0].text == "Mail é [EMAIL] now" and clean[3].text is None and clean[5].text == "plain" and clean[0].spans == "x"
+
+
+def test_other_forms_at_any_count(spark):
+    base = [f"mail u{i}.x@host{i % 7}.example.org, call +1 (377) 555-0{100 + i % 800}, card 4111 1111 1111 1111 from 03-04-2020 or 999.1.1.1" for i in range(60)]
+    forms = {
+        "ask jane.doe (at) host (dot) org today": "jane.doe (at) host (dot) org",
+        "ask jane.doe[at]mail.host.org today": "jane.doe[at]mail.host.org",
+        "ask jane (at) host (dot) org. Then go": "jane (at) host (dot) org",
+        "ring (0377) 555-0271 today": "(0377) 555-0271",
+        "ring 0377 555 0271 today": "0377 555 0271",
+        "pay 4111 1111 1111 1112 today": "4111 1111 1111 1112",
+        "pay 4111111111111112 today": "4111111111111112",
+    }
+    others = ["on 03-04-2020 it was", "look (at) home. Then go", "host 999.1.1.1 is none", "id 1234567890 is none"]
+    for times, with_base in ((1, False), (1, True), (400, False), (400, True)):
+        rows = [*forms, *others] * times + base * with_base
+        out = find(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+        got = {r.doc_id: [rows[r.doc_id][s.start : s.end] for s in r.spans] for r in out.where(f"doc_id < {len(forms) + len(others)}").collect()}
+        assert [got[i] for i in range(len(rows[: len(forms)]))] == [[s] for s in forms.values()]
+        assert all(got[len(forms) + i] == [] for i in range(len(others)))
