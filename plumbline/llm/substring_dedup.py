@@ -4,8 +4,9 @@ A gear hash of the last ``SPAN`` bytes rolls over each text and cuts it where th
 cut alike wherever it stands and an insertion shifts no cut beyond its neighbourhood; where no hash meets it for long,
 the greatest hash cuts. Chunks are named by a 64-bit
 digest. Spark counts the documents of each digest; of a digest that more than one document holds, the smallest doc_id
-keeps its text and the others repeat it. Neighbouring repeated chunks of a document form a passage; passages of at
-least ``PASSAGE`` bytes are reported and removed.
+keeps its text and the others repeat it. Neighbouring repeated chunks of a document form a passage, whichever document
+keeps each of them, where another document holds the two as neighbours, too; passages of at least ``PASSAGE`` bytes are reported, in pieces that are kept or not, and the pieces
+that are not kept are removed.
 
 Null texts count as empty and repeat nothing, as do rows with a null doc_id. Copies with one doc_id count as one
 document. Whole texts are read whatever their length; a document's own repetitions are not passages of two documents.
@@ -79,14 +80,25 @@ def chunks(docs: DataFrame) -> DataFrame:
 
 
 def repeated_passages(documents: DataFrame, passage: int = PASSAGE) -> DataFrame:
-    """doc_id, start, stop (UTF-8 bytes), first_doc_id, kept: passages that another document holds too; ``kept`` in the document that comes first."""
+    """doc_id, start, stop (UTF-8 bytes), first_doc_id, kept: pieces of passages that other documents hold too; ``kept`` in the document that comes first."""
     docs = texts_of(documents).where("doc_id is not null")
     of_digest = chunks(docs).groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"))
     shared = cut(of_digest.where("first_doc_id <> last").select("digest", "first_doc_id"), "shared")
     found = marked_by(chunks(docs), "digest", shared, 24).where("marked").drop("marked").join(shared, "digest").withColumn("kept", F.col("doc_id") == F.col("first_doc_id"))
-    near = found.dropDuplicates(["doc_id", "ord", "digest"]).withColumn("run", F.col("ord") - F.row_number().over(Window.partitionBy("doc_id", "kept").orderBy("ord", "digest")))
-    runs = near.groupBy("doc_id", "kept", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("first_doc_id").alias("first_doc_id"))
-    return runs.where(F.col("stop") - F.col("start") >= passage).select("doc_id", "start", "stop", "first_doc_id", "kept")
+    in_order = Window.partitionBy("doc_id").orderBy("ord", "digest")
+    # a chunk without a repeated one before it gets a key that no pair has: nulls would meet in one task
+    pair = F.when(F.lag("ord").over(in_order) == F.col("ord") - 1, F.xxhash64(F.lag("digest").over(in_order), "digest"))
+    near = cut(found.dropDuplicates(["doc_id", "ord", "digest"]).withColumn("pair", pair), "near")
+    of_pair = near.where("pair is not null").groupBy("pair").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("pair", F.lit(0).alias("starts"))
+    linked = near.withColumn("pair", F.coalesce("pair", F.xxhash64("doc_id", "ord"))).join(of_pair, "pair", "left")
+    near = linked.withColumn("run", F.sum(F.coalesce("starts", F.lit(1))).over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    of_run = Window.partitionBy("doc_id", "run")
+    whole = near.withColumn("from", F.min("start").over(of_run)).withColumn("to", F.max("stop").over(of_run)).where(F.col("to") - F.col("from") >= passage)
+    pieces = whole.withColumn("piece", F.col("ord") - F.row_number().over(Window.partitionBy("doc_id", "run", "kept").orderBy("ord", "digest")))
+    pieces = pieces.groupBy("doc_id", "run", "kept", "piece", "from", "to").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("first_doc_id").alias("first_doc_id"), F.count("*").alias("n"))
+    # one kept chunk at an end of a passage of others: chance may have drawn it in, and nothing of it is removed
+    lone = F.col("kept") & (F.col("n") == 1) & ((F.col("start") == F.col("from")) != (F.col("stop") == F.col("to")))
+    return pieces.where(~lone).select("doc_id", "start", "stop", "first_doc_id", "kept")
 
 
 def without_repeats(documents: DataFrame, passage: int = PASSAGE) -> DataFrame:

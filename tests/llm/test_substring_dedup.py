@@ -63,5 +63,18 @@ def test_one_word_over_and_over(spark):
     assert {r.doc_id for r in out} == {1, 2}
 
 
+def test_passage_with_two_owners(spark):
+    for seed in range(4):
+        a, b = prose(seed + 300, 29)[:150], prose(seed + 400, 29)[:150]
+        texts = {5: prose(1, 60) + " " + a + " " + prose(2, 60), 10: prose(3, 60) + " " + a + b + " " + prose(4, 60), 20: prose(5, 50) + " " + a + b + " " + prose(6, 60)}
+        df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+        out = D.repeated_passages(df).collect()
+        assert {(r.doc_id, r.kept) for r in out} == {(10, True), (10, False), (20, False)}
+        size = {i: sum(r.stop - r.start for r in out if r.doc_id == i) for i in (10, 20)}
+        assert min(size.values()) >= D.PASSAGE
+        left = {r.doc_id: r.text for r in D.without_repeats(df).collect()}
+        assert left[5] == texts[5] and b[50:100] in left[10] and b[50:100] not in left[20] and a[50:100] not in left[10] + left[20]
+
+
 def test_empty(spark):
     assert D.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
