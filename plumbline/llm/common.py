@@ -9,8 +9,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 BATCH_ROWS = 20_000
 BATCH_BYTES = 4 << 20
@@ -39,16 +40,49 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-MARK_BITS = 22
+#: Bits for each marked id, and the largest bitmap; beyond it nothing is left out before a join.
+BITS_EACH, MOST_BITS = 16, 1 << 28
+#: A key that makes up this share of the rows of a join is a frequent one: there are as many at most as the share says.
+FREQUENT = 512
 
 
-def marked_by(df: DataFrame, key: str, ids: DataFrame, bits: int = MARK_BITS) -> DataFrame:
-    """``df`` with ``marked``: false where the key is surely not among ``ids``, by a broadcast bitmap of 2**bits bits."""
-    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
-    bit = lambda c: F.expr(f"shiftleft(1L, int({c} % 64))")
-    words = ids.select(cell(ids[key]).alias("_cell")).groupBy(F.expr("_cell div 64").alias("_word")).agg(F.bit_or(bit("_cell")).alias("_bits"))
-    found = df.withColumn("_cell", cell(df[key])).join(F.broadcast(words), F.expr("_cell div 64 = _word"), "left")
-    return found.select(*[df[c] for c in df.columns], F.coalesce(F.col("_bits").bitwiseAND(bit("_cell")) != 0, F.lit(False)).alias("marked"))
+def _bitmap_size(n: int) -> int | None:
+    size = 1 << max(16, (BITS_EACH * n - 1).bit_length())
+    return size if size <= MOST_BITS else None
+
+
+def _words(ids: Column, df: DataFrame, size: int) -> DataFrame:
+    """word, bits: the words of a bitmap of ``size`` bits with the bit ``id mod size`` of each id set."""
+    cells = df.select(F.pmod(ids, F.lit(size)).alias("_cell"))
+    return cells.groupBy(F.expr("_cell div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(_cell % 64))")).alias("bits"))
+
+
+def bits_of(ids: DataFrame, n: int) -> np.ndarray | None:
+    """A bitmap of a column of about ``n`` longs, to be asked by :func:`has_bits`; None where it would be too large."""
+    if (size := _bitmap_size(n)) is None:
+        return None
+    out = np.zeros(size // 64, np.int64)
+    found = _words(ids[ids.columns[0]], ids, size).toArrow()  # MOST_BITS at most
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return out
+
+
+def has_bits(bitmap: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Where an id is not surely missing."""
+    cells = ids & np.int64(64 * len(bitmap) - 1)
+    return (bitmap[cells >> 6] >> (cells & 63)) & 1 == 1
+
+
+def marked_by(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """``df`` with ``marked``: false where the key is surely not among ``ids`` (a written table), by a broadcast bitmap of BITS_EACH bits an id.
+
+    Where that would be more than MOST_BITS, all rows are marked.
+    """
+    if (size := _bitmap_size(ids.count())) is None:
+        return df.withColumn("marked", F.lit(True))
+    words = _words(F.xxhash64(ids[key]), ids, size).select(F.col("word").alias("_word"), F.col("bits").alias("_bits"))
+    found = df.withColumn("_cell", F.pmod(F.xxhash64(df[key]), F.lit(size))).join(F.broadcast(words), F.expr("_cell div 64 = _word"), "left")
+    return found.select(*[df[c] for c in df.columns], F.coalesce(F.col("_bits").bitwiseAND(F.expr("shiftleft(1L, int(_cell % 64))")) != 0, F.lit(False)).alias("marked"))
 
 
 def may_hold(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
@@ -56,13 +90,33 @@ def may_hold(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     return marked_by(df, key, ids).where("marked").drop("marked")
 
 
+def with_frequent(df: DataFrame, known: DataFrame, on: str | list[str], n: str) -> DataFrame:
+    """The inner join of ``df`` with ``known``, a written table of keys and of the number ``n`` of rows of ``df`` that have each.
+
+    Frequent keys meet in a broadcast of at most FREQUENT rows, so that none of them fills a task; the others in a shuffle.
+    """
+    on = [on] if isinstance(on, str) else on
+    total = known.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    often = F.col(n) >= max(2, total / FREQUENT)
+    values = [c for c in known.columns if c not in (*on, n)]
+    top = F.broadcast(known.where(often).select(*on, F.struct(*values).alias("_top")))
+    rest = known.where(~often).select(*[F.col(c).alias(f"_{c}") for c in on], F.struct(*values).alias("_rest"))
+    met = df.join(top, on, "left")
+    # a row that has met its key goes anywhere, the same way each time a task is run
+    spread = F.when(F.col("_top").isNull(), F.xxhash64(*on)).otherwise(F.xxhash64(*df.columns))
+    keyed = rest.withColumn("_at", F.xxhash64(*[f"_{c}" for c in on]))
+    same = [F.col(c) == F.col(f"_{c}") for c in on]
+    out = met.withColumn("_to", spread).join(keyed, [F.col("_to") == F.col("_at"), F.col("_top").isNull(), *same], "left").where("_top is not null or _rest is not null")
+    return out.select(*df.columns, *[F.coalesce(F.col(f"_top.{c}"), F.col(f"_rest.{c}")).alias(c) for c in values if c not in df.columns])
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds: very long texts stand beside short ones."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
     """``fn`` on each Arrow batch of ``df``."""
     small_batches(df.sparkSession)
 

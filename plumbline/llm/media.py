@@ -1,16 +1,22 @@
 """Media columns in content-defined chunks (operator 1).
 
 A payload of 8-bit samples is cut where a rolling gear hash of its last 64 bytes meets a mask, so that equal passages
-give equal chunks wherever they stand. Chunks are named by digest. Spark finds for each digest the smallest doc_id
-that has it; this document owns the chunk and keeps its bytes, all others keep the digest in their ordered chunk list.
-The store is a written table of chunk lists and owned bytes. Reading joins the chunks that a list names but its row
-does not own, puts the payload together in order, and verifies it against the digest noted when it was stored.
+give equal chunks wherever they stand. Equal payloads are one medium, named by a 128-bit key; chunks are named by
+digest. Spark finds for each digest the medium with the smallest key that has it; this medium owns the chunk and keeps
+its bytes, all others keep the digest in their ordered chunk list. The store is a written table of chunk lists and
+owned bytes, one row a medium. Reading joins the chunks that a list names but its row does not own, puts the payload
+together in order, and verifies it against the digest noted when it was stored.
+
+Media of one document that own all of their chunks are stored and read where their text is. Of the others, one
+document carries the text to its medium's row and the other copies send their key alone; bitmaps sized by the number of
+such media tell the texts that must travel, and above a ceiling all travel.
 
 The stored form of one medium is its container: a head, the ordered list of (digest, length), then every distinct
 chunk once in order of appearance. It depends on the payload alone, so equal texts give equal values.
 
-Null texts count as empty; an empty text is a payload of padding. Rows with a null doc_id own all of their chunks.
-Repeated rows are stored and returned each. Chunks are bounded in size, payloads are not.
+Null texts count as empty; an empty text is a payload of padding. Rows with a null doc_id and repeated rows are copies
+like others and are returned each. An empty table gives no rows. Other columns are left behind, whatever their names.
+Chunks are bounded in size, payloads are not.
 """
 
 from __future__ import annotations
@@ -18,13 +24,15 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches, marked_by, may_hold, mix, table, texts_of
+from .common import FREQUENT, bits_of, cut, has_bits, map_batches, may_hold, mix, table, texts_of, with_frequent
 
 UNIT, PAD = 576, 255
 LEAST, MOST, MASK_BITS = 256, 8192, 10
@@ -87,49 +95,132 @@ def read_container(stored: bytes) -> bytes:
     return b"".join(held[d] for d, _ in listed)
 
 
-def chunk_digests(docs: DataFrame) -> DataFrame:
-    """doc_id, digest: the distinct chunks of each document."""
+SINGLE, PENDING = 0, 1
+
+
+def _rows_of(batch: pa.RecordBatch) -> Iterator[tuple[int | None, bytes, int, bytes]]:
+    """doc_id, payload, length before padding and 128-bit key of the payload of each row."""
+    for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        payload, n = payload_of(text)
+        yield i, payload, n, hashlib.blake2b(payload, digest_size=16).digest()
+
+
+def _halves(keys: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+
+
+def chunk_lists(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, the key k1, k2 of the medium, and the distinct chunk digests of each document."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, digests = [], []
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = dict.fromkeys(d for d, _ in chunks_of(payload_of(text)[0]))
-            ids += [i] * len(own)
-            digests += own
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary())], names=["doc_id", "digest"])
+        ids, sizes, keys, digests = [], [], [], []
+        for i, payload, n, key in _rows_of(batch):
+            ids.append(i)
+            sizes.append(n)
+            keys.append(key)
+            digests.append(list(dict.fromkeys(d for d, _ in chunks_of(payload))))
+        k = _halves(keys)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(digests, pa.list_(pa.binary()))], names=["doc_id", "n_bytes", "k1", "k2", "digests"])
+
+    return map_batches(docs, run, "doc_id long, n_bytes long, k1 long, k2 long, digests array<binary>")
 
-    return map_batches(docs, run, "doc_id long, digest binary")
 
+_STORED = "kind int, doc_id long, n_bytes long, k1 long, k2 long, digests array<binary>, sizes array<int>, payload_digest binary, others array<binary>, body binary"
 
-def _pack(rows: DataFrame) -> DataFrame:
-    """Store rows from (doc_id, text, others): others are the digests that another document owns."""
+
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.binary()), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=[c.split()[0] for c in _STORED.split(", ")])
+
+
+def _entry(kind: int, doc_id: int | None, n: int, k1: int, k2: int, payload: bytes, others: list[bytes]) -> tuple:
+    """One store row: the ordered chunk list, and the bytes of the chunks that no other medium owns."""
+    chunks, lacking = chunks_of(payload), set(others)
+    own = {d: p for d, p in chunks if d not in lacking}
+    return kind, doc_id, n, k1, k2, [d for d, _ in chunks], [len(p) for _, p in chunks], hashlib.sha256(payload).digest(), others, b"".join(own.values())
+
+
+def _direct(docs: DataFrame, special: np.ndarray | None, carriers: np.ndarray | None) -> DataFrame:
+    """Store rows of the media that surely have one document and all their chunks; texts of the other media's carriers wait (PENDING).
+
+    ``special`` and ``carriers`` are bitmaps; without them every text waits.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((special, carriers))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        marked, carried = shared.value
+        found = list(_rows_of(batch))
+        k = _halves([r[3] for r in found])
+        ids = np.array([-1 if r[0] is None else r[0] for r in found], np.int64)
+        waits = has_bits(marked, k[:, 0]) if marked is not None else np.ones(len(found), bool)
+        goes = has_bits(carried, k[:, 1] ^ ids) if carried is not None else np.ones(len(found), bool)
         out = []
-        for text, others in zip(batch.column("text").to_pylist(), batch.column("others").to_pylist(), strict=True):
-            payload, n = payload_of(text)
-            chunks, others = chunks_of(payload), set(others or ())
-            own = {d: p for d, p in chunks if d not in others}
-            out.append((n, [d for d, _ in chunks], [len(p) for _, p in chunks], hashlib.sha256(payload).digest(), len({d for d, _ in chunks} - own.keys()), b"".join(own.values())))
-        kinds = (pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary(), pa.int32(), pa.binary())
-        columns = [pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)]
-        lacking = [list(set(o or ())) for o in batch.column("others").to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, pa.array(lacking, pa.list_(pa.binary()))], names=["doc_id", "n_bytes", "digests", "sizes", "payload_digest", "n_others", "body", "others"])
+        for (i, payload, n, _), (k1, k2), w, g in zip(found, k.tolist(), waits.tolist(), goes.tolist(), strict=True):
+            if not w:
+                out.append(_entry(SINGLE, i, n, k1, k2, payload, []))
+            elif g:
+                out.append((PENDING, i, n, k1, k2, None, None, None, None, payload))
+        return _packed(out)
 
-    return map_batches(rows, run, "doc_id long, n_bytes long, digests array<binary>, sizes array<int>, payload_digest binary, n_others int, body binary, others array<binary>")
+    return map_batches(docs, run, _STORED)
 
 
-def store(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The chunk store of the texts (written, one row for each document), and (doc_id, digest, owner) of chunks held elsewhere."""
+def _settled(pending: DataFrame) -> DataFrame:
+    """Store rows from pending payloads with ``others``, the chunks that another medium owns."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return _packed([_entry(r["kind"], r["doc_id"], r["n_bytes"], r["k1"], r["k2"], r["body"], r["others"] or []) for r in batch.to_pylist()])
+
+    return map_batches(pending, run, _STORED)
+
+
+@dataclass(frozen=True)
+class Store:
+    """``documents`` (doc_id, n_bytes, k1, k2), ``special`` media (k1, k2, n documents, carrier, others), ``held`` chunks
+    (k1, k2, digest, owner), and the written rows: ``single`` media of one document, and ``shared`` ones."""
+
+    documents: DataFrame
+    special: DataFrame
+    held: DataFrame
+    single: DataFrame
+    shared: DataFrame
+
+
+def store(documents: DataFrame) -> Store:
+    """The chunk store of the texts, with one row for each medium."""
     docs = texts_of(documents)
-    digests = cut(chunk_digests(docs), "digests")
-    owners = digests.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")).where("n > 1").select("digest", "owner")
-    held = cut(digests.join(owners, "digest").where("doc_id <> owner").distinct(), "held")
-    lists = held.groupBy("doc_id").agg(F.collect_set("digest").alias("others"))
-    marked = marked_by(docs, "doc_id", held.select("doc_id"))
-    alone = marked.where("not marked").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("others"))
-    shared = marked.where("marked").select("doc_id", "text").join(lists, "doc_id", "left")
-    return cut(_pack(alone.unionByName(shared)), "store"), held
+    lists = cut(chunk_lists(docs), "lists")
+    occurring = lists.select("k1", "k2", F.explode("digests").alias("digest"))
+    owners = occurring.groupBy("digest").agg(F.min("k1").alias("owner"), F.max("k1").alias("last"), F.count("*").alias("n")).where("owner <> last")
+    owners = cut(owners.select("digest", "owner", "n"), "owners")
+    lacking = with_frequent(may_hold(occurring, "digest", owners), owners, "digest", "n").where("k1 <> owner").select("k1", "k2", "digest", "owner")
+    held = cut(lacking.distinct(), "held")
+    media = lists.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("doc_id").alias("carrier"))
+    others = held.groupBy("k1", "k2").agg(F.collect_list("digest").alias("others"))
+    special = cut(media.join(others, ["k1", "k2"], "left").where("n > 1 or others is not null"), "special")
+    size = special.count()
+    marked = bits_of(special.select("k1"), size)
+    carriers = None
+    if marked is not None:
+        # media that the bitmap takes for special ones: their texts wait as well
+        shared = docs.sparkSession.sparkContext.broadcast(marked)
+        taken = map_batches(lists.select("doc_id", "k1", "k2"), lambda b: b.filter(pa.array(has_bits(shared.value, b.column("k1").to_numpy()))), "doc_id long, k1 long, k2 long")
+        mistaken = taken.join(special, ["k1", "k2"], "left_anti")
+        ids = special.select("k2", F.col("carrier").alias("doc_id")).unionByName(mistaken.select("k2", "doc_id"))
+        carriers = bits_of(ids.select(F.col("k2").bitwiseXOR(F.coalesce("doc_id", F.lit(-1))).alias("k")), 2 * size)
+    rows = cut(_direct(docs, marked, carriers), "rows")
+    pending = rows.where(F.col("kind") == PENDING).drop("others")
+    # without bitmaps all copies wait: those of frequent media, which are few, leave before the shuffle
+    total = special.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    top = F.broadcast(special.where(F.col("n") >= max(2, total / FREQUENT)).select("k1", "k2", F.struct("carrier").alias("_top")))
+    pending = pending.join(top, ["k1", "k2"], "left").where(F.col("_top").isNull() | F.col("doc_id").eqNullSafe(F.col("_top.carrier"))).drop("_top")
+    pending = pending.alias("p").join(special.alias("s"), ["k1", "k2"], "left")
+    first = pending.where("s.n is null or p.doc_id <=> s.carrier")
+    first = first.select(F.when(F.col("s.n").isNull(), SINGLE).otherwise(PENDING).alias("kind"), "p.doc_id", "n_bytes", "k1", "k2", "others", "body")
+    # a carrier that is there twice is stored once; a medium with one document has no second row
+    once = first.dropDuplicates(["k1", "k2"])
+    settled = cut(_settled(once), "settled")
+    return Store(lists.select("doc_id", "n_bytes", "k1", "k2"), special, held, rows.where(F.col("kind") == SINGLE).unionByName(settled.where(F.col("kind") == SINGLE)), settled.where(F.col("kind") == PENDING))
 
 
 def _owned(digests: list[bytes], sizes: list[int], others: list[bytes] | None, body: bytes) -> dict[bytes, bytes]:
@@ -141,37 +232,52 @@ def _owned(digests: list[bytes], sizes: list[int], others: list[bytes] | None, b
     return own
 
 
-def restored(stored: DataFrame, held: DataFrame) -> DataFrame:
-    """The rows of the store with ``fetched``: the chunks that they name and do not own."""
-    wanted = held.select("digest").distinct()
+def fetched(stored: Store) -> DataFrame:
+    """The rows of the shared media with ``fetched``: the chunks that they name and do not own."""
+    wanted = cut(stored.held.groupBy("digest").agg(F.min("owner").alias("k1"), F.count("*").alias("n")), "wanted")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = [x for r in batch.to_pylist() for x in _owned(r["digests"], r["sizes"], r["others"], r["body"]).items()]
         return pa.RecordBatch.from_arrays([pa.array([d for d, _ in own], pa.binary()), pa.array([p for _, p in own], pa.binary())], names=["digest", "bytes"])
 
-    owning = may_hold(stored, "doc_id", held.select(F.col("owner").alias("doc_id")))
-    bytes_of = map_batches(owning.select("digests", "sizes", "others", "body"), run, "digest binary, bytes binary").join(wanted, "digest", "left_semi").dropDuplicates(["digest"])
-    fetched = held.select("doc_id", "digest").join(bytes_of, "digest").groupBy("doc_id").agg(F.collect_list(F.struct("digest", "bytes")).alias("fetched"))
-    alone = stored.where("n_others = 0").withColumn("fetched", F.lit(None).cast(fetched.schema["fetched"].dataType))
-    return alone.unionByName(stored.where("n_others > 0").join(fetched, "doc_id", "left").select(alone.columns))
+    owning = may_hold(stored.single.unionByName(stored.shared), "k1", wanted)
+    taken = may_hold(map_batches(owning.select("digests", "sizes", "others", "body"), run, "digest binary, bytes binary"), "digest", wanted)
+    chunks = cut(taken.dropDuplicates(["digest"]).join(wanted.select("digest", "n"), "digest"), "chunks")
+    # chunks are of MOST bytes, so that the frequent ones are small enough to be sent to all tasks
+    brought = with_frequent(stored.held.select("k1", "k2", "digest"), chunks, "digest", "n").groupBy("k1", "k2").agg(F.collect_list(F.struct("digest", "bytes")).alias("fetched"))
+    return stored.shared.join(brought, ["k1", "k2"], "left")
 
 
-def _payloads(row: dict) -> list[tuple[bytes, bytes]]:
-    have = _owned(row["digests"], row["sizes"], row["others"], row["body"]) | {x["digest"]: x["bytes"] for x in row["fetched"] or ()}
+def _chunks(row: dict) -> list[tuple[bytes, bytes]]:
+    have = _owned(row["digests"], row["sizes"], row["others"], row["body"]) | {x["digest"]: x["bytes"] for x in row.get("fetched") or ()}
+    if lack := [d for d in row["digests"] if d not in have]:
+        raise ValueError(f"{len(lack)} chunks of a medium are not in the store")
     chunks = [(d, have[d]) for d in row["digests"]]
     if hashlib.sha256(b"".join(p for _, p in chunks)).digest() != row["payload_digest"]:
-        raise ValueError(f"document {row['doc_id']} does not read back as stored")
+        raise ValueError("a medium does not read back as stored")
     return chunks
 
 
-def read_media(stored: DataFrame, held: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media: each document's container, from the chunks of the store."""
+def for_each(stored: Store, describe: Callable[[list[tuple[bytes, bytes]]], tuple], fields: str) -> DataFrame:
+    """doc_id, n_bytes and what ``describe`` says of the chunks of each document's medium, read from the store once a medium."""
+    kinds = dict(f.split() for f in fields.split(", "))
+    types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        media = [container(_payloads(r)) for r in batch.to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+        out = [describe(_chunks(r)) for r in batch.to_pylist()]
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n_bytes", "k1", "k2")), *(pa.array([r[k] for r in out], types[t]) for k, t in enumerate(kinds.values()))], names=["doc_id", "n_bytes", "k1", "k2", *kinds])
 
-    return map_batches(restored(stored, held), run, "doc_id long, n_bytes long, media binary")
+    schema = f"doc_id long, n_bytes long, k1 long, k2 long, {fields}"
+    single = map_batches(stored.single, run, schema).select("doc_id", "n_bytes", *kinds)
+    of_medium = cut(map_batches(fetched(stored), run, schema).drop("doc_id", "n_bytes").join(stored.special.select("k1", "k2", "n"), ["k1", "k2"]), "described")
+    # the most frequent media are few, and their descriptions are sent to all tasks
+    copies = with_frequent(may_hold(stored.documents, "k1", of_medium), of_medium, ["k1", "k2"], "n").select("doc_id", "n_bytes", *kinds)
+    return single.unionByName(copies)
+
+
+def read_media(stored: Store) -> DataFrame:
+    """doc_id, n_bytes, media: each document's container, from the chunks of the store."""
+    return for_each(stored, lambda chunks: (container(chunks),), "media binary")
 
 
 def feature(payload: bytes, n_chunks: int, n_distinct: int) -> str:
@@ -180,21 +286,15 @@ def feature(payload: bytes, n_chunks: int, n_distinct: int) -> str:
     return f"{n_chunks}:{n_distinct}:{samples.mean():.4f}:{samples.std():.4f}:{np.bincount(samples, minlength=256).argmax()}"
 
 
+def _described(chunks: list[tuple[bytes, bytes]]) -> tuple:
+    form = container(chunks)
+    payload = read_container(form)
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(form), hashlib.sha256(form).hexdigest(), feature(payload, len(chunks), len(dict(chunks)))
+
+
 def media_digests(documents: DataFrame) -> DataFrame:
     """Store the texts of ``documents`` as media, read them back, and describe what was read."""
-    stored, held = store(documents)
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for row in batch.to_pylist():
-            chunks = _payloads(row)
-            form = container(chunks)
-            payload = read_container(form)
-            out.append((row["doc_id"], row["n_bytes"], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(form), hashlib.sha256(form).hexdigest(), feature(payload, len(chunks), len(dict(chunks)))))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    return map_batches(restored(stored, held), run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return for_each(store(documents), _described, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:

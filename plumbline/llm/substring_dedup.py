@@ -84,7 +84,7 @@ def repeated_passages(documents: DataFrame, passage: int = PASSAGE) -> DataFrame
     docs = texts_of(documents).where("doc_id is not null")
     of_digest = chunks(docs).groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"))
     shared = cut(of_digest.where("first_doc_id <> last").select("digest", "first_doc_id"), "shared")
-    found = marked_by(chunks(docs), "digest", shared, 24).where("marked").drop("marked").join(shared, "digest").withColumn("kept", F.col("doc_id") == F.col("first_doc_id"))
+    found = marked_by(chunks(docs), "digest", shared).where("marked").drop("marked").join(shared, "digest").withColumn("kept", F.col("doc_id") == F.col("first_doc_id"))
     in_order = Window.partitionBy("doc_id").orderBy("ord", "digest")
     # a chunk without a repeated one before it gets a key that no pair has: nulls would meet in one task
     pair = F.when(F.lag("ord").over(in_order) == F.col("ord") - 1, F.xxhash64(F.lag("digest").over(in_order), "digest"))
