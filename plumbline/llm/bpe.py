@@ -1,20 +1,27 @@
 """Byte-level BPE encoding and decoding by a token automaton (operator 7).
 
-The merges are compiled, in rank order, by one gadget each. A state stands for the last token read; its arcs are the
-tokens that may follow. The gadget of a merge ``(a, b) -> c`` takes arc ``b`` from the state behind ``a``, gives arc
-``c`` to every state that has arc ``a`` on the path to ``b``, and lets ``c`` lead to a copy of the state behind ``b``.
-With 50,000 merges the arcs number billions, so a state's row of the transition table is filled in when it is read:
-``_arc(t, c, k)`` is the arc ``c`` of the state behind ``t`` after the first ``k`` gadgets, which the gadgets of the
-parts of ``t`` and ``c`` fix. A word then has one path through the automaton that spells it: its tokenization.
-
-Nulls count as empty texts; an empty text has no tokens. Texts may be of any length; equal texts give equal rows.
+The automaton starts with one state for each byte, and from every state, the start included, an arc for each byte. The
+merges are compiled into it in rank order, by one gadget each. The gadget of a merge ``(a, b) -> c`` gives every state
+that has an arc ``a`` to a state with an arc ``b`` an arc ``c`` past the two; what ``c`` leads to is a copy of the state
+behind ``b``; and it takes arc ``b`` from the states behind ``a``. So a word keeps one path that spells it: its
+tokenization. With 50,000 merges the arcs number billions. A gadget therefore writes down its copy and its cut with its
+rank, and whether a state has an arc follows from the copies and cuts of lower ranks.
+
+To encode, the automaton is made deterministic over bytes: a state of that machine is the set of (state, begun label)
+that a prefix leaves open, one of them being the state that the prefix itself reaches. Its table is filled in when it is
+read, one transition a byte, and the arcs that were taken are followed back from the end of the word; nothing is tried
+and given up. To decode, the labels of the arcs are put together.
+
+Nulls count as empty texts; an empty text has no tokens. Rows with a null doc_id and repeated rows give a row each, an
+empty table gives none, and other columns are left behind, whatever their names. Texts may be of any length; equal texts
+give equal rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +44,61 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+START = -1
+_NEVER = 1 << 60
+
+
+class Automaton:
+    """The token automaton of a list of merges over labels (byte strings by token).
+
+    ``label[s]`` is the token of the arcs that lead to state ``s``. A state that a gadget made has its rank, the state that it is a copy of, and the
+    states behind the two parts of its label.
+    """
+
+    def __init__(self, labels: dict[int, bytes], merges: Iterable[tuple[int, int, int]]):
+        self.labels = labels
+        self.label: list[int] = []
+        self.rank: list[int] = []
+        self.parts: list[tuple[int, int]] = []
+        self.of_token: dict[int, list[int]] = {}
+        self.cut: dict[tuple[int, int], int] = {}
+        for token, label in labels.items():
+            if len(label) == 1:
+                self._state(token, -1, (START, START))
+        for k, (a, b, c) in enumerate(merges):
+            self._gadget(k, a, b, c)
+
+    def _state(self, token: int, rank: int, parts: tuple[int, int]) -> None:
+        self.of_token.setdefault(token, []).append(len(self.label))
+        self.label.append(token)
+        self.rank.append(rank)
+        self.parts.append(parts)
+
+    def _gadget(self, k: int, a: int, b: int, c: int) -> None:
+        """The merge of rank k: states behind the new arcs, as copies of those behind ``b``; then ``b`` is cut behind ``a``."""
+        for p in self.of_token.get(a, ()):
+            for q in self.of_token.get(b, ()):
+                if self.has(p, q, k):
+                    self._state(c, k, (p, q))
+        self.cut.setdefault((a, b), k)
+
+    def has(self, state: int, to: int, k: int = _NEVER) -> bool:
+        """Whether ``state`` has an arc to the state ``to`` once the gadgets below rank k are in."""
+        label, rank, parts, cut = self.label, self.rank, self.parts, self.cut
+        while state != START:
+            if cut.get((label[state], label[to]), _NEVER) < k:
+                return False
+            if rank[to] < 0 > rank[state]:
+                return True
+            if rank[to] >= rank[state]:  # the arc came with the gadget of ``to``, where there was one to its first part
+                k = rank[to] + 1
+                to = parts[to][0]
+            else:  # ``state`` is a copy
+                k = rank[state]
+                state = parts[state][1]
+        return True
+
+
 class TokenAutomaton(dict):
     """Maps a pre-split piece to its ids, packed as little-endian 32-bit numbers; pieces met lately are kept."""
 
@@ -44,71 +106,67 @@ class TokenAutomaton(dict):
         super().__init__()
         letters, model = byte_letters(), spec["model"]
         raw = lambda s: bytes(letters[x] for x in s)
-        self.ids = {raw(s): i for s, i in model["vocab"].items()}
-        self.labels = {i: b for b, i in self.ids.items()}
+        ids = {raw(s): i for s, i in model["vocab"].items()}
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.rank, self.parts, self.merge = {}, {}, {}
-        for k, (a, b) in enumerate(pairs):
-            a, b = self.ids[raw(a)], self.ids[raw(b)]
-            c = self.ids[self.labels[a] + self.labels[b]]
-            self.merge[a, b] = k
-            if c not in self.rank:
-                self.rank[c], self.parts[c] = k, (a, b)
-        self.reach = [0] * 256
-        for b in self.ids:
-            self.reach[b[0]] = max(self.reach[b[0]], len(b))
+        self.labels = {i: b for b, i in ids.items()}
+        self.states = Automaton(dict(self.labels), ((ids[raw(a)], ids[raw(b)], ids[raw(a) + raw(b)]) for a, b in pairs))
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.labels |= {i: s.encode() for s, i in self.special.items()}
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.split = regex.compile(SPLIT)
-        self.table: dict[tuple[int, int], bool] = {}
         self.memo = memo
-
-    def _arc(self, t: int, c: int, k: int) -> bool:
-        while True:
-            if self.merge.get((t, c), k) < k:
-                return False
-            rt, rc = self.rank.get(t, -1), self.rank.get(c, -1)
-            if rt < 0 and rc < 0:
-                return True
-            if rc > rt:
-                a, b = self.parts[c]
-                if a == b == t:
-                    return False
-                c, k = a, rc
-            else:
-                t, c, k = self.parts[t][1], self.parts[c][0] if rc == rt else c, rt
-
-    def follows(self, t: int, c: int) -> bool:
-        """The transition table: whether token ``c`` may follow token ``t``."""
-        if (got := self.table.get((t, c))) is None:
-            if len(self.table) > 4 * self.memo:
-                self.table.clear()
-            got = self.table[t, c] = self._arc(t, c, 1 << 60)
+        # begun labels: nodes of a tree over bytes, and the states behind a label that ends at a node
+        self.begun: dict[int, int] = {}
+        self.ends: dict[int, list[int]] = {}
+        nodes = 1
+        for token, found in self.states.of_token.items():
+            node = 0
+            for b in self.labels[token]:
+                if (below := self.begun.get(node << 8 | b)) is None:
+                    below = self.begun[node << 8 | b] = nodes
+                    nodes += 1
+                node = below
+            self.ends[node] = found
+        self._restart()
+
+    def _restart(self) -> None:
+        self.numbers: dict[tuple, int] = {((START, 0),): 0}
+        self.open: list[tuple] = [((START, 0),)]
+        self.table: dict[int, tuple[int, int]] = {}
+
+    def _transition(self, at: int, byte: int) -> tuple[int, int]:
+        """The next state of the machine over bytes, and the state of the automaton that the prefix reaches there."""
+        found, reached = [], None
+        for state, node in self.open[at]:
+            if (below := self.begun.get(node << 8 | byte)) is None:
+                continue
+            found.append((state, below))
+            for to in self.ends.get(below, ()):
+                if self.states.has(state, to):
+                    reached = to
+        if reached is None:
+            raise ValueError("no path: the vocabulary lacks single bytes")
+        key = (*found, (reached, 0))
+        number = self.numbers.get(key)
+        if number is None:
+            number = self.numbers[key] = len(self.open)
+            self.open.append(key)
+        got = self.table[at << 8 | byte] = (number, reached)
         return got
 
     def path(self, piece: bytes) -> list[int]:
-        """The tokens along the one path that spells ``piece``; longest arcs first, dead positions are visited once."""
-        if (whole := self.ids.get(piece)) is not None:
-            return [whole]
-        n, at, taken, dead = len(piece), 0, [], set()
-        longest = min(n, self.reach[piece[0]])
-        while at < n:
-            for m in range(min(longest, n - at), 0, -1):
-                token = self.ids.get(piece[at : at + m])
-                if token is not None and at + m not in dead and (not taken or self.follows(taken[-1], token)):
-                    taken.append(token)
-                    at += m
-                    longest = self.reach[piece[at]] if at < n else 0
-                    break
-            else:
-                dead.add(at)
-                if not taken:
-                    raise ValueError("no path: the vocabulary lacks single bytes")
-                longest = len(self.labels[taken.pop()])
-                at -= longest
-                longest -= 1
-        return taken
+        """The labels along the path that spells ``piece``: one transition a byte, then the arcs back from the end."""
+        if len(self.table) > self.memo:
+            self._restart()
+        at, trail, table = 0, [], self.table
+        for byte in piece:
+            at, reached = table.get(at << 8 | byte) or self._transition(at, byte)
+            trail.append(reached)
+        out, i = [], len(piece)
+        while i:
+            out.append(self.states.label[trail[i - 1]])
+            i -= len(self.labels[out[-1]])
+        return out[::-1]
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= self.memo:
