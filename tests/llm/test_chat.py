@@ -38,7 +38,7 @@ def legal(text):
 
 
 def test_least_cost_and_legal(spark, monkeypatch):
-    monkeypatch.setattr(C, "_SETTLE", 3)
+    monkeypatch.setattr(C, "BLOCK", 3)
     rng = random.Random(4)
     convs = {c: [rng.choice(["system", "user", "assistant", "tool", None]) for _ in range(rng.randint(1, 5))] for c in range(60)}
     convs[60], convs[61] = ["user", "assistant"] * 20, ["system"]
@@ -55,21 +55,38 @@ def test_least_cost_and_legal(spark, monkeypatch):
     assert out[60].cost == 0
 
 
-@pytest.mark.parametrize("settle", [1, 2, 7, 1000])
-def test_settling_changes_nothing(monkeypatch, settle):
+@pytest.mark.parametrize("block", [1, 2, 7, 1000])
+def test_blocks_change_no_cost(spark, block):
     rng = random.Random(9)
-    for _ in range(40):
-        roles = [rng.choice(["system", "user", "assistant", "x"]) for _ in range(40)]
+    rows = [(c, t, rng.choice(["system", "user", "assistant", "x"]), f"<{c}.{t}>") for c in range(30) for t in range(40)]
+    rows += [(30, None, "user", "first"), (30, 0, "assistant", "then"), (None, 3, "user", "nobody"), (None, 900, "user", "twice")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    got = C.format_turns(df, block).collect()
+    assert len(got) == len(rows)
+    for c in {r[0] for r in rows}:
+        turns = sorted((r for r in got if r.conv_id == c), key=lambda r: r.place)
+        assert [r.place for r in turns] == list(range(len(turns)))
+        repair = C.Repair()
+        for r in sorted((r for r in rows if r[0] == c), key=lambda r: (r[1] is not None, r[1] or 0)):
+            repair.feed(r[2])
+        assert [r.cost for r in turns] == [None] * (len(turns) - 1) + [C._whole(repair.paths)[0]]
+        text = "".join(r.piece for r in turns)
+        assert legal(text)
+        messages = [r.message for r in turns]
+        assert all(b == a + (0 if "merge" in r.action else 1 + (r.inserted if r is not turns[-1] else r.message - a - 1)) for a, b, r in zip([-1, *messages], messages, turns, strict=False))
+        opened = text.count("<|user|>") + text.count("<|assistant|>") + text.count("<|system|>")
+        assert opened == messages[-1] + 1 + len(C._CLOSING[C.ROLES.index(turns[-1].role)])
 
-        def path(n):
-            monkeypatch.setattr(C, "_SETTLE", n)
-            repair, steps = C.Repair(), []
-            for r in roles:
-                steps += repair.feed(r)
-            rest, closing, cost = repair.end()
-            return [(s.role, s.action, s.inserted) for s in steps + rest], closing, cost
 
-        assert path(settle) == path(10**9)
+def test_long_conversation_of_one_role(spark):
+    """100,000 turns of the user: as many blocks as numbers ask for, and no task with more than a block in memory."""
+    n = 100_000
+    df = spark.range(n).selectExpr("7L as conv_id", "id as turn", "'user' as role", "'t' as text")
+    out = C.format_turns(df)
+    r = out.selectExpr("count(*) n", "max(cost) cost", "count(cost) costs", "max(place) place", "max(message) message").first()
+    assert (r.n, r.cost, r.costs, r.place) == (n, n - 1 + C.INSERT, 1, n - 1) and r.message == 0
+    long_text = spark.createDataFrame([(1, 0, "user", "x" * 3_000_000), (1, 1, "assistant", "y")], "conv_id long, turn long, role string, text string")
+    assert [len(r.piece) for r in C.format_turns(long_text).orderBy("place").collect()][0] > 3_000_000
 
 
 def test_edges(spark):
