@@ -1,24 +1,29 @@
 """Benchmark decontamination by templates (operator 10), with DataFrame functions only.
 
 Texts become template words: numbers, capitalised names and units after numbers turn into typed placeholders. Windows of
-``WINDOW`` template words of the benchmark and of the documents meet in a hash join; a broadcast bitmap of fixed size
-keeps the windows that no item has out of the shuffle. A document leaks an item when windows that cover ``SHARE`` of
-the item are found along alignments whose slots are consistent: within one alignment, equal values of the item stand
-for equal values in the document. So both verbatim passages and re-parameterised questions are caught.
-
-Null texts count as empty and leak nothing. An item with fewer words than a window is one window; windows with fewer
-than ``LITERALS`` plain words are not used, as they would match anything. Repeated documents are reported once for
-each doc_id. Either table may be empty.
+``WINDOW`` template words of the benchmark and of the documents meet in a hash join; a broadcast bitmap keeps the windows
+that no item has out of the shuffle. A window with fewer than ``LITERALS`` plain words would match anything by its
+template: it is matched on its words as written instead. An item with fewer words than a window is one shorter window,
+and documents are then read in windows of that length as well.
+
+A document leaks an item when windows that cover ``SHARE`` of the item are found along alignments whose slots are
+consistent (within one alignment, equal values of the item stand for equal values in the document), or when one
+alignment holds ``RUN`` words of the item in a row as they are written. So verbatim passages, excerpts of long items and
+re-parameterised questions are caught.
+
+Null texts count as empty and leak nothing. Rows with a null doc_id are not reported, but :func:`without_leaks` judges
+each text whatever its doc_id is. Repeated documents are reported once for each doc_id. Either table may be empty. Other
+columns play no part, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, marked_by, may_hold, table
 
-WINDOW, LITERALS, SHARE = 8, 4, 0.5
+WINDOW, LITERALS, SHARE, RUN = 8, 4, 0.5, 13
 #: Number words and units.
 NUMBER_WORDS = ("zero", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "twenty", "thirty", "forty", "fifty", "hundred", "thousand", "million", "half", "twice")
 UNITS = (
@@ -30,86 +35,123 @@ UNITS = (
 
 def raw_words(text: Column) -> Column:
     """Words of letters and digits, as they are written; separators within numbers are left out."""
-    plain = F.coalesce(text, F.lit(""))
+    whole = F.coalesce(text, F.lit(""))
+    plain = whole
     for _ in range(2):  # neighbouring separators overlap
         plain = F.regexp_replace(plain, r"([0-9])[.,]([0-9])", "$1$2")
+    plain = F.when(whole.rlike("[0-9][.,][0-9]"), plain).otherwise(whole)
     return F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}\p{M}]+", " "))
 
 
 def template(raw: Column) -> Column:
     """One template word for each word of ``raw``, between single spaces."""
     s = F.concat(F.lit(" "), F.replace(raw, F.lit(" "), F.lit("  ")), F.lit(" "))
-    s = F.regexp_replace(s, r" [0-9][^ ]* ", " <num> ")
     s = F.regexp_replace(s, r" \p{Lu}[^ ]* ", " <name> ")
-    s = F.regexp_replace(s, f" (?:{'|'.join(NUMBER_WORDS)}) ", " <num> ")
-    s = F.regexp_replace(s, f" <num>  (?:{'|'.join(UNITS)}) ", " <num>  <unit> ")
+    firsts = "".join(sorted({w[0] for w in NUMBER_WORDS}))
+    s = F.regexp_replace(s, f" (?=[0-9{firsts}])(?:[0-9][^ ]*|{'|'.join(NUMBER_WORDS)}) ", " <num> ")
+    s = F.when(s.contains("<num>"), F.regexp_replace(s, f" <num>  (?:{'|'.join(UNITS)}) ", " <num>  <unit> ")).otherwise(s)
     return F.trim(F.replace(s, F.lit("  "), F.lit(" ")))
 
 
-def _starts(words: str) -> str:
-    return f"case when size({words}) = 0 then array() when size({words}) < {WINDOW} then array(0) else sequence(0, size({words}) - {WINDOW}) end"
-
-
 def _split(column: str) -> Column:
     return F.when(F.col(column) == "", F.array().cast("array<string>")).otherwise(F.split(column, " "))
 
 
-def windows(rows: DataFrame, key: str) -> DataFrame:
-    """key, pos, hash of each window of the template of ``text``."""
-    words = rows.select(key, template(raw_words(F.col("text"))).alias("template")).select(key, _split("template").alias("words"))
-    hashes = F.expr(f"transform({_starts('words')}, i -> xxhash64(array_join(slice(words, i + 1, {WINDOW}), ' ')))")
-    return words.select(key, F.posexplode(hashes).alias("pos", "hash"))
+def _literals(words: list[Column]) -> Column:
+    """How many of some template words are no placeholders."""
+    out = F.lit(0)
+    for w in words:
+        out = out + F.when(w.startswith("<"), 0).otherwise(1)
+    return out
 
 
-def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, item_pos, hash, and for every window its words as written and their kinds; only windows with enough plain words."""
-    rows = benchmark.select("item_id", raw_words(F.col("text")).alias("raw")).select("item_id", "raw", template(F.col("raw")).alias("template"))
-    rows = rows.select("item_id", _split("raw").alias("raw"), _split("template").alias("words"))
-    rows = rows.select("item_id", "raw", "words", F.explode(F.expr(_starts("words"))).alias("item_pos"))
-    part = lambda c: F.expr(f"slice({c}, item_pos + 1, {WINDOW})")
-    rows = rows.select("item_id", "item_pos", part("raw").alias("item_words"), part("words").alias("kinds"))
-    rows = rows.where(F.expr(f"size(filter(kinds, w -> not startswith(w, '<'))) >= {LITERALS}"))
-    return rows.select("item_id", "item_pos", F.xxhash64(F.array_join("kinds", " ")).alias("hash"), "item_words", "kinds")
+def windows(rows: DataFrame, key: str, size: int = WINDOW, written: bool = False) -> DataFrame:
+    """key, pos, hash of each window of ``size`` words of ``text``: of those with LITERALS plain words by template, or (``written``) of the others as written.
+
+    Windows are runs of zipped shifts of the word array, so that no text is put together for them.
+    """
+    words = rows.select(key, raw_words(F.col("text")).alias("raw")).select(key, "raw", template(F.col("raw")).alias("template"))
+    words = words.select(key, _split("template").alias("t"), *([_split("raw").alias("r")] if written else []))
+    words = words.where(F.size("t") >= size)
+    shifts = lambda c: [f"slice({c}, {k + 1}, size({c}) - {size - 1}) as {c}{k}" for k in range(size)]
+    names = [f"{c}{k}" for c in (("t", "r") if written else ("t",)) for k in range(size)]
+    shifted = words.selectExpr(key, *[x for c in (("t", "r") if written else ("t",)) for x in shifts(c)])
+    flat = shifted.select(key, F.posexplode(F.arrays_zip(*names)).alias("pos", "w"))
+    plain = _literals([F.col(f"w.t{k}") for k in range(size)])
+    kind = "r" if written else "t"
+    return flat.where(plain < LITERALS if written else plain >= LITERALS).select(key, "pos", F.xxhash64(F.lit(kind), *[F.col(f"w.{kind}{k}") for k in range(size)]).alias("hash"))
 
 
-def leaks(documents: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
-    """doc_id, item_id, windows of the item, how many were found, the share, and whether all found slots are verbatim."""
+def item_windows(benchmark: DataFrame) -> DataFrame:
+    """item_id, item_pos, size, written, hash, and for every window its words as written and their kinds."""
+    rows = benchmark.select("item_id", raw_words(F.col("text")).alias("raw")).select("item_id", "raw", template(F.col("raw")).alias("template"))
+    rows = rows.select("item_id", _split("raw").alias("raw"), _split("template").alias("words")).withColumn("size", F.least(F.size("words"), F.lit(WINDOW))).where("size > 0")
+    rows = rows.select("item_id", "raw", "words", "size", F.explode(F.expr("sequence(0, size(words) - size)")).alias("item_pos"))
+    part = lambda c: F.expr(f"slice({c}, item_pos + 1, size)")
+    rows = rows.select("item_id", "item_pos", "size", part("raw").alias("item_words"), part("words").alias("kinds"))
+    rows = rows.withColumn("written", F.expr(f"size(filter(kinds, w -> not startswith(w, '<'))) < {LITERALS}"))
+    at = lambda c, n: [F.col(c)[k] for k in range(n)]
+    digest = F.lit(None).cast("long")
+    for n in range(1, WINDOW + 1):
+        digest = F.when(F.col("size") == n, F.when(F.col("written"), F.xxhash64(F.lit("r"), *at("item_words", n))).otherwise(F.xxhash64(F.lit("t"), *at("kinds", n)))).otherwise(digest)
+    return rows.withColumn("hash", digest)
+
+
+def leaks(documents: DataFrame, benchmark: DataFrame, share: float = SHARE, run: int = RUN, key: str = "doc_id") -> DataFrame:
+    """key, item_id, windows of the item, how many were found, the share, the longest run of words as written, and whether all found slots are verbatim."""
     items = cut(item_windows(benchmark), "items")
     counts = items.groupBy("item_id").agg(F.count_distinct("hash").alias("windows"))
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = marked_by(windows(docs, "doc_id"), "hash", items).where("marked").drop("marked")
-    matches = found.join(items.select("item_id", "item_pos", "hash"), "hash").where("doc_id is not null")
+    docs = documents.select(F.col(key), "text").where(F.col(key).isNotNull())
+    found = None
+    for size, written in items.select("size", "written").distinct().collect():  # two for each length up to WINDOW, mostly one
+        part = marked_by(windows(docs, key, size, written), "hash", items).where("marked").drop("marked")
+        part = part.join(items.where((F.col("size") == size) & (F.col("written") == written)).select("item_id", "item_pos", "hash"), "hash")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = docs.limit(0).select(F.lit(0).cast("long").alias("hash"), key, F.lit(0).alias("pos"), F.lit(0).alias("item_pos")).join(benchmark.select("item_id").limit(0))
+    matches = cut(found.distinct(), "matches")
 
     def covered(m: DataFrame) -> DataFrame:
-        n = m.groupBy("doc_id", "item_id").agg(F.count_distinct("hash").alias("found"))
-        return n.join(counts, "item_id").where(F.col("found") >= share * F.col("windows"))
-
-    matches = cut(matches, "matches")
-    likely = cut(matches.join(covered(matches).select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi"), "likely")
-    held = may_hold(docs, "doc_id", likely.select("doc_id")).select("doc_id", raw_words(F.col("text")).alias("raw"))
-    held = held.select("doc_id", _split("raw").alias("raw")).join(likely, "doc_id").join(items.select("item_id", "item_pos", "item_words", "kinds"), ["item_id", "item_pos"])
-    held = held.select("doc_id", "item_id", "hash", (F.col("pos") - F.col("item_pos")).alias("shift"), "kinds", "item_words", F.expr(f"slice(raw, pos + 1, {WINDOW})").alias("words"))
-    # a repeated doc_id with other text does not fit its windows
-    held = held.where("size(words) = size(item_words) and forall(sequence(0, size(kinds) - 1), i -> startswith(kinds[i], '<') or kinds[i] = words[i])")
-    slots = held.select("doc_id", "item_id", "shift", F.explode(F.arrays_zip("kinds", "item_words", "words")).alias("s")).where("startswith(s.kinds, '<')")
-    values = slots.groupBy("doc_id", "item_id", "shift", F.col("s.kinds").alias("kind"), F.col("s.item_words").alias("value")).agg(F.count_distinct("s.words").alias("n"), F.bool_and(F.expr("s.item_words = s.words")).alias("same"))
-    aligned = values.groupBy("doc_id", "item_id", "shift").agg(F.max("n").alias("most"), F.bool_and("same").alias("same"))
-    kept = held.select("doc_id", "item_id", "shift", "hash").join(aligned, ["doc_id", "item_id", "shift"], "left").where("coalesce(most, 1) = 1")
-    verbatim = kept.groupBy("doc_id", "item_id").agg(F.bool_and(F.coalesce("same", F.lit(True))).alias("verbatim"))
-    return (
-        covered(kept)
-        .join(verbatim, ["doc_id", "item_id"])
-        .select("doc_id", "item_id", "windows", "found", F.round(F.col("found") / F.col("windows"), 6).alias("share"), "verbatim")
-    )
+        n = m.groupBy(key, "item_id").agg(F.count_distinct("hash").alias("found"))
+        return n.join(counts, "item_id")
+
+    aligned_ = matches.groupBy(key, "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.count("*").alias("n")).where(F.col("n") > run - WINDOW)
+    enough = covered(matches).where(F.col("found") >= share * F.col("windows")).select(key, "item_id").unionByName(aligned_.select(key, "item_id")).distinct()
+    likely = cut(matches.join(enough, [key, "item_id"], "left_semi"), "likely")
+    held = may_hold(docs, key, likely.select(key)).dropDuplicates([key, "text"]).select(key, raw_words(F.col("text")).alias("raw"))
+    held = held.select(key, _split("raw").alias("raw")).join(likely, key).join(items.select("item_id", "item_pos", "item_words", "kinds", "written", "size"), ["item_id", "item_pos"])
+    held = held.select(key, "item_id", "item_pos", "size", "hash", (F.col("pos") - F.col("item_pos")).alias("shift"), "kinds", "item_words", "written", F.expr("slice(raw, pos + 1, size)").alias("words"))
+    # a repeated key with other text does not fit its windows
+    fits = F.expr("size(words) = size(item_words) and forall(sequence(0, size(kinds) - 1), i -> (startswith(kinds[i], '<') and not written) or item_words[i] = words[i])")
+    held = held.where(fits).withColumn("same_words", F.expr("words = item_words"))
+    slots = held.select(key, "item_id", "shift", F.explode(F.arrays_zip("kinds", "item_words", "words")).alias("s")).where("startswith(s.kinds, '<')")
+    values = slots.groupBy(key, "item_id", "shift", F.col("s.kinds").alias("kind"), F.col("s.item_words").alias("value")).agg(F.count_distinct("s.words").alias("n"), F.bool_and(F.expr("s.item_words = s.words")).alias("same"))
+    aligned = values.groupBy(key, "item_id", "shift").agg(F.max("n").alias("most"), F.bool_and("same").alias("same"))
+    kept = held.select(key, "item_id", "item_pos", "size", "shift", "hash", "same_words").join(aligned, [key, "item_id", "shift"], "left").where("coalesce(most, 1) = 1")
+    verbatim = kept.groupBy(key, "item_id").agg(F.bool_and(F.coalesce("same", F.lit(True))).alias("verbatim"))
+    written = kept.where("same_words").select(key, "item_id", "shift", "item_pos", "size").distinct()
+    place = F.row_number().over(Window.partitionBy(key, "item_id", "shift").orderBy("item_pos"))
+    runs = written.withColumn("island", F.col("item_pos") - place).groupBy(key, "item_id", "shift", "island").agg((F.count("*") + F.max("size") - 1).alias("run"))
+    runs = runs.groupBy(key, "item_id").agg(F.max("run").alias("run"))
+    out = covered(kept).join(verbatim, [key, "item_id"]).join(runs, [key, "item_id"], "left").withColumn("run", F.coalesce("run", F.lit(0)).cast("long"))
+    out = out.where((F.col("found") >= share * F.col("windows")) | (F.col("run") >= run))
+    return out.select(key, "item_id", "windows", "found", F.round(F.col("found") / F.col("windows"), 6).alias("share"), "run", "verbatim")
 
 
 def without_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that leak no item, with their own columns."""
-    return documents.join(leaks(documents, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(documents.columns)
+    """The documents whose text leaks no item, with their own columns: each text is judged by itself, whatever its doc_id.
+
+    Null texts stay; repeated rows stay or go together; without benchmark all stay. Documents that surely leak nothing are not shuffled.
+    """
+    keyed = documents.withColumn("_text", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    bad = cut(leaks(keyed.select("_text", "text"), benchmark, key="_text").select("_text").distinct(), "leaking")
+    marked = marked_by(keyed, "_text", bad)
+    return marked.where("not marked").unionByName(marked.where("marked").join(bad, "_text", "left_anti")).select(documents.columns)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def _sql_template(table_name: str, key: str) -> str:
@@ -121,24 +163,33 @@ def _sql_template(table_name: str, key: str) -> str:
     s = f"regexp_replace({s}, ' (?:{'|'.join(NUMBER_WORDS)}) ', ' <num> ', 'g')"
     s = f"regexp_replace({s}, ' <num>  (?:{'|'.join(UNITS)}) ', ' <num>  <unit> ', 'g')"
     words = lambda c: f"CASE WHEN {c} = '' THEN [] ELSE string_split({c}, ' ') END"
-    return f"""(SELECT {key}, raw, words, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < {WINDOW} THEN [0] ELSE range(0, len(words) - {WINDOW} + 1) END) AS pos
-    FROM (SELECT {key}, {words("raw")} AS raw, {words("tpl")} AS words FROM (SELECT {key}, raw, trim(replace({s}, '  ', ' ')) AS tpl FROM (SELECT {key}, {raw} AS raw FROM {table_name}))))"""
+    return f"""(SELECT {key}, {words("raw")} AS raw, {words("tpl")} AS words FROM (SELECT {key}, raw, trim(replace({s}, '  ', ' ')) AS tpl FROM (SELECT {key}, {raw} AS raw FROM {table_name})))"""
+
 
+_SQL_PLAIN = "len(list_filter(kinds, lambda w: NOT starts_with(w, '<')))"
 
 QUERIES = {"op10_decontaminate": op10_decontaminate}
 SQL = {
     "op10_decontaminate": f"""
-WITH i AS (
-  SELECT item_id, pos AS item_pos, raw[pos + 1:pos + {WINDOW}] AS item_words, words[pos + 1:pos + {WINDOW}] AS kinds FROM {_sql_template("benchmark", "item_id")}
-  WHERE len(list_filter(words[pos + 1:pos + {WINDOW}], lambda w: NOT starts_with(w, '<'))) >= {LITERALS}
-), d AS (SELECT doc_id, pos, raw[pos + 1:pos + {WINDOW}] AS doc_words, words[pos + 1:pos + {WINDOW}] AS kinds FROM {_sql_template("documents", "doc_id")}),
-m AS (SELECT doc_id, item_id, kinds, pos - item_pos AS shift, item_words, doc_words FROM d JOIN i USING (kinds)),
+WITH it AS (SELECT item_id, raw, words, least(len(words), {WINDOW}) AS size FROM {_sql_template("benchmark", "item_id")} WHERE len(words) > 0),
+ip AS (SELECT item_id, raw, words, size, unnest(range(0, len(words) - size + 1)) AS item_pos FROM it),
+iw AS (SELECT item_id, item_pos, size, raw[item_pos + 1:item_pos + size] AS item_words, words[item_pos + 1:item_pos + size] AS kinds FROM ip),
+i AS (SELECT *, CASE WHEN {_SQL_PLAIN} < {LITERALS} THEN item_words ELSE kinds END AS met, {_SQL_PLAIN} < {LITERALS} AS written FROM iw),
+dt AS (SELECT doc_id, raw, words, size FROM {_sql_template("documents", "doc_id")}, (SELECT DISTINCT size FROM i) WHERE len(words) >= size),
+dp AS (SELECT doc_id, raw, words, size, unnest(range(0, len(words) - size + 1)) AS pos FROM dt),
+dw AS (SELECT doc_id, pos, raw[pos + 1:pos + size] AS doc_words, words[pos + 1:pos + size] AS kinds FROM dp),
+d AS (SELECT *, CASE WHEN {_SQL_PLAIN} < {LITERALS} THEN doc_words ELSE kinds END AS met, {_SQL_PLAIN} < {LITERALS} AS written FROM dw),
+m AS (SELECT d.doc_id, i.item_id, i.item_pos, i.size, i.met, i.written, i.kinds, pos - item_pos AS shift, item_words, doc_words FROM d JOIN i ON d.met = i.met AND d.written = i.written),
 slots AS (SELECT doc_id, item_id, shift, unnest(kinds) AS kind, unnest(item_words) AS value, unnest(doc_words) AS other FROM m),
 aligned AS (SELECT doc_id, item_id, shift, max(n) AS most, bool_and(same) AS same FROM
   (SELECT doc_id, item_id, shift, kind, value, count(DISTINCT other) AS n, bool_and(value = other) AS same FROM slots WHERE starts_with(kind, '<') GROUP BY ALL) GROUP BY ALL),
-kept AS (SELECT m.doc_id, m.item_id, m.kinds, coalesce(a.same, true) AS same FROM m LEFT JOIN aligned a USING (doc_id, item_id, shift) WHERE coalesce(a.most, 1) = 1),
-n AS (SELECT item_id, count(DISTINCT kinds) AS windows FROM i GROUP BY item_id)
-SELECT k.doc_id, k.item_id, n.windows, count(DISTINCT kinds) AS found, round(count(DISTINCT kinds) / n.windows, 6) AS share, bool_and(same) AS verbatim
-FROM kept k JOIN n USING (item_id) GROUP BY k.doc_id, k.item_id, n.windows HAVING count(DISTINCT kinds) >= {SHARE} * n.windows
+kept AS (SELECT m.*, coalesce(a.same, true) AS same FROM m LEFT JOIN aligned a USING (doc_id, item_id, shift) WHERE coalesce(a.most, 1) = 1),
+w AS (SELECT DISTINCT doc_id, item_id, shift, item_pos, size FROM kept WHERE item_words = doc_words),
+o AS (SELECT *, item_pos - row_number() OVER (PARTITION BY doc_id, item_id, shift ORDER BY item_pos) AS island FROM w),
+runs AS (SELECT doc_id, item_id, max(run) AS run FROM (SELECT doc_id, item_id, shift, island, count(*) + max(size) - 1 AS run FROM o GROUP BY ALL) GROUP BY ALL),
+n AS (SELECT item_id, count(DISTINCT met) AS windows FROM i GROUP BY item_id),
+c AS (SELECT doc_id, item_id, count(DISTINCT met) AS found, bool_and(same) AS verbatim FROM kept GROUP BY ALL)
+SELECT c.doc_id, c.item_id, n.windows, c.found, round(c.found / n.windows, 6) AS share, coalesce(r.run, 0)::BIGINT AS run, c.verbatim
+FROM c JOIN n USING (item_id) LEFT JOIN runs r USING (doc_id, item_id) WHERE c.found >= {SHARE} * n.windows OR coalesce(r.run, 0) >= {RUN}
 """
 }

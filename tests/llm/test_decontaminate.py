@@ -1,4 +1,7 @@
+import random
+
 import duckdb
+from pyspark.sql import functions as F
 
 from plumbline.llm import decontaminate as D
 
@@ -16,7 +19,7 @@ def rows(spark):
         (5, None), (6, ""), (7, ITEM), (7, ITEM), (8, "word " * 20_000),
     ]
     items = [(0, ITEM), (1, None), (2, ""), (3, "Too Short"), (4, "another plain item about rivers that nobody has copied into any text so far")]
-    return spark.createDataFrame(docs, "doc_id long, text string").withColumnRenamed("x", "y"), spark.createDataFrame(items, "item_id long, text string")
+    return spark.createDataFrame(docs, "doc_id long, text string").withColumn("hash", F.lit("x")).withColumn("item_id", F.lit(5)), spark.createDataFrame(items, "item_id long, text string")
 
 
 def test_leaks(spark):
@@ -29,13 +32,34 @@ def test_leaks(spark):
     assert D.leaks(docs.limit(0), items).count() == 0 and D.leaks(docs, items.limit(0)).count() == 0
 
 
+def test_short_items_capitals_and_excerpts(spark):
+    rng = random.Random(5)
+    prose = lambda n: " ".join(rng.choice(["stone", "river", "walks", "under", "green", "often", "light", "door"]) + rng.choice("abcdefgh") + rng.choice("klmnop") for _ in range(n))
+    long_item, short, capitals = prose(300), "why do rivers bend here", "NAME ALL FIVE GREAT LAKES OF THE NORTH BY SIZE 1 2 3"
+    items = spark.createDataFrame([(1, long_item), (2, short), (3, capitals), (4, "One 2 Three")], "item_id long, text string")
+    excerpt = " ".join(long_item.split()[100:130])
+    docs = [
+        (1, prose(40) + " " + excerpt + " " + prose(40)), (2, prose(30) + " Then: " + short + "? " + prose(9)), (3, prose(20) + " " + capitals + " " + prose(20)),
+        (4, prose(60)), (5, "NAME ALL SIX SMALL PONDS OF THE SOUTH BY SIZE 1 2 3 and so on it goes here"), (6, short), (None, capitals), (7, " ".join(long_item.split()[100:108])),
+        (8, prose(3) + " One 2 Three " + prose(3)), (8, prose(12)),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    out = {(r.doc_id, r.item_id): r for r in D.leaks(df, items).collect()}
+    assert set(out) == {(1, 1), (2, 2), (3, 3), (6, 2), (8, 4)}
+    assert out[1, 1].run == 30 and out[1, 1].share < 0.5 and out[2, 2].run == 5 and out[3, 3].verbatim
+    assert sorted(r.doc_id for r in D.without_leaks(df, items).collect()) == [4, 5, 7, 8]
+    assert D.without_leaks(df, items.limit(0)).count() == len(docs) and D.without_leaks(df.limit(0), items).count() == 0
+    repeated = df.where("doc_id = 4").unionByName(df.where("doc_id = 4")).unionByName(spark.createDataFrame([(None, None)], df.schema))
+    assert D.without_leaks(repeated, items).count() == 3
+
+
 def test_as_sql(spark):
     for sf in ("sf0.001", "sf0.01"):
         path = f"/root/testdata/{sf}"
         con = duckdb.connect()
         for t in ("documents", "benchmark"):
             con.execute(f"create view {t} as select * from '{path}/{t}.parquet'")
-        want = sorted(con.execute(f"select doc_id, item_id, windows, found, share, verbatim from ({D.SQL['op10_decontaminate']})").fetchall())
+        want = sorted(con.execute(f"select doc_id, item_id, windows, found, share, run, verbatim from ({D.SQL['op10_decontaminate']})").fetchall())
         assert sorted(tuple(r) for r in D.op10_decontaminate(spark, path).collect()) == want
     assert len(want) > 5
     planted = con.execute("select distinct d.doc_id, b.item_id from documents d join benchmark b on contains(d.text, b.text)").fetchall()
