@@ -1,10 +1,12 @@
-"""Keyed order: whatever is random is a hash of a seed and a key, and ranks are global without one task sorting all."""
+"""Keyed order: whatever is random is a hash of a seed and a key; ranks, running totals and quantiles are global without one task sorting all."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import cut
+
 
 def hash_order(*parts: object) -> Column:
     """md5 of the parts joined by ``:``; plain values are literals, columns are cast to text. Nulls are left out."""
@@ -16,28 +18,63 @@ def uniform(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def global_rank(df: DataFrame, order: list[str], name: str = "rank", parts: int = 128) -> DataFrame:
-    """``df`` with the 0-based rank of each row by the columns ``order``, which must be a total order.
+_PART_BITS = 33
+
+
+def _dealt(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` written in the order ``order``: ``_at`` rises with it, its bits above _PART_BITS are the part, those below the place in it.
+
+    Parts are ranges of the order, of a size that shuffles choose. The table is written once: ranges that are drawn anew
+    would not be the same ones.
+    """
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return cut(ordered.withColumn("_at", F.monotonically_increasing_id()), "ranked")
+
+
+def _part() -> Column:
+    return F.shiftright("_at", _PART_BITS)
+
+
+def _offsets(dealt: DataFrame, size: Column) -> DataFrame:
+    """_part, _first: the sum of ``size`` over the parts before; a row for each part."""
+    sums = {r["_part"]: r["_n"] for r in dealt.groupBy(_part().alias("_part")).agg(size.alias("_n")).collect()}
+    first, rows = 0, []
+    for p in sorted(sums):
+        rows.append((p, first))
+        first += sums[p]
+    return dealt.sparkSession.createDataFrame(rows, "_part long, _first long")
+
+
+def global_rank(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
+    """``df`` with the 0-based rank of each row by the columns ``order``, which must be a total order; nulls come first.
+
+    No task sees more than its range of the order, and no window is needed: a row's place in its range is known where it
+    is written, and the sizes of the ranges before are added.
+    """
+    dealt = _dealt(df, order)
+    ranked = dealt.withColumn("_part", _part()).join(F.broadcast(_offsets(dealt, F.count("*"))), "_part")
+    return ranked.withColumn(name, F.col("_first") + F.col("_at").bitwiseAND(F.lit((1 << _PART_BITS) - 1))).drop("_part", "_first", "_at")
+
+
+def running_total(df: DataFrame, order: list[str], value: str, name: str = "total") -> DataFrame:
+    """``df`` with the sum of the whole numbers ``value`` up to and with each row, by the columns ``order``, a total order."""
+    dealt = _dealt(df, order).withColumn("_part", _part())
+    within = F.sum(value).over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
+    return dealt.join(F.broadcast(_offsets(dealt, F.sum(value))), "_part").withColumn(name, F.col("_first") + within).drop("_part", "_first", "_at")
+
+
+def quantiles(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
+    """One row with a column for each share: that quantile of the values that are not null, linear between neighbours.
 
-    Up to 20 rows a part, chosen by hash, give bounds; a row's part follows from the bounds alone, so the counts of the
-    parts and the ranks within them agree however often a task is run. Parts are counted, and the counts of earlier
-    parts are added to the rank within the part.
+    Equal values are counted first, and their counts summed along the order, so that no buffer holds all values.
     """
-    key = F.struct(*order)
-    sample = df.select(*order).orderBy(F.xxhash64(*order), *order).limit(20 * parts).collect()
-    if not sample:
-        return df.withColumn(name, F.lit(0).cast("long"))
-    ordered = sorted((tuple(r) for r in sample), key=lambda r: tuple((v is not None, v) for v in r))
-    bounds = ordered[20::20]
-    kinds = [df.schema[c].dataType for c in order]
-    literal = lambda r: F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(r, kinds, order, strict=True)])
-    part = F.size(F.filter(F.array(*map(literal, bounds)), lambda b: b <= key)) if bounds else F.lit(0)
-    dealt = df.withColumn("_part", part)
-    counts = {r["_part"]: r["count"] for r in dealt.groupBy("_part").count().collect()}  # ``parts`` rows
-    first, offsets = 0, []
-    for p in sorted(counts):
-        offsets.append((p, first))
-        first += counts[p]
-    shifts = df.sparkSession.createDataFrame(offsets, "_part int, _first long")
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return dealt.join(F.broadcast(shifts), "_part").withColumn(name, within - 1 + F.col("_first")).drop("_part", "_first")
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    totals = running_total(counts, ["_v"], "_c", "_upto")
+    n = totals.agg(F.max("_upto")).first()[0] or 0
+    picks = []
+    for name, share in shares.items():
+        place = share * (n - 1)
+        low = int(place // 1)
+        at = lambda k: F.min(F.when(F.col("_upto") > k, F.col("_v")))
+        picks.append((at(low) + (at(min(low + 1, max(n - 1, 0))) - at(low)) * (place - low)).cast("double").alias(name))
+    return totals.agg(*picks)

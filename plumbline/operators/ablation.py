@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.keys import quantiles
 from ..functions.text import ablated, clean_annotation, random_dropped, sentences, term_pattern
 from .gates import GateError
 
@@ -67,10 +69,9 @@ def ablation_summary(results: DataFrame, group: str) -> tuple[DataFrame, DataFra
         F.sum("characters_after").alias("characters_after"),
         (F.sum("characters_after") / F.sum("characters_before")).alias("corpus_retention"),
         F.avg(retention).alias("retention_mean"),
-        F.median(retention).alias("retention_median"),
-        F.percentile(retention, F.lit(0.1)).alias("retention_p10"),
         F.count_if(F.col("characters_before") == 0).alias("undefined_retention"),
     )
+    totals = totals.crossJoin(quantiles(results.select(retention.alias("retention")), "retention", {"retention_median": 0.5, "retention_p10": 0.1}))
     groups = results.groupBy(group).agg(n.alias("documents"), F.count_if(trimmed).alias("trimmed"), F.count_if(emptied).alias("emptied"), F.sum(F.size("removed")).alias("sentences_removed"))
     terms = results.select(F.explode("matched_terms").alias("term")).groupBy("term").agg(n.alias("documents"))
     return totals, groups, terms
@@ -82,12 +83,19 @@ def retention_gate(results: DataFrame) -> DataFrame:
 
 
 def term_mentions(df: DataFrame, text: Column, terms: Sequence[str]) -> DataFrame:
-    """term, n: texts that mention each term, matched alone; terms without any stay with 0. One pass, one row a term."""
-    any_ = term_pattern(terms)
-    counts = [F.count_if(F.col("_any") & F.col("_t").rlike(term_pattern([t]))).alias(f"_{i}") for i, t in enumerate(terms)]
-    wide = df.select(text.alias("_t")).withColumn("_any", F.col("_t").rlike(any_)).agg(*counts)
-    pairs = F.array(*[F.struct(F.lit(t).alias("term"), F.col(f"_{i}").alias("n")) for i, t in enumerate(terms)])
-    return wide.select(F.explode(pairs).alias("p")).select("p.*")
+    """term, n: texts that mention each term, matched alone; terms without any stay with 0.
+
+    Texts are taken apart once: terms of one word are looked up among their distinct words, phrases are searched for.
+    """
+    forms = [(form, t) for t in terms if re.fullmatch(r"\w+", t) for form in (t.lower(), f"{t.lower()}s")]
+    phrases = [t for t in terms if not re.fullmatch(r"\w+", t)]
+    words = F.array_intersect(F.split(F.lower("_t"), r"(?U)\W+"), F.array(*[F.lit(f) for f, _ in forms])) if forms else F.array().cast("array<string>")
+    said = [F.when(F.col("_t").rlike(term_pattern([t])), F.lit(t)) for t in phrases]
+    held = df.select(text.alias("_t")).select(words.alias("words"), F.array_compact(F.array(*said)).cast("array<string>").alias("phrases"))
+    ones = [F.when(F.arrays_overlap("words", F.array(*[F.lit(f) for f, of in forms if of == t])), F.lit(t)) for t in dict.fromkeys(of for _, of in forms)]
+    found = held.where((F.size("words") > 0) | (F.size("phrases") > 0)).select(F.explode(F.concat("phrases", F.array_compact(F.array(*ones)).cast("array<string>"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    listed = df.sparkSession.createDataFrame([(t,) for t in dict.fromkeys(terms)], "term string")
+    return listed.join(F.broadcast(found), "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))  # a row for each term
 
 
 def text_variants(results: DataFrame, key: str, text: str, seeds: Sequence[int]) -> DataFrame:

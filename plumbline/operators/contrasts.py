@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import hash_order
+from ..functions.keys import global_rank, hash_order, quantiles
 from .metrics import average_ranks
 
 
@@ -59,16 +59,16 @@ def p_value(z: float) -> float:
 def cluster_bootstrap(pairs: DataFrame, cluster: str, replicates: int, seed: int, level: float = 0.95) -> DataFrame:
     """mean, low, high: an interval of the mean delta from resampling whole clusters; each draw is a hash of seed, replicate and place.
 
-    Clusters are reduced to sums first, so that replicates multiply clusters, not rows.
+    Clusters are reduced to sums and numbered first; every place of every replicate then meets the cluster that its hash
+    names in a join, so that neither clusters nor replicates are held in one row.
     """
-    sums = pairs.groupBy(cluster).agg(F.sum("delta").alias("s"), F.count("*").alias("c"))
-    packed = sums.agg(F.array_sort(F.collect_list(F.struct(cluster, "s", "c"))).alias("all"))  # a row for each cluster
-    runs = pairs.sparkSession.range(replicates).withColumnRenamed("id", "replicate").crossJoin(F.broadcast(packed))
-    drawn = runs.select("replicate", "all", F.explode(F.sequence(F.lit(0), F.size("all") - 1)).alias("place"))
-    at = F.pmod(F.conv(F.substring(hash_order(seed, F.col("replicate"), F.col("place")), 1, 8), 16, 10).cast("long"), F.size("all")).cast("int")
-    means = drawn.select("replicate", F.col("all")[at].alias("d")).groupBy("replicate").agg((F.sum("d.s") / F.sum("d.c")).alias("m"))
+    sums = global_rank(pairs.groupBy(cluster).agg(F.sum("delta").alias("s"), F.count("*").alias("c")), [cluster], "_i")
+    n = sums.count()
+    drawn = sums.select(F.col("_i").alias("place"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    at = F.pmod(F.conv(F.substring(hash_order(seed, F.col("replicate"), F.col("place")), 1, 8), 16, 10).cast("long"), F.lit(max(n, 1)))
+    means = drawn.select("replicate", at.alias("_i")).join(sums, "_i").groupBy("replicate").agg((F.sum("s") / F.sum("c")).alias("m"))
     tail = (1 - level) / 2
-    return means.agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high")).crossJoin(sums.agg((F.sum("s") / F.sum("c")).alias("mean"))).select("mean", "low", "high")
+    return quantiles(means, "m", {"low": tail, "high": 1 - tail}).crossJoin(sums.agg((F.sum("s") / F.sum("c")).alias("mean"))).select("mean", "low", "high")
 
 
 def sign_consistency(pairs: DataFrame, seed: str) -> DataFrame:

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.keys import global_rank
+from ..functions.shared import cut
 from .features import assembled
 from .gates import GateError
-from .metrics import classification
+from .metrics import classification, spearman_by
+from .splits import shuffled_pairs
 
 PENALTIES = tuple(10.0**k for k in range(-2, 9))
 
@@ -24,38 +27,64 @@ def best_by_validation(candidates: DataFrame, by: list[str], loss: str, ordinal:
     return candidates.groupBy(*by).agg(F.min_by(F.struct(*candidates.columns), F.struct(loss, ordinal)).alias("_c")).select("_c.*")
 
 
-def _average_ranks(x: np.ndarray) -> np.ndarray:
-    return pd.Series(x).rank(method="average").to_numpy()
+def _dot(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(F.col(a), F.col(b), lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
 
-def ridge_grid(rows: DataFrame, by: list[str], penalties: tuple[float, ...] = PENALTIES) -> DataFrame:
-    """by, penalty, val_mse, spearman, n_train, n_test for each configuration of rows (by, role, vec, y).
+def ridge_weights(rows: DataFrame, by: list[str], penalties: tuple[float, ...] = PENALTIES) -> DataFrame:
+    """by, n_train, fits: array<struct<k, penalty, intercept, weights>> from the training rows (by, vec, y) of each configuration.
 
-    Features are standardised with the mean and population deviation of the training rows (plus 1e-8), y is centred;
-    one decomposition serves all penalties; the first least validation error wins. A configuration's rows, which its
-    size n bounds, are one group. A constant side gives a null correlation.
+    Every task sums its part of the normal equations of each configuration that it meets; the parts, of fixed size, meet
+    by configuration and are solved there for all penalties. Features are standardised with the mean and population
+    deviation of the training rows (plus 1e-8), y is centred; weights are given back for the features as they are.
     """
     kinds = dict(rows.dtypes)
-
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        part = {r: (np.stack(g["vec"].to_numpy()).astype(float), g["y"].to_numpy(float)) for r, g in frame.groupby("role")}
-        x, y = part["train"]
-        mean, sd = x.mean(0), x.std(0) + 1e-8
-        u, s, vt = np.linalg.svd((x - mean) / sd, full_matrices=False)
-        target = u.T @ (y - y.mean())
-        best = None
+    keys = ", ".join(f"`{c}` {kinds[c]}" for c in by)
+
+    def parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
+        for frame in frames:
+            for key, g in frame.groupby(by, dropna=False):
+                x = np.column_stack([np.ones(len(g)), np.stack(g["vec"].to_numpy()).astype(float), g["y"].to_numpy(float)])
+                sums[key] = sums[key] + x.T @ x if key in sums else x.T @ x
+        if sums:
+            yield pd.DataFrame([[*key, len(m), m.tobytes()] for key, m in sums.items()], columns=[*by, "_width", "_sums"])
+
+    def solved(frame: pd.DataFrame) -> pd.DataFrame:
+        width = int(frame["_width"].iloc[0])
+        m = sum(np.frombuffer(b, float).reshape(width, width) for b in frame["_sums"])
+        n, total, sum_y = m[0, 0], m[0, 1:-1], m[0, -1]
+        mean = total / n
+        sd = np.sqrt(np.maximum(np.diag(m)[1:-1] / n - mean**2, 0)) + 1e-8
+        gram = (m[1:-1, 1:-1] - n * np.outer(mean, mean)) / np.outer(sd, sd)
+        target = (m[1:-1, -1] - mean * sum_y) / sd
+        values, vectors = np.linalg.eigh(gram)
+        fits = []
         for k, penalty in enumerate(penalties):
-            w = vt.T @ (s / (s**2 + penalty) * target)
-            predict = lambda v, w=w: (v - mean) / sd @ w + y.mean()
-            loss = float(np.mean((predict(part["val"][0]) - part["val"][1]) ** 2))
-            if best is None or loss < best[0]:
-                best = (loss, k, predict(part["test"][0]))
-        a, b = _average_ranks(best[2]), _average_ranks(part["test"][1])
-        rho = float(np.corrcoef(a, b)[0, 1]) if len(a) > 1 and a.std() and b.std() else None
-        return pd.DataFrame([[*frame[by].iloc[0], penalties[best[1]], best[0], rho, len(y), len(b)]], columns=[*by, "penalty", "val_mse", "spearman", "n_train", "n_test"])
+            w = vectors @ (vectors.T @ target / (np.maximum(values, 0) + penalty)) / sd
+            fits.append({"k": k, "penalty": penalty, "intercept": float(sum_y / n - mean @ w), "weights": w.tolist()})
+        return pd.DataFrame([[*frame[by].iloc[0], int(round(n)), fits]], columns=[*by, "n_train", "fits"])
 
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "penalty double, val_mse double, spearman double, n_train long, n_test long"])
-    return rows.groupBy(*by).applyInPandas(fit, schema)
+    partial = rows.select(*by, "vec", "y").mapInPandas(parts, f"{keys}, _width int, _sums binary")
+    return partial.groupBy(*by).applyInPandas(solved, f"{keys}, n_train long, fits array<struct<k:int,penalty:double,intercept:double,weights:array<double>>>")
+
+
+def ridge_grid(rows: DataFrame, by: list[str], penalties: tuple[float, ...] = PENALTIES) -> DataFrame:
+    """by, penalty, val_mse, spearman, n_train, n_test for each configuration of rows (by, role, vec, y).
+
+    The penalty with the least validation error wins, the first of equals. Rows are scored where they are, with the
+    weights of their configuration; no configuration is one group. A constant side gives a null correlation.
+    """
+    fits = cut(ridge_weights(rows.where("role = 'train'"), by, penalties), "fits")
+    predicted = (_dot("vec", "_f.weights") + F.col("_f.intercept")).alias("said")
+    scored = lambda role, chosen, *more: rows.where(F.col("role") == role).select(*by, F.col("vec").cast("array<double>").alias("vec"), F.col("y").cast("double").alias("y")).join(chosen, by).select(*by, "y", predicted, *more)
+    tried = scored("val", fits.select(*by, F.explode("fits").alias("_f")), F.col("_f.k").alias("k"))
+    losses = tried.groupBy(*by, "k").agg(F.avg(F.pow(F.col("said") - F.col("y"), 2)).alias("val_mse"))
+    best = cut(best_by_validation(losses, by, "val_mse", "k"), "best")
+    chosen = cut(fits.join(best, by).select(*by, "n_train", "val_mse", F.get("fits", F.col("k")).alias("_f")), "chosen")
+    test = cut(scored("test", chosen.select(*by, "_f")), "scored")
+    out = chosen.select(*by, F.col("_f.penalty").alias("penalty"), "val_mse", "n_train").join(spearman_by(test, by, "said", "y"), by, "left")
+    return out.select(*by, "penalty", "val_mse", "spearman", "n_train", F.coalesce("n", F.lit(0)).alias("n_test"))
 
 
 def ridge(train: DataFrame, features: str, y: str, penalty: float):
@@ -99,36 +128,85 @@ def predictions(model, df: DataFrame, features: str) -> DataFrame:
     return model.transform(df.withColumn("_x", array_to_vector(F.col(features).cast("array<double>")))).drop("_x")
 
 
+MOST_CLASSES = 10_000
+
+
 def nearest_centroid(df: DataFrame, key: str, label: str, features: str, role: str = "role") -> DataFrame:
-    """key, label, predicted for rows that are not training: the class whose mean training vector is nearest; ties to the smaller label."""
+    """key, label, predicted for rows that are not training: the class whose mean training vector is nearest; ties to the smaller label.
+
+    More than MOST_CLASSES classes are an error: every row is held against all of their means.
+    """
     flat = df.where(F.col(role) == "train").select(label, F.posexplode(features).alias("i", "x"))
     centres = flat.groupBy(label, "i").agg(F.avg("x").alias("c"))
-    packed = centres.groupBy(F.col(label).alias("_l")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda s: s["c"]).alias("_c"))
+    packed = cut(centres.groupBy(F.col(label).alias("_l")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda s: s["c"]).alias("_c")), "centres")
+    if (n := packed.count()) > MOST_CLASSES:
+        raise GateError(f"{n} classes are more than {MOST_CLASSES}")
     near = df.where(F.col(role) != "train").join(F.broadcast(packed))  # a row for each class
     distance = F.aggregate(F.zip_with(features, "_c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
     return near.groupBy(key).agg(F.first(label).alias(label), F.min_by("_l", F.struct(distance, F.col("_l"))).alias("predicted"))
 
 
-def checked_arms(arms: list[dict], blocks: set[str]) -> list[dict]:
-    """Arms (name, blocks, shuffle, redrawn): unique names, known blocks, none both shuffled and redrawn."""
+def checked_arms(arms: list[dict], blocks: dict) -> list[dict]:
+    """Arms (name, blocks, shuffle, redrawn): unique names, known blocks, none both shuffled and redrawn.
+
+    ``shuffle`` and ``redrawn`` list blocks of the arm; a redrawn one must be given as a function of the seed.
+    """
     names = [a["name"] for a in arms]
     if len(set(names)) < len(names):
         raise GateError("two arms share a name")
     for a in arms:
-        if lack := set(a["blocks"]) - blocks:
+        shuffle, redrawn = a.get("shuffle") or [], a.get("redrawn") or []
+        if lack := {*a["blocks"], *shuffle, *redrawn} - set(blocks):
             raise GateError(f"arm {a['name']} has no block {sorted(lack)}")
-        if a.get("shuffle") and a.get("redrawn"):
+        if shuffle and redrawn:
             raise GateError(f"arm {a['name']} is both shuffled and redrawn")
+        if stray := {*shuffle, *redrawn} - set(a["blocks"]):
+            raise GateError(f"arm {a['name']} does not use {sorted(stray)}")
+        if fixed := [b for b in redrawn if not callable(blocks[b])]:
+            raise GateError(f"blocks {fixed} are not drawn by seed")
     return arms
 
 
-def run_arms(arms: list[dict], blocks: dict[str, DataFrame], split: Callable[[int], DataFrame], key: str, label: str, seeds: list[int]) -> DataFrame:
-    """arm, seed and metrics of a nearest-centroid fit of every arm on the same splits: only the blocks differ."""
+def arm_features(arm: dict, blocks: dict, key: str, seed: int) -> DataFrame:
+    """key, vec of an arm under a seed: its blocks side by side, shuffled ones dealt to other keys, redrawn ones of that seed.
+
+    A shuffled block is permuted over the whole table, not within a split; without the flag a block that is a function
+    is drawn for seed 0, whatever the seed of the fit.
+    """
+    made = {}
+    for name in arm["blocks"]:
+        block = blocks[name]
+        block = block(seed if name in (arm.get("redrawn") or []) else 0) if callable(block) else block
+        made[name] = shuffled_pairs(block, key, "vec", seed).select(key, "vec") if name in (arm.get("shuffle") or []) else block
+    return assembled(made, arm["blocks"], key)
+
+
+def centroid_fit(rows: DataFrame, key: str, label: str, seed: int) -> DataFrame:
+    return nearest_centroid(rows, key, label, "vec")
+
+
+def head_fit(rows: DataFrame, key: str, label: str, seed: int) -> DataFrame:
+    """key, label, predicted on test rows by the head that is best on validation rows."""
+    train, val = rows.where("role = 'train'"), rows.where("role = 'val'")
+    classes = train.agg(F.count_distinct(label)).first()[0]
+    codes = train.select(label).distinct()
+    coded = global_rank(codes, [label], "_y").withColumnRenamed(label, "_label")
+    with_code = lambda df: df.join(coded, F.col(label) == F.col("_label")).drop("_label")
+    model, _, _ = head(with_code(train), with_code(val), "vec", "_y", classes, seed)
+    said = predictions(model, rows.where("role = 'test'"), "vec").select(key, label, F.col("prediction").cast("long").alias("_y"))
+    return said.join(coded, "_y", "left").select(key, label, F.col("_label").alias("predicted"))
+
+
+def run_arms(arms: list[dict], blocks: dict, split: Callable[[int], DataFrame], key: str, label: str, seeds: list[int], fit: Callable = centroid_fit) -> DataFrame:
+    """arm, seed and metrics of the same fit for every arm on the same splits: only the blocks differ.
+
+    ``blocks`` are tables (key, vec) or functions of a seed that give one; ``fit(rows, key, label, seed)`` gives key, label and
+    predicted of rows (key, label, role, vec) that are not training.
+    """
     out = None
-    for a in checked_arms(arms, set(blocks)):
-        features = assembled(blocks, a["blocks"], key)
+    for a in checked_arms(arms, blocks):
         for seed in seeds:
-            rows = split(seed).join(features, key)
-            got = classification(nearest_centroid(rows, key, label, "vec"), label, "predicted").withColumn("arm", F.lit(a["name"])).withColumn("seed", F.lit(seed))
+            rows = split(seed).join(arm_features(a, blocks, key, seed), key)
+            got = classification(fit(rows, key, label, seed), label, "predicted").withColumn("arm", F.lit(a["name"])).withColumn("seed", F.lit(seed))
             out = got if out is None else out.unionByName(got)
     return out

@@ -45,7 +45,7 @@ def coverage(expected: DataFrame, found: DataFrame, *keys: str) -> DataFrame:
 
 
 def not_finite(column: Column) -> Column:
-    """Whether an array or a number holds something that is no finite number."""
+    """Whether an array holds something that is no finite number; a null array is null, which is a fault to :func:`check`."""
     return F.exists(column, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
 
 

@@ -7,36 +7,48 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.keys import global_rank
 from .fits import ridge_grid
 from .gates import coverage
-from .splits import draws, fold_roles
+from .splits import capped, draws, fold_roles
 
 
-def grid(spark: SparkSession, axes: dict[str, list]) -> DataFrame:
-    """One row for each combination, with ``ordinal``: the last axis runs fastest. As many rows as the axes multiply to."""
+def grid(spark: SparkSession, axes: dict[str, list | DataFrame]) -> DataFrame:
+    """One row for each combination, with ``ordinal``: the last axis runs fastest. As many rows as the axes multiply to.
+
+    An axis is a list of few values, or a table of one column, whose distinct values stand in their order.
+    """
     frames, ordinal, size = [], F.lit(0).cast("long"), 1
     for name, values in reversed(axes.items()):
-        frames.append(spark.createDataFrame([(v, i) for i, v in enumerate(values)], f"`{name}` {'string' if isinstance(values[0], str) else 'int'}, `_{name}` int"))
-        ordinal = ordinal + F.col(f"_{name}") * size
-        size *= len(values)
-    crossed = reduce(lambda a, b: a.crossJoin(b), reversed(frames))
-    return crossed.withColumn("ordinal", ordinal).drop(*[f"_{n}" for n in axes])
-
-
-def evaluate(variants: DataFrame, group: str, key: str, schemes: list[str], sizes: list[int], seeds: list[int], cap: int = 256) -> DataFrame:
+        if isinstance(values, DataFrame):
+            frame = global_rank(values.toDF(name).distinct(), [name], f"_{name}")
+            n = frame.count()
+        else:
+            frame = F.broadcast(spark.createDataFrame([(v, i) for i, v in enumerate(values)], f"`{name}` {'string' if isinstance(values[0], str) else 'int'}, `_{name}` int"))
+            n = len(values)
+        frames.append(frame)
+        ordinal = ordinal + F.col(f"_{name}") * F.lit(size).cast("long")
+        size *= n
+    # large axes first: the small ones are broadcast to them
+    frames.sort(key=lambda f: f.columns[0] in [k for k, v in axes.items() if isinstance(v, DataFrame)], reverse=True)
+    crossed = reduce(lambda a, b: a.crossJoin(b), frames)
+    return crossed.withColumn("ordinal", ordinal).select(*axes, "ordinal")
+
+
+def evaluate(variants: DataFrame, group: str | list[str], key: str, schemes: list[str], sizes: list[int], seeds: list[int], cap: int = 256) -> DataFrame:
     """A row of :func:`ridge_grid` for each group, scheme, n and seed of variants (group, key, vec, y, fold columns).
 
-    Validation is capped and the same for all n and seeds; test rows are those of fold 0.
+    ``group`` may list further axes that have features of their own, such as the checkpoint and the readout. Validation is
+    capped and the same for all n and seeds; test rows are those of fold 0.
     """
-    from .splits import capped
-
+    group = [group] if isinstance(group, str) else list(group)
     long = fold_roles(variants, schemes)
-    pool = draws(long.where("role = 'pool'"), [group, "scheme"], key, sizes, seeds).withColumn("role", F.lit("train"))
+    pool = draws(long.where("role = 'pool'"), [*group, "scheme"], key, sizes, seeds).withColumn("role", F.lit("train"))
     axes = variants.sparkSession.createDataFrame([(n, s) for n in sizes for s in seeds], "n int, seed int")
-    val = capped(long.where("role = 'val'"), [group, "scheme"], key, cap)
+    val = capped(long.where("role = 'val'"), [*group, "scheme"], key, cap)
     fixed = val.unionByName(long.where("role = 'test'")).crossJoin(F.broadcast(axes))
-    rows = pool.unionByName(fixed).select(group, "scheme", "n", "seed", "role", "vec", "y")
-    return ridge_grid(rows, [group, "scheme", "n", "seed"])
+    rows = pool.select(*group, "scheme", "n", "seed", "role", "vec", "y").unionByName(fixed.select(*group, "scheme", "n", "seed", "role", "vec", "y"))
+    return ridge_grid(rows, [*group, "scheme", "n", "seed"])
 
 
 def shard_faults(shards: DataFrame, expected: DataFrame, config: list[str], name: str = "shard") -> DataFrame:

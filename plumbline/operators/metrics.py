@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import global_rank
+from ..functions.keys import running_total
 from .gates import GateError
 
 
 def average_ranks(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    """by, value, name: the average rank of each distinct value within its group, from counts of values."""
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*by).orderBy(value)
-    return counts.withColumn(name, F.sum("_c").over(w) - (F.col("_c") - 1) / 2).drop("_c")
+    """by, value, name: the average rank of each distinct value within its group, from counts of values.
+
+    Counts are summed along one order of groups and values, less what stands before the group: a group of any size is no single task.
+    """
+    counts = running_total(df.groupBy(*by, value).agg(F.count("*").alias("_c")), [*by, value], "_c", "_upto")
+    rank = F.col("_upto") - (F.col("_c") - 1) / 2
+    if not by:
+        return counts.select(value, rank.alias(name))
+    before = counts.groupBy(*by).agg(F.min(F.col("_upto") - F.col("_c")).alias("_before"))
+    return counts.join(before, by).select(*by, value, (rank - F.col("_before")).alias(name))
 
 
 def spearman_by(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
@@ -24,17 +30,8 @@ def spearman_by(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str) -> float:
-    """Over a whole table; distinct values are ranked globally, not in one task. A constant side or n < 2 is an error."""
-
-    def ranked(value: str, name: str) -> DataFrame:
-        counts = global_rank(df.groupBy(value).agg(F.count("*").alias("_c")), [value], "_k")
-        buckets = counts.withColumn("_b", F.expr("_k div 4096"))
-        sums = buckets.groupBy("_b").agg(F.sum("_c").alias("_s"))
-        before = sums.withColumn("_before", F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
-        within = F.sum("_c").over(Window.partitionBy("_b").orderBy("_k"))
-        return buckets.join(before, "_b").select(value, (F.col("_before") + within - (F.col("_c") - 1) / 2).alias(name))
-
-    both = df.join(ranked(x, "_rx"), x).join(ranked(y, "_ry"), y)
+    """Over a whole table. A constant side or n < 2 is an error."""
+    both = df.join(average_ranks(df, [], x, "_rx"), x).join(average_ranks(df, [], y, "_ry"), y)
     r = both.agg(F.count("*"), F.stddev_pop("_rx"), F.stddev_pop("_ry"), F.covar_pop("_rx", "_ry")).first()
     if r[0] < 2 or not r[1] or not r[2]:
         raise GateError("too few rows, or a constant side")

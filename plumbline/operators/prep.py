@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.keys import global_rank
 from ..functions.text import normalised
 from .gates import GateError, duplicated
 
 
 def single_label(df: DataFrame, label: str, dual: object, classes: int | None = None) -> DataFrame:
-    """Rows of other labels than ``dual``; with ``classes``, an error unless so many remain."""
-    out = df.where(F.col(label) != F.lit(dual))
+    """Rows of other labels than ``dual``, those without a label among them; with ``classes``, an error unless so many labels remain."""
+    out = df.where(~F.col(label).eqNullSafe(F.lit(dual)))
     if classes is not None and (n := out.agg(F.count_distinct(label)).first()[0]) != classes:
         raise GateError(f"{n} classes instead of {classes}")
     return out
@@ -35,9 +36,10 @@ def base_key(key: Column) -> Column:
 
 
 def label_index(df: DataFrame, label: str, name: str = "label_index") -> DataFrame:
-    """Labels numbered in alphabetical order; their number is taken to be small against the data."""
-    codes = df.select(label).where(F.col(label).isNotNull()).distinct().agg(F.array_sort(F.collect_set(label)).alias("_all"))
-    return df.join(F.broadcast(codes)).withColumn(name, F.when(F.col(label).isNotNull(), F.array_position("_all", F.col(label)).cast("int") - 1)).drop("_all")
+    """Labels numbered in alphabetical order, whatever their number: they are ranked globally and joined, null with null."""
+    codes = global_rank(df.select(F.col(label).alias("_label")).where(F.col(label).isNotNull()).distinct(), ["_label"], "_code")
+    joined = df.join(codes, F.col(label) == F.col("_label"), "left")
+    return joined.withColumn(name, F.col("_code").cast("int")).drop("_label", "_code")
 
 
 def truncated(text: Column, limit: int) -> Column:

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import global_rank, hash_order, uniform
+from ..functions.keys import global_rank, hash_order, running_total, uniform
+from ..functions.shared import cut
 from .gates import GateError, overlap
 
 ROLES = ("train", "val", "test")
@@ -30,35 +31,35 @@ def balanced_split(df: DataFrame, key: str, fractions: Sequence[float], seed: in
 
     Groups above the share ``large`` of all rows (so 1 / large at most) go one by one to the split that lacks most.
     The others lie in hash order on a line of their sizes, which the remaining targets cut; a running sum over ranges
-    of hashes replaces one over all groups. A positive fraction that gets no row is an error.
+    of hashes replaces one over all groups. Rows without a group are one group, named by null. A positive fraction that
+    gets no row is an error.
     """
     _checked(fractions)
-    groups = df.groupBy(key).agg(F.count("*").alias("size")).withColumn("h", hash_order(seed, F.col(key)))
+    groups = cut(df.groupBy(key).agg(F.count("*").alias("size")).withColumn("h", F.coalesce(hash_order(seed, F.col(key)), F.lit(""))), "groups")
     total = groups.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     lack = [f * total for f in fractions]
-    big = groups.where(F.col("size") > F.lit(large * total)).orderBy("h").collect()
+    big = groups.where(F.col("size") > F.lit(large * total)).orderBy("h", key).collect()
     placed = []
     for r in big:
         k = max((i for i in range(3) if fractions[i] > 0), key=lambda i: (lack[i], -i))
         lack[k] -= r["size"]
         placed.append((r[key], ROLES[k]))
-    small = groups.where(F.col("size") <= F.lit(large * total)).withColumn("part", F.conv(F.substring("h", 1, 2), 16, 10).cast("int"))
-    parts = {r["part"]: r["n"] for r in small.groupBy("part").agg(F.sum("size").alias("n")).collect()}  # 256 at most
-    offsets, at = [], 0
-    for p in range(256):
-        offsets.append((p, at))
-        at += parts.get(p, 0)
+    small = groups.where(F.col("size") <= F.lit(large * total))
+    lined = running_total(small, ["h", key], "size", "upto")
+    at = lined.agg(F.coalesce(F.max("upto"), F.lit(0))).first()[0]
     rest = [max(0.0, x) if f > 0 else 0.0 for x, f in zip(lack, fractions, strict=True)]
     scale = at / sum(rest) if sum(rest) else 0.0
     first, second = rest[0] * scale, (rest[0] + rest[1]) * scale
-    w = Window.partitionBy("part").orderBy("h", key).rowsBetween(Window.unboundedPreceding, -1)
-    shifts = df.sparkSession.createDataFrame(offsets, "part int, shift long")
-    middle = F.coalesce(F.sum("size").over(w), F.lit(0)) + F.col("shift") + F.col("size") / 2
-    lined = small.join(F.broadcast(shifts), "part").withColumn("middle", middle)
-    roles = lined.select(key, F.when(F.col("middle") < first, "train").when(F.col("middle") < second, "val").otherwise("test").alias("role"))
+    middle = F.col("upto") - F.col("size") / 2
+    roles = lined.select(key, F.when(middle < first, "train").when(middle < second, "val").otherwise("test").alias("role"))
     if placed:
         roles = roles.unionByName(df.sparkSession.createDataFrame(placed, roles.schema))
-    return df.join(roles, key)
+    roles = cut(roles, "roles")
+    if total and (empty := empty_roles(roles, fractions)):
+        raise GateError(f"no group for {empty}")
+    # null meets null
+    joined = df.join(roles.withColumnRenamed(key, "_group"), F.col(key).eqNullSafe(F.col("_group"))).drop("_group")
+    return joined.select(key, *[c for c in df.columns if c != key], "role")
 
 
 def empty_roles(split: DataFrame, fractions: Sequence[float]) -> list[str]:
@@ -73,11 +74,12 @@ def inherited_split(df: DataFrame, is_test: Column, key: Column, fractions: Sequ
 
 
 def fold_roles(df: DataFrame, schemes: Sequence[str]) -> DataFrame:
-    """Long form: scheme, fold, role (fold 0 test, 1 validation, others pool). An unknown scheme is an error."""
+    """Long form: scheme, fold, role (fold 0 test, 1 validation, others pool). An unknown scheme is an error, as is a fold that is null or negative."""
     if lack := set(schemes) - set(df.columns):
         raise GateError(f"no scheme {sorted(lack)}")
     long = df.unpivot([c for c in df.columns if c not in schemes], list(schemes), "scheme", "fold")
-    return long.withColumn("role", F.when(F.col("fold") == 0, "test").when(F.col("fold") == 1, "val").otherwise("pool"))
+    fault = F.raise_error(F.concat(F.lit("no fold in "), F.col("scheme")))
+    return long.withColumn("role", F.when(F.col("fold").isNull() | (F.col("fold") < 0), fault).when(F.col("fold") == 0, "test").when(F.col("fold") == 1, "val").otherwise("pool"))
 
 
 def capped(df: DataFrame, by: Sequence[str], key: str, most: int, salt: str = "validation") -> DataFrame:
@@ -89,21 +91,25 @@ def capped(df: DataFrame, by: Sequence[str], key: str, most: int, salt: str = "v
 def draws(pool: DataFrame, by: Sequence[str], key: str, sizes: Sequence[int], seeds: Sequence[int]) -> DataFrame:
     """``pool`` rows for each (n, seed): n of each group without replacement, drawn independently. Too small a pool is an error.
 
-    Rows fan out to an axis only below a hash threshold of twice their share; groups that come out short are drawn in full.
+    Rows fan out to an axis only below a hash threshold of twice their share. Groups that come out short, if any, are
+    drawn again from all of their rows, and only these.
     """
     spark = pool.sparkSession
-    counts = pool.groupBy(*by).agg(F.count("*").alias("_pool"))
+    counts = cut(pool.groupBy(*by).agg(F.count("*").alias("_pool")), "pools")
     if short := counts.where(F.col("_pool") < max(sizes)).take(1):
         raise GateError(f"a pool of {short[0]['_pool']} rows is smaller than {max(sizes)}")
     axes = spark.createDataFrame([(n, s) for n in sizes for s in seeds], "n int, seed int")
-    fanned = pool.join(counts, list(by)).join(F.broadcast(axes)).withColumn("_h", hash_order(*[F.col(c) for c in by], F.col("n"), F.col("seed"), F.col(key)))
-    near = fanned.where(uniform(F.col("_h")) < (2 * F.col("n") + 50) / F.col("_pool"))
+    draw = hash_order(*[F.col(c) for c in by], F.col("n"), F.col("seed"), F.col(key))
     w = Window.partitionBy(*by, "n", "seed").orderBy("_h", key)
     pick = lambda rows: rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= F.col("n")).drop("_n", "_h", "_pool")
-    first = pick(near)
-    full = first.groupBy(*by, "n", "seed").agg(F.count("*").alias("_got")).where(F.col("_got") == F.col("n")).drop("_got")
-    again = fanned.join(full, [*by, "n", "seed"], "left_anti")
-    return first.join(full, [*by, "n", "seed"], "left_semi").unionByName(pick(again))
+    fanned = pool.join(counts, list(by)).join(F.broadcast(axes)).withColumn("_h", draw)
+    first = cut(pick(fanned.where(uniform(F.col("_h")) < (2 * F.col("n") + 50) / F.col("_pool"))), "drawn")
+    got = first.groupBy(*by, "n", "seed").agg(F.count("*").alias("_got"))
+    lacking = cut(counts.join(F.broadcast(axes)).join(got, [*by, "n", "seed"], "left").where(F.coalesce("_got", F.lit(0)) < F.col("n")).select(*by, "n", "seed"), "lacking")
+    if not lacking.take(1):
+        return first
+    again = pool.join(lacking, list(by)).withColumn("_h", draw).withColumn("_pool", F.lit(0))
+    return first.join(lacking, [*by, "n", "seed"], "left_anti").unionByName(pick(again).select(first.columns))
 
 
 def split_sizes(split: DataFrame) -> DataFrame:
@@ -131,19 +137,25 @@ def shuffled_pairs(df: DataFrame, key: str, value: str, seed: int) -> DataFrame:
 def stratified_sample(df: DataFrame, key: str, size_column: str, size: int, seed: int, strata: int = 10) -> DataFrame:
     """Exactly ``size`` rows: ``strata`` near-equal runs by (size, key), each with its rounded share by hash order.
 
-    What rounding leaves over is topped up, or trimmed, in hash order over all strata.
+    What rounding leaves over is topped up, or trimmed, in hash order over all strata. Only rows below a hash threshold
+    well above the share that is wanted are sorted; should a stratum have too few of them, all rows are.
     """
-    ranked = global_rank(df, [size_column, key], "_rank")
+    ranked = cut(global_rank(df, [size_column, key], "_rank"), "strata")
     n = ranked.count()
     if size > n:
         raise GateError(f"{size} of {n} rows are asked for")
     placed = ranked.withColumn("stratum", F.expr(f"int(_rank * {strata} div {max(n, 1)})")).withColumn("_h", hash_order(seed, F.col(key)))
-    counts = placed.groupBy("stratum").agg(F.count("*").alias("_all"))
+    counts = {r["stratum"]: r["_all"] for r in placed.groupBy("stratum").agg(F.count("*").alias("_all")).collect()}  # ``strata`` rows
+    quota = {s: int(size * c / n + 0.5) for s, c in counts.items()}
+    share = size / max(n, 1)
+    near = placed.where(uniform(F.col("_h")) < min(1.0, 2 * share + 50 * strata / max(n, 1)))
+    enough = {r["stratum"]: r["_n"] for r in near.groupBy("stratum").agg(F.count("*").alias("_n")).collect()}
+    rows = near if all(enough.get(s, 0) > q for s, q in quota.items()) else placed
+    limits = df.sparkSession.createDataFrame([(s, q) for s, q in quota.items()], "stratum int, _quota int")
     w = Window.partitionBy("stratum").orderBy("_h", key)
-    ordered = placed.join(F.broadcast(counts), "stratum").withColumn("_in", F.row_number().over(w))
-    chosen = F.col("_in") <= F.expr(f"int(round({size}D * _all / {n}))")
+    ordered = rows.join(F.broadcast(limits), "stratum").withColumn("_late", (F.row_number().over(w) > F.col("_quota")).cast("int"))
     # chosen ones first, then by hash: the limit trims or tops up
-    return ordered.withColumn("_late", (~chosen).cast("int")).orderBy("_late", "_h", key).limit(size).drop("_rank", "_h", "_all", "_in", "_late")
+    return ordered.orderBy("_late", "_h", key).limit(size).drop("_rank", "_h", "_quota", "_late")
 
 
 def evenly_spaced(df: DataFrame, key: str, size_column: str, picks: int) -> DataFrame:

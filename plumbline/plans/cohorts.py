@@ -2,31 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import new_folder as _folder
 from ..operators import gates as G
 from ..operators import prep as P
 from ..sources import readers, sinks
 from .splits import SCHEMES, _folds, _t
 
 
-def _folder(spark: SparkSession, label: str) -> str:
-    """A new folder in the shared one that the session names."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        root = spark.sparkContext.getCheckpointDir()
-    return f"{root}/{label}-{uuid.uuid4().hex}"
-
-
 def s1_labelled_fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark, "fasta")
-    body = F.regexp_replace(F.substring(F.regexp_replace(F.lower("text"), "[^a-z]", ""), 1, 90), "(.{60})", "$1\n")
+    body = F.regexp_replace(F.regexp_replace(F.lower("text"), "[^a-z]", ""), "(.{60})", "$1\n")
     label = F.element_at(F.array(*map(F.lit, readers.LABELS)), (F.pmod("doc_id", F.lit(10)) + 1).cast("int"))
     header = F.concat(F.lit(">D"), F.col("doc_id").cast("string"), F.lit(" "), label, F.lit("-"), F.element_at(F.array(*map(F.lit, readers.SOLUBILITY)), (F.pmod("doc_id", F.lit(3)) + 1).cast("int")), F.when(F.pmod("doc_id", F.lit(4)) == 0, " test").otherwise(""))
     _t(spark, sf_dir, "documents").select(F.concat_ws("\n", header, body)).write.text(path)
@@ -37,11 +25,43 @@ def s3_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, names = _folder(spark, "annotations"), list(readers.ANNOTATION_NAMES)
     plain = lambda c: F.regexp_replace(c, r"[\t\n\r]", " ")
     docs = _t(spark, sf_dir, "documents")
-    rows = docs.select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias(names[0]), plain(F.concat(F.lit('"'), F.substring("text", 1, 60))).alias(names[1]), F.when(F.pmod("doc_id", F.lit(2)) == 0, F.col("lang")).alias(names[2]), F.lit(None).cast("string").alias(names[3]), F.col("source").alias(names[4]), F.col("lang").alias(names[5]))
+    rows = docs.select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias(names[0]), plain(F.concat(F.lit('"'), F.col("text"))).alias(names[1]), F.when(F.pmod("doc_id", F.lit(2)) == 0, F.col("lang")).alias(names[2]), F.lit(None).cast("string").alias(names[3]), F.col("source").alias(names[4]), F.col("lang").alias(names[5]))
     rows.write.csv(path, sep="\t", header=True, quote="", escapeQuotes=False, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return readers.read_annotations(spark, path).select("entry_accession", F.length("function_text").alias("n_function"), "go_component", "go_process", "go_function", "keywords")
 
 
+def s4_assay_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as assays: a file with the columns of the reference in another order, one more, and empty cells."""
+    path = _folder(spark, "reference")
+    part = _t(spark, sf_dir, "part")
+    rows = part.select(
+        F.col("p_brand").alias("note"), F.col("p_retailprice").cast("int").alias("DMS_number_single_mutants"), F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("DMS_id"), F.when(F.pmod("p_partkey", F.lit(9)) > 0, F.col("p_type")).alias("taxon"),
+        F.col("p_name").alias("target_seq"), F.length("p_name").alias("seq_len"), (F.pmod("p_size", F.lit(3)) == 0).alias("includes_multiple_mutants"),
+    )
+    rows.write.csv(path, header=True)
+    return readers.read_assay_reference(spark, path).withColumn("taxon", F.coalesce("taxon", F.lit("")))
+
+
+def s10_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of three named result tables two exist, with columns of their own: orders by status and by priority."""
+    folder = _folder(spark, "results")
+    o = _t(spark, sf_dir, "orders")
+    o.groupBy("o_orderstatus").agg(F.count("*").alias("n")).write.csv(f"{folder}/status.csv", header=True)
+    o.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.max("o_custkey").alias("most")).write.csv(f"{folder}/priority.csv", header=True)
+    out = readers.read_results(spark, [f"{folder}/{name}.csv" for name in ("status", "absent", "priority")])
+    return out.select(F.coalesce("o_orderstatus", F.lit("")).alias("status"), F.coalesce("o_orderpriority", F.lit("")).alias("priority"), F.col("n").cast("long").alias("n"), F.coalesce(F.col("most").cast("long"), F.lit(-1)).alias("most"))
+
+
+def s11_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A summary as CSV and another as JSON, read again."""
+    folder = _folder(spark, "summary")
+    o = _t(spark, sf_dir, "orders")
+    sinks.write_summary(o.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_custkey").alias("keys")), f"{folder}/by_status")
+    sinks.write_summary(o.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.sum("o_custkey").alias("keys")), f"{folder}/by_priority", "json")
+    a = spark.read.csv(f"{folder}/by_status", header=True, schema="o_orderstatus string, n long, keys long").withColumnRenamed("o_orderstatus", "name")
+    return a.unionByName(spark.read.json(f"{folder}/by_priority", schema="o_orderpriority string, n long, keys long").withColumnRenamed("o_orderpriority", "name"))
+
+
 def s5_assays(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark, "assays")
     v = _folds(spark, sf_dir).select("o_orderstatus", F.concat(F.lit("A"), F.col("o_custkey").cast("string"), F.lit("G")).alias("mutant"), F.lit("ACD").alias("mutated_sequence"), F.col("o_totalprice").alias("DMS_score"), F.col("fold_random").alias("fold_random_5"), F.col("fold_modulo").alias("fold_modulo_5"), F.col("fold_contiguous").alias("fold_contiguous_5"))
@@ -176,11 +196,14 @@ _LETTERS = "'ACDEFGHIKLMNPQRSTVWY'"
 _V = f"""WITH e AS (SELECT event_id, user_id, substr({_LETTERS}, ((user_id + (event_id % 97 = 0)::INT) % 20 + 1)::INT, 1) AS w1, substr({_LETTERS}, (event_id % 20 + 1)::INT, 1) AS m1,
   substr({_LETTERS}, ((user_id + 3) % 20 + 1)::INT, 1) AS w2, substr({_LETTERS}, ((event_id + 1) % 20 + 1)::INT, 1) AS m2, event_id % 89 = 0 AS bad, event_id % 3 = 0 AS two FROM events)
 """
-QUERIES = {f.__name__: f for f in (s1_labelled_fasta, s3_annotations, s5_assays, s7_prepared, f1_single_label, f2_annotated, f3_eligible, f4_base_key, f7_label_index, f8_truncated, j1_annotated, j2_reference, a1_profile, a2_class_counts, k6_majority_floor, a3_metadata, a4_fold_counts, a18_ledger, w1_first_by_group, u1_union, t10_substitutions, t11_verified, t12_position_gate, u2_positions, x3_duplicates)}
+QUERIES = {f.__name__: f for f in (s1_labelled_fasta, s3_annotations, s4_assay_reference, s5_assays, s10_results, s11_summary, s7_prepared, f1_single_label, f2_annotated, f3_eligible, f4_base_key, f7_label_index, f8_truncated, j1_annotated, j2_reference, a1_profile, a2_class_counts, k6_majority_floor, a3_metadata, a4_fold_counts, a18_ledger, w1_first_by_group, u1_union, t10_substitutions, t11_verified, t12_position_gate, u2_positions, x3_duplicates)}
 SQL = {
-    "s1_labelled_fasta": f"""SELECT 'D' || doc_id AS accession, upper(substr(regexp_replace(lower(text), '[^a-z]', '', 'g'), 1, 90)) AS sequence, ({list(readers.LABELS)!r})[(doc_id % 10 + 1)::INT] AS localization, (['M', 'S', 'U'])[(doc_id % 3 + 1)::INT] AS solubility, doc_id % 4 = 0 AS is_test
+    "s1_labelled_fasta": f"""SELECT 'D' || doc_id AS accession, upper(regexp_replace(lower(text), '[^a-z]', '', 'g')) AS sequence, ({list(readers.LABELS)!r})[(doc_id % 10 + 1)::INT] AS localization, (['M', 'S', 'U'])[(doc_id % 3 + 1)::INT] AS solubility, doc_id % 4 = 0 AS is_test
       FROM documents WHERE regexp_matches(lower(text), '[a-z]')""",
-    "s3_annotations": "SELECT 'D' || doc_id AS entry_accession, (length(substr(text, 1, 60)) + 1)::INT AS n_function, CASE WHEN doc_id % 2 = 0 THEN lang ELSE '' END AS go_component, '' AS go_process, source AS go_function, lang AS keywords FROM documents",
+    "s3_annotations": "SELECT 'D' || doc_id AS entry_accession, (length(text) + 1)::INT AS n_function, CASE WHEN doc_id % 2 = 0 THEN lang ELSE '' END AS go_component, '' AS go_process, source AS go_function, lang AS keywords FROM documents",
+    "s4_assay_reference": "SELECT 'P' || p_partkey AS DMS_id, CASE WHEN p_partkey % 9 > 0 THEN p_type ELSE '' END AS taxon, p_name AS target_seq, length(p_name)::INT AS seq_len, p_size % 3 = 0 AS includes_multiple_mutants, trunc(p_retailprice)::INT AS DMS_number_single_mutants FROM part",
+    "s10_results": "SELECT o_orderstatus AS status, '' AS priority, count(*) AS n, -1::BIGINT AS most FROM orders GROUP BY 1 UNION ALL SELECT '', o_orderpriority, count(*), max(o_custkey)::BIGINT FROM orders GROUP BY 2",
+    "s11_summary": "SELECT o_orderstatus AS name, count(*) AS n, sum(o_custkey)::BIGINT AS keys FROM orders GROUP BY 1 UNION ALL SELECT o_orderpriority, count(*), sum(o_custkey)::BIGINT FROM orders GROUP BY 1",
     "s5_assays": "SELECT o_orderstatus AS dms_id, count(*) AS n, count(DISTINCT o_custkey) AS mutants, sum(o_custkey % 5)::BIGINT AS folds, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1",
     "s7_prepared": "SELECT doc_id, n_chars FROM documents WHERE lang = 'de'",
     "f1_single_label": "SELECT lang, count(*) AS n FROM documents WHERE lang <> 'es' GROUP BY lang",

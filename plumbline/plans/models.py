@@ -44,17 +44,20 @@ def a6_padding_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def e1_text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.hashed_text_features(_t(spark, sf_dir, "documents"), "doc_id", "text", 64)
+    """What can be said of hashed features without their hash: width, length, and that blank texts are zero."""
+    out = E.hashed_text_features(_t(spark, sf_dir, "documents"), "doc_id", "text", 64)
+    squares = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return out.select("doc_id", F.size("vec").alias("width"), F.round(F.sqrt(squares), 4).alias("norm"), (~F.exists("vec", lambda x: x != 0)).alias("blank"))
 
 
 def e2_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     def encoder():
         def encode(texts):
-            return [[float(len(t)), float(t.count(" ")), float(sum(map(ord, t[:50])))] for t in texts]
+            return [[float(len(t)), float(t.count(" ")), float(sum(map(ord, t)) % 1_000_003)] for t in texts]
 
         return encode
 
-    out = E.encoded(_t(spark, sf_dir, "documents"), "doc_id", "text", encoder, 3, limit=1000)
+    out = E.encoded(_t(spark, sf_dir, "documents"), "doc_id", "text", encoder, 3)
     return out.select("doc_id", *[F.col("vec")[i].cast("double").alias(f"v{i}") for i in range(3)])
 
 
@@ -123,7 +126,7 @@ def m2_log_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _t(spark, sf_dir, "events").where(F.pmod("event_id", F.lit(5)) == 0)
+    e = _t(spark, sf_dir, "events")
     sub = lambda pos, wt, mut: F.struct(pos.alias("pos"), wt.alias("wt"), mut.alias("mut"))
     subs = F.array(sub(F.col("user_id"), F.col("event_type"), F.lit("view")), sub(F.col("user_id"), F.lit("error"), F.lit("click")))
     return Z.masked_marginals(e.select("event_id", F.lit("a").alias("assay"), subs.alias("subs")), _profile(spark, sf_dir), "event_id", "assay")
@@ -268,7 +271,7 @@ def c4_signed_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def c5_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.cluster_bootstrap(_pairs(spark, sf_dir), "n", 200, 1)
+    return _rounded(C.cluster_bootstrap(_pairs(spark, sf_dir), "n", 200, 1))
 
 
 def c6_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,8 +283,12 @@ def c7_crossover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def m5_ridge_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _embeddings(spark, sf_dir).withColumn("role", F.element_at(F.array(F.lit("train"), F.lit("train"), F.lit("val"), F.lit("test")), (F.pmod("vec_id", F.lit(4)) + 1).cast("int")))
-    return M.ridge_grid(rows.select(F.lit(1).alias("config"), "role", "vec", F.col("label").cast("double").alias("y")), ["config"])
+    """Eight configurations: a slice of the vector, the y and the roles of each are its own."""
+    c = F.col("config")
+    e = _embeddings(spark, sf_dir).select("vec_id", "label", "vec", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("config"))
+    role = F.element_at(F.array(F.lit("train"), F.lit("train"), F.lit("val"), F.lit("test")), (F.pmod(F.col("vec_id") + c, F.lit(4)) + 1).cast("int"))
+    rows = e.select("config", role.alias("role"), F.slice("vec", F.lit(1), 4 + 4 * c).alias("vec"), (F.col("label").cast("double") + F.get("vec", c) * 20).alias("y"))
+    return M.ridge_grid(rows, ["config"])
 
 
 def m5_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,25 +304,33 @@ def m6_head(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def m8_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole and a half block, the half with the whole one shuffled, and a block that is drawn anew for each seed."""
     e = _embeddings(spark, sf_dir)
-    shuffled = S.shuffled_pairs(e, "vec_id", "vec", 3).select("vec_id", "vec")
-    blocks = {"whole": e.select("vec_id", "vec"), "half": e.select("vec_id", F.slice("vec", 1, 32).alias("vec")), "shuffled": shuffled}
-    arms = [{"name": "whole", "blocks": ["whole"]}, {"name": "half", "blocks": ["half"]}, {"name": "control", "blocks": ["half", "shuffled"], "shuffle": True}]
+    blocks = {"whole": e.select("vec_id", "vec"), "half": e.select("vec_id", F.slice("vec", 1, 32).alias("vec")), "drawn": lambda seed: e.select("vec_id", F.slice("vec", 1 + 8 * seed, 8).alias("vec"))}
+    arms = [{"name": "whole", "blocks": ["whole"]}, {"name": "half", "blocks": ["half"]}, {"name": "control", "blocks": ["half", "whole"], "shuffle": ["whole"]}, {"name": "redrawn", "blocks": ["drawn"], "redrawn": ["drawn"]}]
     role = lambda seed: e.select("vec_id", "label", S.hash_split(F.col("vec_id"), (0.7, 0.0, 0.3), seed).alias("role"))
-    return M.run_arms(arms, blocks, role, "vec_id", "label", [0, 1])
+    return _rounded(M.run_arms(arms, blocks, role, "vec_id", "label", [0, 1]))
 
 
 def m9_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nations = _t(spark, sf_dir, "nation")
-    names = [r[0] for r in nations.select("n_name").orderBy("n_nationkey").limit(3).collect()]
-    return R.grid(spark, {"assay": names, "scheme": ["random", "modulo"], "n": [32, 128, 512], "seed": [0, 1]})
+    """All axes: the customers' names are the assays."""
+    assays = _t(spark, sf_dir, "supplier").select("s_name")
+    return R.grid(spark, {"rung": ["frozen", "ridge"], "assay": assays, "scheme": ["random", "modulo"], "readout": list(E.READOUTS), "n": [32, 128, 512], "seed": [0, 1], "checkpoint": ["small", "large"]})
 
 
 def m9_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two readouts of two checkpoints, with two schemes, sizes and seeds."""
     e = _embeddings(spark, sf_dir)
     fold = F.pmod("vec_id", F.lit(5)).cast("int")
-    v = e.select(F.lit("a").alias("assay"), "vec_id", "vec", F.col("label").cast("double").alias("y"), fold.alias("fold_modulo"), F.pmod(F.floor(F.col("vec_id") / 7), F.lit(5)).cast("int").alias("fold_contiguous"))
-    return R.evaluate(v, "assay", "vec_id", ["fold_modulo", "fold_contiguous"], [16, 48], [0, 1])
+    features = F.array(
+        *[
+            F.struct(F.lit(c).alias("checkpoint"), F.lit(r).alias("readout"), (F.slice("vec", 1, w) if r == "mean" else F.transform(F.slice("vec", 1, w), lambda x: x * x)).alias("vec"))
+            for c, w in (("small", 8), ("large", 24))
+            for r in ("mean", "at_position")
+        ]
+    )
+    v = e.select(F.lit("a").alias("assay"), "vec_id", F.col("label").cast("double").alias("y"), fold.alias("fold_modulo"), F.pmod(F.floor(F.col("vec_id") / 7), F.lit(5)).cast("int").alias("fold_contiguous"), F.inline(features))
+    return R.evaluate(v, ["assay", "checkpoint", "readout"], "vec_id", ["fold_modulo", "fold_contiguous"], [16, 48], [0, 1])
 
 
 def s9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -336,10 +351,12 @@ def z1_singles_to_multiples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def z2_additivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _t(spark, sf_dir, "orders").where("o_orderkey < 400")
-    single = o.where("o_orderkey < 200").select(F.lit("a").alias("assay"), F.concat(F.lit("v"), F.col("o_orderkey").cast("string")).alias("variant"), "o_totalprice")
-    double = o.where("o_orderkey >= 195").select(F.lit("a").alias("assay"), F.concat(F.lit("v"), (F.col("o_orderkey") - 200).cast("string"), F.lit(":v"), F.pmod("o_orderkey", F.lit(190)).cast("string")).alias("variant"), "o_totalprice")
-    out = Z.additivity_residuals(single.unionByName(double).withColumnRenamed("o_totalprice", "score"), "assay")
+    """Orders as variants: even keys are single ones, odd keys double ones of the key before and of half the key, which may be no single one."""
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("score"))
+    name = lambda c: F.concat(F.lit("v"), c.cast("string"))
+    k = F.col("o_orderkey")
+    variant = F.when(F.pmod(k, F.lit(2)) == 0, name(k)).otherwise(F.concat(name(k - 1), F.lit(":"), name(F.floor(k / 2))))
+    out = Z.additivity_residuals(o.select(F.lit("a").alias("assay"), variant.alias("variant"), "score"), "assay")
     return out.select("variant", F.round("residual", 2).alias("residual"))
 
 
@@ -380,7 +397,7 @@ SQL = {
       b AS (SELECT "order", batch, k // batch AS g, max(n_chars) AS m, count(*) AS c, sum(n_chars) AS useful FROM r, (VALUES (8), (16)) a(batch) GROUP BY ALL),
       s AS (SELECT "order", batch, sum(m * c) AS slots, sum(m * m * c) AS squares, sum(useful) AS useful FROM b GROUP BY ALL)
       SELECT s.batch, s."order", s.slots::BIGINT AS slots, s.squares::BIGINT AS square_slots, 1 - s.useful / s.slots AS waste, g.slots / s.slots AS reduction FROM s JOIN s g ON g.batch = s.batch AND g."order" = 'given'""",
-    "e2_encoded": "SELECT doc_id, CASE WHEN trim(t) = '' THEN 0 ELSE length(t) END::DOUBLE AS v0, CASE WHEN trim(t) = '' THEN 0 ELSE length(t) - length(replace(t, ' ', '')) END::DOUBLE AS v1, coalesce(list_sum(list_transform(string_split(substr(t, 1, 50), ''), lambda c: unicode(c))), 0)::DOUBLE AS v2 FROM (SELECT doc_id, substr(text, 1, 1000) AS t FROM documents)",
+    "e2_encoded": "SELECT doc_id, CASE WHEN trim(t) = '' THEN 0 ELSE length(t) END::DOUBLE AS v0, CASE WHEN trim(t) = '' THEN 0 ELSE length(t) - length(replace(t, ' ', '')) END::DOUBLE AS v1, CASE WHEN trim(t) = '' THEN 0 ELSE coalesce(list_sum(list_transform(string_split(t, ''), lambda c: unicode(c))), 0) % 1000003 END::DOUBLE AS v2 FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)",
     "e3_mean_readout": _RES + "SELECT label, i::INT AS i, round(avg(x::DOUBLE)::FLOAT::DOUBLE, 4) + 0.0::DOUBLE AS x FROM (SELECT label, unnest(vec) AS x, unnest(range(64)) AS i FROM r) GROUP BY label, i",
     "e4_at_position": _RES + "SELECT label, vec[1]::DOUBLE AS first, vec[64]::DOUBLE AS last FROM r WHERE position = label % 7",
     "e5_difference": _RES + "SELECT r.label, round((r.vec[1] - w.vec[1])::DOUBLE, 5) + 0.0::DOUBLE AS first FROM r JOIN r w ON w.label = 0 AND w.position = r.position WHERE r.position = r.label % 7",
@@ -393,7 +410,7 @@ SQL = {
     "f9_assembled": "SELECT vec_id, 68 AS width, embedding[1]::DOUBLE AS fifth FROM embeddings",
     "m3_site_profile": _PROFILE + "SELECT position, token, n, round(logp, 9) AS logp FROM p",
     "m2_log_softmax": "WITH l AS (SELECT user_id, event_type, sum(round(value * 100)::BIGINT) / 10000 AS x FROM events GROUP BY ALL), m AS (SELECT *, max(x) OVER (PARTITION BY user_id) AS m FROM l) SELECT user_id, event_type, round(x - m - ln(sum(exp(x - m)) OVER (PARTITION BY user_id)), 9) AS logp FROM m",
-    "m1_masked_marginals": _PROFILE + "SELECT event_id, round(v.logp - w.logp + c.logp - e.logp, 9) AS score FROM events x JOIN p v ON v.position = user_id AND v.token = 'view' JOIN p w ON w.position = user_id AND w.token = event_type JOIN p c ON c.position = user_id AND c.token = 'click' JOIN p e ON e.position = user_id AND e.token = 'error' WHERE event_id % 5 = 0",
+    "m1_masked_marginals": _PROFILE + "SELECT event_id, round(v.logp - w.logp + c.logp - e.logp, 9) AS score FROM events x JOIN p v ON v.position = user_id AND v.token = 'view' JOIN p w ON w.position = user_id AND w.token = event_type JOIN p c ON c.position = user_id AND c.token = 'click' JOIN p e ON e.position = user_id AND e.token = 'error'",
     "m4_position_means": _POSITION + "SELECT o_orderkey, round(predicted, 4) AS predicted FROM q",
     "k7_mse": _POSITION + "SELECT o_orderstatus, round(avg((score - predicted) ** 2) / 1e6, 3) AS mse FROM q GROUP BY 1",
     "m10_zero_shot": _RANKED.format(g="o_orderstatus", rows="SELECT o_orderstatus, o_custkey % 13 AS x, round(o_totalprice, 2) AS y FROM orders WHERE o_orderkey % 4 = 0"),
@@ -420,9 +437,26 @@ SQL = {
       SELECT assay, n, round(w, 9) AS w_plus, round((w - n * (n + 1) / 4) / sqrt(n * (n + 1.0) * (2 * n + 1) / 24 - ties / 48), 9) AS z FROM s""",
     "c6_signs": _RUNS + "SELECT seed, round(avg(delta), 9) AS mean_delta, bool_and(delta < 0) AS all_negative FROM pairs GROUP BY seed",
     "c7_crossover": _RUNS + "SELECT assay, arm, min(n) FILTER (mean > floor) AS crossover FROM curve GROUP BY ALL",
-    "m9_grid": "SELECT a.n_name AS assay, s.scheme, n.n::INT AS n, d.seed::INT AS seed, (((a.n_nationkey * 2 + s.i) * 3 + n.i) * 2 + d.seed)::BIGINT AS ordinal FROM nation a, (VALUES ('random', 0), ('modulo', 1)) s(scheme, i), (VALUES (32, 0), (128, 1), (512, 2)) n(n, i), (VALUES (0), (1)) d(seed) WHERE a.n_nationkey < 3",
+    "m9_grid": """WITH a AS (SELECT s_name AS assay, row_number() OVER (ORDER BY s_name) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT s_name FROM supplier))
+      SELECT u.rung, a.assay, s.scheme, r.readout, n.n::INT AS n, d.seed::INT AS seed, c.checkpoint, ((((((u.i * a.n + a.i) * 2 + s.i) * 3 + r.i) * 3 + n.i) * 2 + d.seed) * 2 + c.i)::BIGINT AS ordinal
+      FROM (VALUES ('frozen', 0), ('ridge', 1)) u(rung, i), a, (VALUES ('random', 0), ('modulo', 1)) s(scheme, i), (VALUES ('mean', 0), ('at_position', 1), ('difference_at_position', 2)) r(readout, i),
+      (VALUES (32, 0), (128, 1), (512, 2)) n(n, i), (VALUES (0), (1)) d(seed), (VALUES ('small', 0), ('large', 1)) c(checkpoint, i)""",
+    "c5_bootstrap": _RUNS + """, s AS (SELECT n, sum(delta) AS s, count(*) AS c, row_number() OVER (ORDER BY n) - 1 AS i, count(*) OVER () AS k FROM pairs GROUP BY n),
+      d AS (SELECT r.r, x.i AS place, x.k FROM s x, range(200) r(r)), m AS (SELECT d.r, sum(s.s) / sum(s.c) AS m FROM d JOIN s ON s.i = ('0x' || substr(md5('1:' || d.r || ':' || d.place), 1, 8))::BIGINT % d.k GROUP BY d.r)
+      SELECT (SELECT round(sum(s) / sum(c), 9) FROM s) AS mean, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM m""",
+    "m8_arms": """WITH f AS (SELECT vec_id, label, embedding AS v FROM embeddings), seeds(seed) AS (VALUES (0), (1)),
+      p AS (SELECT seed, vec_id, row_number() OVER (PARTITION BY seed ORDER BY vec_id) AS r FROM f, seeds), q AS (SELECT seed, vec_id AS other, row_number() OVER (PARTITION BY seed ORDER BY md5(seed || ':' || vec_id), vec_id) AS r FROM f, seeds),
+      x AS (SELECT 'whole' AS arm, seed, vec_id, v FROM f, seeds UNION ALL SELECT 'half', seed, vec_id, v[1:32] FROM f, seeds UNION ALL SELECT 'control', p.seed, p.vec_id, list_concat(a.v[1:32], b.v) FROM p JOIN q USING (seed, r) JOIN f a ON a.vec_id = p.vec_id JOIN f b ON b.vec_id = q.other
+        UNION ALL SELECT 'redrawn', seed, vec_id, v[1 + 8 * seed:8 + 8 * seed] FROM f, seeds),
+      e AS (SELECT arm, seed, x.vec_id, f.label, unnest(x.v)::DOUBLE AS x, unnest(range(len(x.v))) AS i, ('0x' || substr(md5(seed || ':' || x.vec_id), 1, 13))::BIGINT / 4503599627370496.0 >= 0.7 AS test FROM x JOIN f USING (vec_id)),
+      c AS (SELECT arm, seed, label AS l, i, avg(x) AS c FROM e WHERE NOT test GROUP BY ALL), d AS (SELECT arm, seed, vec_id, label, l, sum((x - c) * (x - c)) AS d FROM e JOIN c USING (arm, seed, i) WHERE test GROUP BY ALL),
+      s AS (SELECT arm, seed, vec_id, any_value(label) AS t, arg_min(l, d) AS p FROM d GROUP BY ALL), u AS (SELECT arm, seed, t AS l FROM s UNION SELECT arm, seed, p FROM s),
+      k AS (SELECT u.arm, u.seed, u.l, count(*) FILTER (t = l AND p = l) AS tp, count(*) FILTER (t <> l AND p = l) AS fp, count(*) FILTER (t = l AND p <> l) AS fn, count(*) FILTER (t = l) AS support FROM u JOIN s ON s.arm = u.arm AND s.seed = u.seed GROUP BY ALL)
+      SELECT arm, seed, sum(support)::BIGINT AS n, round(sum(tp) / sum(support), 9) AS accuracy, round(avg(coalesce(tp / nullif(tp + fp, 0), 0)), 9) AS precision, round(avg(coalesce(tp / nullif(tp + fn, 0), 0)), 9) AS recall,
+        round(avg(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)), 9) AS f1, round(avg(coalesce(tp / nullif(tp + fn, 0), 0)) FILTER (support > 0), 9) AS balanced_accuracy FROM k GROUP BY ALL""",
+    "e1_text_features": "WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{M}\\p{N}\\p{Pc}]+'), lambda x: x <> '') AS w FROM documents) SELECT doc_id, 64 AS width, CASE WHEN len(w) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm, len(w) = 0 AS blank FROM w",
     "s9_shards": _RUNS + "SELECT arm, seed, round(score, 9) AS score FROM bys",
     "z1_singles_to_multiples": "SELECT CASE WHEN event_id % 3 = 0 THEN 'test' ELSE 'train' END AS role, count(*) AS n FROM events WHERE event_id % 89 <> 0 GROUP BY 1",
-    "z2_additivity": """WITH d AS (SELECT 'v' || (o_orderkey - 200) || ':v' || (o_orderkey % 190) AS variant, o_totalprice AS score, 'v' || (o_orderkey - 200) AS a, 'v' || (o_orderkey % 190) AS b FROM orders WHERE o_orderkey BETWEEN 195 AND 399),
-      s AS (SELECT 'v' || o_orderkey AS variant, o_totalprice AS score FROM orders WHERE o_orderkey < 200) SELECT d.variant, round(d.score - (x.score + y.score), 2) AS residual FROM d LEFT JOIN s x ON x.variant = a LEFT JOIN s y ON y.variant = b""",
+    "z2_additivity": """WITH d AS (SELECT 'v' || (o_orderkey - 1) || ':v' || (o_orderkey // 2) AS variant, o_totalprice AS score, o_orderkey - 1 AS a, o_orderkey // 2 AS b FROM orders WHERE o_orderkey % 2 = 1),
+      s AS (SELECT o_orderkey AS k, o_totalprice AS score FROM orders WHERE o_orderkey % 2 = 0) SELECT d.variant, round(d.score - (x.score + y.score), 2) AS residual FROM d LEFT JOIN s x ON x.k = a LEFT JOIN s y ON y.k = b""",
 }

@@ -11,7 +11,7 @@ from ..operators.gates import coverage
 from ..operators.metrics import drawn_positions
 
 FRACTIONS, SEED = (0.7, 0.2, 0.1), 11
-CAP, SIZES, SEEDS = 256, (64, 256), (0, 1)
+CAP, SIZES, SEEDS = 256, (32, 128), (0, 1)
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,7 +64,7 @@ def p4_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pool = S.fold_roles(_folds(spark, sf_dir), SCHEMES).where("role = 'pool' and o_orderstatus <> 'P'")
+    pool = S.fold_roles(_folds(spark, sf_dir), SCHEMES).where("role = 'pool'")
     return S.draws(pool, ["o_orderstatus", "scheme"], "o_orderkey", SIZES, SEEDS)
 
 
@@ -119,7 +119,7 @@ _LONG = """
 WITH f AS (SELECT *, ((o_orderkey * 7 + 3) % 5)::INT AS fold_random, (o_custkey % 5)::INT AS fold_modulo, ((o_custkey // 10) % 5)::INT AS fold_contiguous FROM orders),
 l AS (SELECT o_orderkey, o_orderstatus, o_custkey, scheme, CASE fold WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'pool' END AS role FROM (UNPIVOT (SELECT o_orderkey, o_orderstatus, o_custkey, fold_random, fold_modulo, fold_contiguous FROM f) ON fold_random, fold_modulo, fold_contiguous INTO NAME scheme VALUE fold)),
 d AS (SELECT * FROM (SELECT l.*, n, seed, row_number() OVER (PARTITION BY o_orderstatus, scheme, n, seed ORDER BY md5(o_orderstatus || ':' || scheme || ':' || n || ':' || seed || ':' || o_orderkey), o_orderkey) AS k
-  FROM l, (VALUES (64), (256)) a(n), (VALUES (0), (1)) b(seed) WHERE role = 'pool' AND o_orderstatus <> 'P') WHERE k <= n)
+  FROM l, (VALUES (32), (128)) a(n), (VALUES (0), (1)) b(seed) WHERE role = 'pool') WHERE k <= n)
 """
 
 QUERIES = {f.__name__: f for f in (x1_global_rank, x2_hash_order, p1_hash_split, p1_balanced_split, p1_balanced_large, p2_inherited_split, p3_fold_roles, p4_capped, p5_draws, a17_drawn_positions, p6_leak_audit, p6_no_leak, p6_sizes, j5_shuffled_pairs, j7_coverage, w2_stratified, w3_evenly_spaced)}
@@ -136,7 +136,11 @@ SQL = {
     "p5_draws": _LONG + "SELECT o_orderkey, scheme, n, seed FROM d",
     "a17_drawn_positions": _LONG + "SELECT o_orderstatus, scheme, n, seed, count(DISTINCT o_custkey) AS train_positions, count(*) AS n_train FROM d GROUP BY ALL",
     "p6_leak_audit": f"WITH s AS (SELECT DISTINCT o_custkey, {_role(_u(repr(str(SEED)), 'o_orderkey'))} AS role FROM orders) SELECT a.role AS role_a, b.role AS role_b, count(*) AS n FROM s a JOIN s b USING (o_custkey) WHERE a.role < b.role GROUP BY ALL",
-    "p6_no_leak": "SELECT 0::BIGINT AS n_shared",
+    "p6_no_leak": f"WITH s AS (SELECT DISTINCT o_custkey, {_role(_u(repr(str(SEED)), 'o_custkey'))} AS role FROM orders) SELECT count(*) AS n_shared FROM s a JOIN s b USING (o_custkey) WHERE a.role = 'train' AND b.role = 'test'",
+    "p1_balanced_large": f"""WITH RECURSIVE g AS (SELECT source, count(*) AS size, row_number() OVER (ORDER BY md5('{SEED}:' || source), source) AS i FROM documents GROUP BY source),
+      t(i, source, size, role, a, b) AS (SELECT 0, '', 0, '', 0.6::DOUBLE * count(*), 0.4::DOUBLE * count(*) FROM documents UNION ALL
+        SELECT g.i, g.source, g.size, CASE WHEN a >= b THEN 'train' ELSE 'val' END, CASE WHEN a >= b THEN a - g.size ELSE a END, CASE WHEN a >= b THEN b ELSE b - g.size END FROM t JOIN g ON g.i = t.i + 1)
+      SELECT role, sum(size)::BIGINT AS n FROM t WHERE i > 0 GROUP BY role""",
     "p6_sizes": f"SELECT {_role(_u(repr(str(SEED)), 'user_id'))} AS role, count(*) AS n FROM events GROUP BY ALL",
     "j5_shuffled_pairs": "WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r FROM documents), b AS (SELECT doc_id AS other, n_chars, row_number() OVER (ORDER BY md5('3:' || doc_id), doc_id) AS r FROM documents) SELECT doc_id, other, n_chars FROM a JOIN b USING (r)",
     "j7_coverage": "WITH a AS (SELECT c_custkey AS k FROM customer), b AS (SELECT DISTINCT o_custkey + 5 AS k FROM orders) SELECT k, 'missing' AS side FROM a WHERE k NOT IN (SELECT k FROM b) UNION ALL SELECT k, 'foreign' FROM b WHERE k NOT IN (SELECT k FROM a)",

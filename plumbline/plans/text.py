@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_annotation, joined_fields, normalised, random_dropped, sentences
+from ..functions.text import BOOKKEEPING, BREAK, DOT, clean_annotation, holds_private, joined_fields, normalised, random_dropped, sentences
 from ..operators import ablation as A
 
 LEXICON = A.Lexicon(
@@ -25,7 +25,7 @@ def _ablated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def t1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    noisy = _docs(spark, sf_dir).withColumn("noisy", F.concat(F.lit("FUNCTION: Begins {ECO:0001|PubMed:2}. . "), F.substring("text", 1, 100_000), F.lit(" (PubMed:12, ECO:3) (By similarity) ; end ( ) .;")))
+    noisy = _docs(spark, sf_dir).withColumn("noisy", F.concat(F.lit("FUNCTION: Begins {ECO:0001|PubMed:2}. . "), F.col("text"), F.lit(" (PubMed:12, ECO:3) (By similarity) ; end ( ) .;")))
     return noisy.select("doc_id", clean_annotation(F.col("noisy")).alias("cleaned"))
 
 
@@ -53,6 +53,18 @@ def t7_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.untouched_faults(_ablated(spark, sf_dir)).agg(F.count("*").alias("n_bad"))
 
 
+def t3_private_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.when(F.pmod("doc_id", F.lit(50)) == 0, F.concat("text", F.lit(DOT))).otherwise(F.col("text"))
+    return _docs(spark, sf_dir).select("doc_id", F.coalesce(holds_private(text), F.lit(False)).alias("private"))
+
+
+def t8_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every entry of the lexicon with the number of documents that mention it."""
+    entries = LEXICON.frame(spark)
+    said = A.term_mentions(_docs(spark, sf_dir), F.col("text"), [*LEXICON.terms, *LEXICON.exclusions, *LEXICON.sentinels])
+    return entries.join(said, "term").select("version", F.coalesce("group", F.lit("")).alias("group"), "term", "kind", "n")
+
+
 def a7_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.ablation_summary(_ablated(spark, sf_dir), "lang")[0]
 
@@ -95,25 +107,28 @@ _SPACE = r"[ \t\n\x0B\f\r]"
 _W = r"[\p{L}\p{M}\p{N}_]"
 
 
+_DOT, _BREAK = f"chr({ord(DOT)})", f"chr({ord(BREAK)})"
+
+
 def _sql_clean(c: str) -> str:
-    steps = ((r"\{ECO:[^}]*\}", ""), (r"\([^()]*(?:PubMed:|ECO:|Ref\.)[^()]*\)", ""), (r"\((?:By similarity|Probable|Potential)\)", ""), (rf"FUNCTION:{_SPACE}*", ""), (rf"{_SPACE}+", " "), (r" +([.;,:])", r"\1"), (r"\( *\)", ""), (r"([.;])[.;]+", r"\1"), (r"^[.;,: ]+", ""))
-    for pattern, by in steps:
+    patterns = [p.replace("(?U)", "").replace(r"\s", _SPACE) for p in BOOKKEEPING]
+    for pattern, by in (*((p, "") for p in patterns), (f"{_SPACE}+", " "), (" ([.;,:])", r"\1"), (r"\( ?\)", ""), ("([.;])[.;]+", r"\1")):
         c = f"regexp_replace({c}, '{pattern}', '{by}', 'g')"
-    return f"trim({c})"
+    return f"trim(ltrim({c}, '.;,: '))"
 
 
 def _sql_sentences(c: str) -> str:
     """Without the protected marks of other texts: the driver's documents hold no brackets with marks and no listed abbreviation but these."""
     marked = c
     for _ in range(2):
-        marked = rf"regexp_replace({marked}, '([0-9])\.([0-9])', '\1' || chr(57344) || '\2', 'g')"
-    marked = rf"regexp_replace({marked}, '(^|[^\p{{L}}\p{{M}}\p{{N}}_])([A-Z])\.( +[a-z])', '\1\2' || chr(57344) || '\3', 'g')"
+        marked = rf"regexp_replace({marked}, '([0-9])\.([0-9])', '\1' || {_DOT} || '\2', 'g')"
+    marked = rf"regexp_replace({marked}, '(^|[^\p{{L}}\p{{M}}\p{{N}}_])([A-Z])\.( +[a-z])', '\1\2' || {_DOT} || '\3', 'g')"
     for a, b in (("e", "g"), ("i", "e")):
-        marked = rf"regexp_replace({marked}, '(?i)(^|[^\p{{L}}\p{{M}}\p{{N}}_])({a})\.({b})\.', '\1\2' || chr(57344) || '\3' || chr(57344), 'g')"
+        marked = rf"regexp_replace({marked}, '(?i)(^|[^\p{{L}}\p{{M}}\p{{N}}_])({a})\.({b})\.', '\1\2' || {_DOT} || '\3' || {_DOT}, 'g')"
     for a in ("spp", "sp", "cf", "approx", "vs", "etc"):
-        marked = rf"regexp_replace({marked}, '(?i)(^|[^\p{{L}}\p{{M}}\p{{N}}_])({a})\.', '\1\2' || chr(57344), 'g')"
-    parts = rf"string_split(regexp_replace({marked}, '([.;]) +', '\1' || chr(57346), 'g'), chr(57346))"
-    return f"list_filter(list_transform({parts}, lambda s: trim(replace(s, chr(57344), '.'))), lambda s: trim(s, ' .;,:') <> '')"
+        marked = rf"regexp_replace({marked}, '(?i)(^|[^\p{{L}}\p{{M}}\p{{N}}_])({a})\.', '\1\2' || {_DOT}, 'g')"
+    parts = rf"string_split(regexp_replace({marked}, '([.;]) +', '\1' || {_BREAK}, 'g'), {_BREAK})"
+    return f"list_filter(list_transform({parts}, lambda s: trim(replace(s, {_DOT}, '.'))), lambda s: trim(s, ' .;,:') <> '')"
 
 
 def _sql_pattern(terms) -> str:
@@ -149,9 +164,9 @@ def _sql_mentions(relation: str, column: str, terms) -> str:
     return rows
 
 
-QUERIES = {f.__name__: f for f in (t5_ablate, t1_clean, t2_sentences, t6_random_control, t7_variants, t7_invariant, a7_summary, a7_by_lang, a7_by_term, a8_retention_gate, a9_mentions, t9_sentinels, a10_control_retention, f5_normalised, f6_joined)}
+QUERIES = {f.__name__: f for f in (t5_ablate, t1_clean, t2_sentences, t6_random_control, t7_variants, t7_invariant, t3_private_points, t8_lexicon, a7_summary, a7_by_lang, a7_by_term, a8_retention_gate, a9_mentions, t9_sentinels, a10_control_retention, f5_normalised, f6_joined)}
 SQL = {
-    "t1_clean": "SELECT doc_id, " + _sql_clean("('FUNCTION: Begins {ECO:0001|PubMed:2}. . ' || substr(text, 1, 100000) || ' (PubMed:12, ECO:3) (By similarity) ; end ( ) .;')") + " AS cleaned FROM documents",
+    "t1_clean": "SELECT doc_id, " + _sql_clean("('FUNCTION: Begins {ECO:0001|PubMed:2}. . ' || text || ' (PubMed:12, ECO:3) (By similarity) ; end ( ) .;')") + " AS cleaned FROM documents",
     "t2_sentences": f"SELECT doc_id, len(s)::INT AS n_sentences, array_to_string(s, '|') AS joined FROM (SELECT doc_id, {_sql_sentences(_sql_clean('text'))} AS s FROM documents)",
     "t5_ablate": _BASE + "SELECT doc_id, array_to_string(kept, ' ') AS kept_text, len(removed)::INT AS n_removed, array_to_string(list_sort(terms), ',') AS terms, characters_before::INT AS characters_before, characters_after::INT AS characters_after FROM r",
     "t6_random_control": _BASE + "SELECT doc_id, array_to_string(control, ' ') AS control_text, len(control)::INT AS n_kept FROM c",
@@ -166,7 +181,15 @@ SQL = {
     "a8_retention_gate": _BASE + "SELECT doc_id FROM r WHERE characters_before = 0 OR (len(kept) = 0 AND len(removed) = 0)",
     "a9_mentions": _sql_mentions("documents", "text", [*LEXICON.terms, "unheard of"]),
     "t9_sentinels": _BASE + ", j AS (SELECT array_to_string(kept, ' ') AS t FROM r) " + _sql_mentions("j", "t", LEXICON.sentinels),
-    "t7_invariant": "SELECT 0::BIGINT AS n_bad",
+    "t7_variants": _BASE + """, x AS (SELECT seed, doc_id, sent, i, n_removed, row_number() OVER (PARTITION BY doc_id, seed ORDER BY md5(seed || ':' || doc_id || ':' || i), i) AS place FROM h JOIN n USING (doc_id), (VALUES (0), (1)) v(seed)),
+      y AS (SELECT seed, doc_id, string_agg(sent, ' ' ORDER BY i) FILTER (place > n_removed) AS t FROM x GROUP BY ALL)
+      SELECT 'raw' AS variant, -1 AS seed, count(*) AS n, sum(length(text))::BIGINT AS characters FROM r UNION ALL SELECT 'cleaned', -1, count(*), sum(length(cleaned))::BIGINT FROM r
+      UNION ALL SELECT 'ablated', -1, count(*), sum(length(array_to_string(kept, ' ')))::BIGINT FROM r UNION ALL SELECT 'random', seed, (SELECT count(*) FROM r), sum(coalesce(length(t), 0))::BIGINT FROM y GROUP BY seed""",
+    "t7_invariant": _BASE + "SELECT count(*) FILTER (len(removed) = 0 AND array_to_string(kept, ' ') <> array_to_string(sents, ' ')) AS n_bad FROM r",
+    "t3_private_points": "SELECT doc_id, doc_id % 50 = 0 AND text IS NOT NULL AS private FROM documents",
+    "t8_lexicon": "WITH m AS (" + _sql_mentions("documents", "text", [*LEXICON.terms, *LEXICON.exclusions, *LEXICON.sentinels]) + "), e AS (" + " UNION ALL ".join(
+        f"SELECT '{LEXICON.version}' AS version, '{g}' AS \"group\", '{t}' AS term, '{k}' AS kind" for g, t, k in [*((g, t, "term") for g, ts in LEXICON.groups.items() for t in ts), *(("", t, "exclusion") for t in LEXICON.exclusions), *(("", t, "sentinel") for t in LEXICON.sentinels)]
+    ) + ") SELECT version, \"group\", term, kind, n FROM e JOIN m USING (term)",
     "a10_control_retention": _BASE + """SELECT sum(characters_before)::BIGINT AS before, sum(characters_after)::BIGINT AS ablated, sum(coalesce(list_sum(list_transform(control, lambda x: length(x))), 0))::BIGINT AS control,
       sum(characters_after) / sum(characters_before) AS ablated_retention, sum(coalesce(list_sum(list_transform(control, lambda x: length(x))), 0)) / sum(characters_before) AS control_retention FROM c""",
     "f5_normalised": f"SELECT doc_id, t AS text, length(t) > 0 AS has_text FROM (SELECT doc_id, trim(regexp_replace(coalesce(CASE WHEN doc_id % 10 > 0 THEN text END, ''), '{_SPACE}+', ' ', 'g')) AS t FROM documents)",

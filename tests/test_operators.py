@@ -1,10 +1,13 @@
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from plumbline.functions.keys import global_rank
+from plumbline.functions import shared
+from plumbline.functions.keys import global_rank, quantiles, running_total
 from plumbline.operators import contrasts as C
 from plumbline.operators import features as E
 from plumbline.operators import fits as M
@@ -25,7 +28,7 @@ def records(spark):
 def test_rank_ignores_layout(spark, records):
     want = {r.id: k for k, r in enumerate(sorted(records.collect(), key=lambda r: (r.size, r.id)))}
     for df in (records, records.repartition(7), records.orderBy(F.rand(1))):
-        assert {r.id: r["rank"] for r in global_rank(df, ["size", "id"], parts=9).collect()} == want
+        assert {r.id: r["rank"] for r in global_rank(df, ["size", "id"]).collect()} == want
     assert global_rank(records.limit(0), ["size", "id"]).count() == 0
 
 
@@ -43,6 +46,56 @@ def test_balanced_split(spark, records, fractions):
         S.balanced_split(records, "family", (0.5, 0.2, 0.2), 3)
 
 
+def test_balanced_split_keeps_rows_and_fails_loudly(spark):
+    rows = [(i, None if i % 10 == 0 else f"f{i % 4}", "old") for i in range(50)]
+    df = spark.createDataFrame(rows, "id long, family string, role_ string")
+    split = S.balanced_split(df, "family", (0.5, 0.3, 0.2), 3)
+    assert split.count() == 50 and split.where("family is null").select("role").distinct().count() == 1
+    one = spark.createDataFrame([(i, "x") for i in range(9)], "id long, family string")
+    with pytest.raises(G.GateError, match="no group"):
+        S.balanced_split(one, "family", (0.4, 0.3, 0.3), 3)
+    assert S.balanced_split(one, "family", (1.0, 0.0, 0.0), 3).where("role = 'train'").count() == 9
+    assert S.balanced_split(one.limit(0), "family", (0.4, 0.3, 0.3), 3).count() == 0
+
+
+def test_running_totals_and_quantiles(spark, records):
+    rng = np.random.default_rng(4)
+    values = rng.integers(0, 40, 500)
+    df = spark.createDataFrame([(int(v), None if k % 9 == 0 else float(v) / 7) for k, v in enumerate(values)], "v long, x double").repartition(5)
+    totals = {r.v: r.total for r in running_total(df.groupBy("v").agg(F.count("*").alias("c")), ["v"], "c").collect()}
+    assert totals == {int(v): int((values <= v).sum()) for v in set(values)}
+    x = np.array([float(v) / 7 for k, v in enumerate(values) if k % 9])
+    shares = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.99, "e": 1.0}
+    got = quantiles(df, "x", shares).first()
+    assert all(got[k] == pytest.approx(np.quantile(x, q)) for k, q in shares.items())
+    assert quantiles(df.limit(0), "x", {"m": 0.5}).first().m is None
+    assert quantiles(df.where("v = 3").limit(1).withColumn("x", F.lit(2.5)), "x", {"m": 0.5}).first().m == 2.5
+
+
+def test_fold_gates(spark):
+    df = spark.createDataFrame([(1, 0), (2, None)], "id long, fold_a int")
+    with pytest.raises(PySparkException):
+        S.fold_roles(df, ["fold_a"]).collect()
+    assert [r.role for r in S.fold_roles(df.where("id = 1"), ["fold_a"]).collect()] == ["test"]
+
+
+def test_labels(spark):
+    df = spark.createDataFrame([(1, "b"), (2, None), (3, "a"), (4, "b")], "id long, label string")
+    assert {r.id: r.label_index for r in P.label_index(df, "label").collect()} == {1: 1, 2: None, 3: 0, 4: 1}
+    assert sorted(r.id for r in P.single_label(df, "label", "b").collect()) == [2, 3]
+
+
+def test_draws_again(spark):
+    """Groups so small against the threshold that some come out short are drawn from all of their rows, like a plain sort by hash."""
+    df = spark.createDataFrame([(i, "g") for i in range(3000)], "id long, g string")
+    out = {(r.n, r.seed): set() for r in S.draws(df, ["g"], "id", [5, 1500], [0, 1]).collect()}
+    for r in S.draws(df, ["g"], "id", [5, 1500], [0, 1]).collect():
+        out[r.n, r.seed].add(r.id)
+    for (n, seed), ids in out.items():
+        want = sorted(range(3000), key=lambda i: (hashlib.md5(f"g:{n}:{seed}:{i}".encode()).hexdigest(), i))[:n]
+        assert ids == set(want)
+
+
 def test_draws(spark, records):
     out = S.draws(records, ["size"], "id", [10, 40], [0, 1])
     sizes = out.groupBy("size", "n", "seed").agg(F.count("*").alias("c"), F.count_distinct("id").alias("d")).collect()
@@ -113,6 +166,43 @@ def test_ridge_is_the_closed_form(spark):
     assert out.penalty in M.PENALTIES and out.n_train + out.n_test < 120
 
 
+def plain_ridge(train, val, test, penalties):
+    """The grid's fit of one configuration, by a decomposition of the standardised rows."""
+    x, y = train
+    mean, sd = x.mean(0), x.std(0) + 1e-8
+    best = None
+    for p in penalties:
+        z = (x - mean) / sd
+        w = np.linalg.solve(z.T @ z + p * np.eye(x.shape[1]), z.T @ (y - y.mean()))
+        say = lambda v, w=w: (v - mean) / sd @ w + y.mean()
+        loss = ((say(val[0]) - val[1]) ** 2).mean()
+        if best is None or loss < best[1]:
+            best = (p, loss, pd.Series(say(test[0])).rank().corr(pd.Series(test[1]).rank()), len(y), len(test[1]))
+    return best
+
+
+def test_ridge_grid_is_the_plain_fit(spark):
+    rng = np.random.default_rng(7)
+    rows, want = [], {}
+    for c, width in (("a", 3), ("b", 6), (None, 4)):
+        w = rng.normal(size=width)
+        part = {}
+        for role, n in (("train", 60), ("val", 20), ("test", 30)):
+            x = rng.normal(3, 5, (n, width))
+            y = x @ w + rng.normal(0, 4, n)
+            part[role] = (x, y)
+            rows += [(c, role, [float(v) for v in a], float(b), len(rows)) for a, b in zip(x, y, strict=True)]
+        want[c] = plain_ridge(part["train"], part["val"], part["test"], M.PENALTIES)
+    del want[None]
+    df = spark.createDataFrame([r for r in rows if r[0]], "c string, role string, vec array<double>, y double, k int").repartition(6)
+    got = {r.c: (r.penalty, r.val_mse, r.spearman, r.n_train, r.n_test) for r in M.ridge_grid(df, ["c"]).collect()}
+    assert got.keys() == want.keys()
+    for c in want:
+        assert got[c] == pytest.approx(want[c], rel=1e-6)
+    flat = df.withColumn("y", F.when(F.col("role") == "test", 1.0).otherwise(F.col("y")))
+    assert {r.spearman for r in M.ridge_grid(flat, ["c"]).collect()} == {None}
+
+
 def test_scores(spark):
     site = spark.createDataFrame([("a", p, t, v) for p in (0, 1) for t, v in (("A", -1.0), ("G", -2.0 - p))], "assay string, position int, token string, logp double")
     make = lambda subs: spark.createDataFrame([("v", "a", subs)], "v string, assay string, subs array<struct<pos:int,wt:string,mut:string>>")
@@ -147,14 +237,68 @@ def test_features(spark):
 
 
 def test_arms_and_contrasts(spark):
-    for bad in ([{"name": "a", "blocks": ["x"]}] * 2, [{"name": "a", "blocks": ["y"]}], [{"name": "a", "blocks": ["x"], "shuffle": True, "redrawn": True}]):
+    for bad in ([{"name": "a", "blocks": ["x"]}] * 2, [{"name": "a", "blocks": ["y"]}], [{"name": "a", "blocks": ["x"], "shuffle": ["x"], "redrawn": ["x"]}]):
+        with pytest.raises(G.GateError):
+            M.checked_arms(bad, {"x": lambda seed: None})
+    for bad in ({"name": "a", "blocks": ["x"], "shuffle": ["y"]}, {"name": "a", "blocks": ["x"], "redrawn": ["x"]}, {"name": "a", "blocks": ["x"], "shuffle": ["z"]}):
         with pytest.raises(G.GateError):
-            M.checked_arms(bad, {"x"})
+            M.checked_arms([bad], {"x": None, "y": None})
     assert C.p_value(1.959964) == pytest.approx(0.05, abs=1e-6)
     curve = spark.createDataFrame([("a", 8, 0.1, 0.3), ("a", 16, 0.4, 0.3), ("b", 8, 0.1, 0.3)], "arm string, n int, mean double, floor double")
     assert {r.arm: r.crossover for r in C.crossover(curve, ["arm"], "n").collect()} == {"a": 16, "b": None}
 
 
+def test_arms_honour_their_flags(spark):
+    """The label stands in the block: an arm that uses it is perfect, one that shuffles it is not, and a redrawn block is that of the seed."""
+    rows = [(i, i % 3) for i in range(240)]
+    df = spark.createDataFrame(rows, "id long, label long")
+    vec = lambda *c: df.select("id", F.array(*c).cast("array<float>").alias("vec"))
+    blocks = {"true": vec("label"), "noise": vec(F.col("id") % 7), "drawn": lambda seed: vec(F.col("label") if seed == 1 else F.lit(0))}
+    arms = [
+        {"name": "true", "blocks": ["true", "noise"]}, {"name": "shuffled", "blocks": ["true"], "shuffle": ["true"]},
+        {"name": "drawn", "blocks": ["drawn"], "redrawn": ["drawn"]}, {"name": "fixed", "blocks": ["drawn"]},
+    ]
+    split = lambda seed: df.select("id", "label", S.hash_split(F.col("id"), (0.6, 0.2, 0.2), seed).alias("role"))
+    got = {(r.arm, r.seed): r.accuracy for r in M.run_arms(arms[1:], blocks, split, "id", "label", [0, 1]).collect()}
+    assert got["shuffled", 0] < 0.7 and got["shuffled", 1] < 0.7 and got["shuffled", 0] != got["shuffled", 1]
+    assert got["drawn", 1] == 1 and got["drawn", 0] < 0.6 and got["fixed", 0] == got["drawn", 0] and got["fixed", 1] < 0.6
+    heads = M.run_arms(arms[:1], blocks, split, "id", "label", [1], fit=M.head_fit).first()
+    assert heads.accuracy > 0.9
+    wide = spark.createDataFrame([(i, i, "train") for i in range(20)] + [(99, 1, "test")], "id long, label long, role string").withColumn("vec", F.array(F.lit(0.0)))
+    limit, M.MOST_CLASSES = M.MOST_CLASSES, 19
+    with pytest.raises(G.GateError):
+        M.nearest_centroid(wide, "id", "label", "vec")
+    M.MOST_CLASSES = limit
+
+
+def test_grid_axes(spark):
+    names = spark.createDataFrame([("b",), ("a",), ("b",)], "x string")
+    rows = R.grid(spark, {"rung": ["r"], "assay": names, "n": [8, 16]}).orderBy("ordinal").collect()
+    assert [(r.assay, r.n, r.ordinal) for r in rows] == [("a", 8, 0), ("a", 16, 1), ("b", 8, 2), ("b", 16, 3)]
+
+
+def test_shared_folder_and_steps(spark):
+    made = []
+
+    def build():
+        made.append(shared.new_folder(spark, "inner"))
+        spark.range(3).write.parquet(made[0])
+        return spark.read.parquet(made[0])
+
+    out = shared.step(build, "outer")
+    assert out.count() == 3
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(made[0])
+    assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def test_sinks(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "arm string, n long")
+    sinks.write_summary(df, str(tmp_path / "s.csv"))
+    sinks.write_summary(df, str(tmp_path / "s.json"), "json")
+    assert [tuple(r) for r in spark.read.csv(str(tmp_path / "s.csv"), header=True, schema="arm string, n long").orderBy("n").collect()] == [("a", 1), ("b", 2)]
+    assert spark.read.json(str(tmp_path / "s.json")).count() == 2
+
+
 def test_shards(spark, tmp_path):
     expected = R.grid(spark, {"arm": ["x", "y"], "n": [1, 2]})
     rows = expected.select("arm", "n", (F.col("ordinal") * 1.5).alias("score"))
