@@ -70,9 +70,11 @@ def windows(rows: DataFrame, key: str, size: int = WINDOW, written: bool = False
 
     Windows are runs of zipped shifts of the word array, so that no text is put together for them.
     """
-    words = rows.select(key, raw_words(F.col("text")).alias("raw")).select(key, "raw", template(F.col("raw")).alias("template"))
-    words = words.select(key, _split("template").alias("t"), *([_split("raw").alias("r")] if written else []))
-    words = words.where(F.size("t") >= size)
+    once = lambda c, name: F.inline(F.array(F.struct(c.alias(name))))  # noqa: E731  a generator: what stands behind it does not work ``c`` out again
+    words = rows.select(key, once(raw_words(F.col("text")), "raw"))
+    words = words.select(key, "raw", once(template(F.col("raw")), "template"))
+    words = words.select(key, "raw", once(_split("template"), "t")).where(F.size("t") >= size)
+    words = words.select(key, "t", once(_split("raw"), "r")) if written else words.select(key, "t")
     shifts = lambda c: [f"slice({c}, {k + 1}, size({c}) - {size - 1}) as {c}{k}" for k in range(size)]
     names = [f"{c}{k}" for c in (("t", "r") if written else ("t",)) for k in range(size)]
     shifted = words.selectExpr(key, *[x for c in (("t", "r") if written else ("t",)) for x in shifts(c)])
