@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.shared import cut, shared_dir, step  # noqa: F401
+
 BATCH_ROWS = 20_000
 BATCH_BYTES = 4 << 20
 
@@ -21,25 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is set only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame, label: str = "cut") -> DataFrame:
-    """Write ``df`` to the shared folder and read it again, so that later steps neither recompute nor depend on executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Bits for each marked id, and the largest bitmap; beyond it nothing is left out before a join.
 BITS_EACH, MOST_BITS = 16, 1 << 28
 #: A key that makes up this share of the rows of a join is a frequent one: there are as many at most as the share says.
@@ -90,8 +70,8 @@ def may_hold(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     return marked_by(df, key, ids).where("marked").drop("marked")
 
 
-def with_frequent(df: DataFrame, known: DataFrame, on: str | list[str], n: str) -> DataFrame:
-    """The inner join of ``df`` with ``known``, a written table of keys and of the number ``n`` of rows of ``df`` that have each.
+def with_frequent(df: DataFrame, known: DataFrame, on: str | list[str], n: str, how: str = "inner") -> DataFrame:
+    """The inner or left join of ``df`` with ``known``, a written table of keys and of the number ``n`` of rows of ``df`` that have each.
 
     Frequent keys meet in a broadcast of at most FREQUENT rows, so that none of them fills a task; the others in a shuffle.
     """
@@ -102,16 +82,23 @@ def with_frequent(df: DataFrame, known: DataFrame, on: str | list[str], n: str)
     top = F.broadcast(known.where(often).select(*on, F.struct(*values).alias("_top")))
     rest = known.where(~often).select(*[F.col(c).alias(f"_{c}") for c in on], F.struct(*values).alias("_rest"))
     met = df.join(top, on, "left")
-    # a row that has met its key goes anywhere, the same way each time a task is run
-    spread = F.when(F.col("_top").isNull(), F.xxhash64(*on)).otherwise(F.xxhash64(*df.columns))
+    # a row that has met its key, or has none, goes anywhere, the same way each time a task is run
+    meets = F.col("_top").isNull()
+    for c in on:
+        meets = meets & F.col(c).isNotNull()
+    spread = F.when(meets, F.xxhash64(*on)).otherwise(F.xxhash64(*df.columns))
     keyed = rest.withColumn("_at", F.xxhash64(*[f"_{c}" for c in on]))
     same = [F.col(c) == F.col(f"_{c}") for c in on]
-    out = met.withColumn("_to", spread).join(keyed, [F.col("_to") == F.col("_at"), F.col("_top").isNull(), *same], "left").where("_top is not null or _rest is not null")
+    out = met.withColumn("_to", spread).join(keyed, [F.col("_to") == F.col("_at"), F.col("_top").isNull(), *same], "left")
+    out = out.where("_top is not null or _rest is not null") if how == "inner" else out
     return out.select(*df.columns, *[F.coalesce(F.col(f"_top.{c}"), F.col(f"_rest.{c}")).alias(c) for c in values if c not in df.columns])
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds: very long texts stand beside short ones."""
+    """Bound what one Arrow batch holds: very long texts stand beside short ones.
+
+    The settings are read when a plan is run, which is after the operator has returned, so that they stay set in the session.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
@@ -149,39 +136,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def summed_cells(df: DataFrame, count: Callable[[np.ndarray, pa.RecordBatch], None], size: int, parts: int = 64) -> np.ndarray:
-    """The sum over all batches of ``df`` of what ``count(cells, batch)`` adds to ``size`` cells, a table of fixed size.
-
-    Each task sends its cells once, packed in ``parts`` rows; few tasks add them up part by part as they stream by.
-    """
-    part = -(-size // parts)
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(part * parts, np.int64)
-        for batch in batches:
-            count(cells, batch)
-        yield packed(dict(enumerate(cells.reshape(parts, part))))
-
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                cells = np.frombuffer(zlib.decompress(c), np.int64)
-                sums[p] = sums[p] + cells if p in sums else cells
-        if sums:
-            yield packed(sums)
-
-    def packed(cells: dict[int, np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(cells), pa.int32()), pa.array([zlib.compress(c.tobytes(), 1) for c in cells.values()], pa.binary())], names=["part", "cells"])
-
-    small_batches(df.sparkSession)
-    kind = "part int, cells binary"
-    out = np.zeros((parts, part), np.int64)
-    for r in df.mapInArrow(counted, kind).repartition(parts // 4, "part").mapInArrow(added, kind).toLocalIterator():  # ``parts`` rows
-        out[r.part] = np.frombuffer(zlib.decompress(bytes(r.cells)), np.int64)
-    return out.reshape(-1)[:size]
-
-
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
