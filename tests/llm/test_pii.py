@@ -4,7 +4,7 @@ import re
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from plumbline.llm.pii import KINDS, base_spans, find, find_digests, luhn, redact
+from plumbline.llm.pii import KINDS, base_spans, candidate_counts, find, find_digests, fit, luhn, measured, redact, select
 
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -75,3 +75,34 @@ def test_other_forms_at_any_count(spark):
         got = {r.doc_id: [rows[r.doc_id][s.start : s.end] for s in r.spans] for r in out.where(f"doc_id < {len(forms) + len(others)}").collect()}
         assert [got[i] for i in range(len(rows[: len(forms)]))] == [[s] for s in forms.values()]
         assert all(got[len(forms) + i] == [] for i in range(len(others)))
+
+
+def test_held_out_precision_and_recall(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    counts = [tuple(r) for r in candidate_counts(docs).select("code", "held", "n", "positive").collect()]
+    assert any(held for _, held, *_ in counts) and any(not held for _, held, *_ in counts)
+    for hit, taken, there in measured(counts, fit(counts)).values():
+        assert hit >= 0.95 * there and hit >= 0.9 * taken
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(KINDS), st.integers(0, 30), st.integers(1, 8), st.integers(0, 4)), max_size=8), st.integers(0, 3))
+def test_selection_by_brute_force(spans, n_base):
+    """All base spans, then candidates by falling chance that are over their threshold and touch nothing taken."""
+    found = list({(k, a, a + n): c for k, a, n, c in spans}.items())
+    base = [s for s, _ in found[:n_base]]
+    chance, threshold = {0: 0.1, 1: 0.5, 2: 0.6, 3: 0.9, 4: 0.99}, [0.5, 0.55, 0.95, 1.0]
+    want = list(base)
+    for s, c in sorted((x for x in found if x[0] not in base), key=lambda x: (-chance[x[1]], x[0][1], KINDS.index(x[0][0]), x[0])):
+        if chance[c] >= threshold[KINDS.index(s[0])] and not any(s[1] < o[2] and o[1] < s[2] for o in want):
+            want.append(s)
+    assert sorted(select(base, found, chance, threshold)) == sorted(want)
+
+
+def test_nulls_and_repeated_rows(spark):
+    rows = [(None, "me@site.org"), (1, "me@site.org"), (1, "me@site.org"), (None, None), (2, "x" * 400_000 + " me@site.org " + "1" * 300_000)]
+    df = spark.createDataFrame([(*r, "k", 1) for r in rows], "doc_id long, text string, kind string, base int")
+    out = find_digests(df).collect()
+    assert sorted((r.doc_id or 0, r.n_email) for r in out) == [(0, 0), (0, 1), (1, 1), (1, 1), (2, 1)]
+    clean = redact(df)
+    assert clean.columns == df.columns and clean.where("text = '[EMAIL]'").count() == 3 and redact(df.limit(0)).count() == 0
