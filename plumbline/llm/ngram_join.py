@@ -12,8 +12,9 @@
    and leaves a subtree once the remaining lengths cannot reach the needed overlap, or all of it is linked already.
 5. Links become components by alternating star contraction on Spark.
 
-Links are exact. Null or wordless texts have an empty set, are linked with nothing and are their own component. Rows
+Links are exact for 64-bit hashes of shingles. Null or wordless texts have an empty set, are linked with nothing and are their own component. Rows
 with a null doc_id stay, with a null component if no row of their class has an id. Repeated rows share one component.
+Texts may be of any length; an empty table gives no rows; other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, map_batches, may_hold, shingle_hashes, small_batches, table, texts_of, utf8, word_hashes
@@ -84,18 +85,23 @@ def _prefix(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def text_key() -> F.Column:
+    return F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+
+
 def document_sets(docs: DataFrame, classes, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n, digest of the set, and its prefix in global order."""
+    """doc_id, key of the text, n, digest of the set, and its prefix in global order."""
+    docs = docs.withColumn("key", text_key())
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         order, sets = classes.value, sets_of(batch.column(1), words)
         prefixes = [_ranked(s, order)[: _prefix(len(s), percent)].view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
         digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "n", "digest", "prefix"]
+            [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "key", "n", "digest", "prefix"]
         )
 
-    return map_batches(docs, run, "doc_id long, n long, digest binary, prefix array<long>")
+    return map_batches(docs, run, "doc_id long, key binary, n long, digest binary, prefix array<long>")
 
 
 def _pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -313,8 +319,8 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int = WORDS, percent: int
     return dealt.mapInArrow(lambda batches: _verify(batches, words, percent), "a long, b long")
 
 
-def jaccard_components(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of ``documents``."""
+def _components(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, key (of the text), n_shingles, digest (of the set), component_id for each row of ``documents``."""
     docs, spark = texts_of(documents), documents.sparkSession
     classes = spark.sparkContext.broadcast(frequencies(docs, words))  # 2**SKETCH_BITS bytes
     sets = cut(document_sets(docs, classes, words, percent), "sets")
@@ -324,13 +330,35 @@ def jaccard_components(documents: DataFrame, words: int = WORDS, percent: int =
     links = cut(verified(docs, pairs, words, percent), "links")
     roots = components(links).select(F.col("node").alias("rep"), "root")
     of_digest = of_class.select("digest", F.col("doc_id").alias("rep")).join(roots, "rep", "left").select("digest", F.coalesce("root", "rep").alias("component_id"))
-    return sets.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(of_digest, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id"))).alias("component_id"))
+    labelled = sets.select("doc_id", "key", F.col("n").alias("n_shingles"), "digest").join(of_digest, "digest", "left")
+    return labelled.select("doc_id", "key", "n_shingles", "digest", F.coalesce("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id"))).alias("component_id"))
+
+
+def jaccard_components(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of ``documents``."""
+    return _components(documents, words, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
-    """The documents without all but one of each component: the one with the smallest doc_id stays. Rows without an id stay."""
-    first = jaccard_components(documents).where("doc_id = component_id").select("doc_id").distinct()
-    return documents.join(first, "doc_id", "left_semi").select(documents.columns).unionByName(documents.where("doc_id is null"))
+    """The documents without all but one row of each component: the one with the smallest doc_id stays.
+
+    Of rows that share that doc_id and their set of shingles, or are repeated, one stays; rows that share it with another
+    set are other texts and stay. A row without an id goes if a row with one stands for its set; of the others, one stays
+    for each set. Rows without an id and without words all stay.
+    """
+    kinds = dict(documents.dtypes)
+    found = cut(_components(documents), "components")
+    own = found.where("doc_id = component_id").groupBy("doc_id", "digest").agg(F.min("key").alias("_key")).select("doc_id", "_key")
+    nameless = found.where("doc_id is null and component_id is null and n_shingles > 0").groupBy("digest").agg(F.min("key").alias("_key")).select(F.lit(None).cast("long").alias("doc_id"), "_key")
+    chosen = own.unionByName(nameless).withColumnRenamed("doc_id", "_id")
+    twice = found.groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1 and (doc_id is not null or key is not null)").limit(1).count() > 0
+    keyed = documents.withColumn("_key", text_key())
+    kept = keyed.join(chosen, [keyed["doc_id"].cast("long").eqNullSafe(chosen["_id"]), keyed["_key"] == chosen["_key"]], "left_semi")
+    if twice:
+        order = F.xxhash64(*[c for c in documents.columns if "map<" not in kinds[c]])
+        kept = kept.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_key").orderBy(order))).where("_n = 1")
+    wordless = documents.where(F.col("doc_id").isNull() & ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    return kept.select(documents.columns).unionByName(wordless)
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,7 +72,26 @@ def test_edges(spark):
     assert out == [(-1, 2, 3), (3, 2, 3), (3, 2, 3), (9, 0, 9)]
 
 
-def test_long_text_and_streamed_groups():
+def test_one_of_each(spark):
+    """One row of each group: repeated rows, one id with two texts, null ids, wordless rows, columns with names of the operator's own."""
+    kind = "doc_id long, text string, key int, digest string, component_id map<string, int>"
+    words = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    near = words + " end"
+    rows = [
+        (3, words), (3, words), (4, words), (5, near), (3, "quite another text of this id here"), (6, "some more words for a set of its own"),
+        (None, words), (None, "nobody has an id for this text here"), (None, "nobody has an id for this text here"), (None, None), (None, " "), (8, None), (8, None), (9, ""), (10, "long " * 40_000), (11, "long " * 40_001),
+    ]
+    df = spark.createDataFrame([(*r, k, "d", {"a": k}) for k, r in enumerate(rows)], kind).repartition(4)
+    kept = J.one_of_each(df)
+    assert kept.columns == df.columns
+    got = sorted(((r.doc_id is None, r.doc_id or 0, (r.text or "")[:12]) for r in kept.collect()))
+    want = [(3, words), (3, "quite another text of this id here"), (6, "some more words for a set of its own"), (8, None), (9, ""), (10, "long " * 40_000)]
+    want += [(None, "nobody has an id for this text here"), (None, None), (None, " ")]
+    assert got == sorted((i is None, i or 0, (t or "")[:12]) for i, t in want)
+    assert J.one_of_each(df.limit(0)).count() == 0
+
+
+def test_streamed_groups():
     rng = random.Random(5)
     rows = []
     for token in range(40):
