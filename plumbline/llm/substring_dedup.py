@@ -5,11 +5,15 @@ cut alike wherever it stands and an insertion shifts no cut beyond its neighbour
 the greatest hash cuts. Chunks are named by a 64-bit
 digest. Spark counts the documents of each digest; of a digest that more than one document holds, the smallest doc_id
 keeps its text and the others repeat it. Neighbouring repeated chunks of a document form a passage, whichever document
-keeps each of them, where another document holds the two as neighbours, too; passages of at least ``PASSAGE`` bytes are reported, in pieces that are kept or not, and the pieces
-that are not kept are removed.
-
-Null texts count as empty and repeat nothing, as do rows with a null doc_id. Copies with one doc_id count as one
-document. Whole texts are read whatever their length; a document's own repetitions are not passages of two documents.
+keeps each of them, where another document holds the two as neighbours, too; passages of at least ``PASSAGE`` bytes are
+reported, in pieces that are kept or not, and the pieces that are not kept are removed. A chunk is shorter than a passage,
+so that nothing is removed on the word of a single digest: a passage has two digests or more, and their pairs, in common
+with another document. The most frequent digests and pairs are sent to all tasks, so that none of them fills one.
+
+Null texts count as empty and repeat nothing, as do rows with a null doc_id. A doc_id names one text; copies with one
+doc_id count as one document. Whole texts are read whatever their length; a document's own repetitions are not passages
+of two documents. An empty table gives no rows. Other columns play no part in passages, whatever their names, and are
+kept as they are where passages are removed.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches, marked_by, mix, powers, table, texts_of, utf8
+from .common import cut, map_batches, marked_by, mix, powers, table, texts_of, utf8, with_frequent
 
 SPAN_STEPS = 4
 SPAN = 1 << SPAN_STEPS
@@ -82,16 +86,15 @@ def chunks(docs: DataFrame) -> DataFrame:
 def repeated_passages(documents: DataFrame, passage: int = PASSAGE) -> DataFrame:
     """doc_id, start, stop (UTF-8 bytes), first_doc_id, kept: pieces of passages that other documents hold too; ``kept`` in the document that comes first."""
     docs = texts_of(documents).where("doc_id is not null")
-    of_digest = chunks(docs).groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"))
-    shared = cut(of_digest.where("first_doc_id <> last").select("digest", "first_doc_id"), "shared")
-    found = marked_by(chunks(docs), "digest", shared).where("marked").drop("marked").join(shared, "digest").withColumn("kept", F.col("doc_id") == F.col("first_doc_id"))
+    of_digest = chunks(docs).groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    shared = cut(of_digest.where("first_doc_id <> last").select("digest", "first_doc_id", "n"), "shared")
+    found = with_frequent(marked_by(chunks(docs), "digest", shared).where("marked").drop("marked"), shared, "digest", "n").withColumn("kept", F.col("doc_id") == F.col("first_doc_id"))
     in_order = Window.partitionBy("doc_id").orderBy("ord", "digest")
-    # a chunk without a repeated one before it gets a key that no pair has: nulls would meet in one task
     pair = F.when(F.lag("ord").over(in_order) == F.col("ord") - 1, F.xxhash64(F.lag("digest").over(in_order), "digest"))
     near = cut(found.dropDuplicates(["doc_id", "ord", "digest"]).withColumn("pair", pair), "near")
-    of_pair = near.where("pair is not null").groupBy("pair").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("pair", F.lit(0).alias("starts"))
-    linked = near.withColumn("pair", F.coalesce("pair", F.xxhash64("doc_id", "ord"))).join(of_pair, "pair", "left")
-    near = linked.withColumn("run", F.sum(F.coalesce("starts", F.lit(1))).over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    of_pair = near.where("pair is not null").groupBy("pair").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).where("a <> b")
+    of_pair = cut(of_pair.select("pair", "n", F.lit(0).alias("starts")), "pairs")
+    near = with_frequent(near, of_pair, "pair", "n", "left").withColumn("run", F.sum(F.coalesce("starts", F.lit(1))).over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
     of_run = Window.partitionBy("doc_id", "run")
     whole = near.withColumn("from", F.min("start").over(of_run)).withColumn("to", F.max("stop").over(of_run)).where(F.col("to") - F.col("from") >= passage)
     pieces = whole.withColumn("piece", F.col("ord") - F.row_number().over(Window.partitionBy("doc_id", "run", "kept").orderBy("ord", "digest")))
@@ -104,12 +107,15 @@ def repeated_passages(documents: DataFrame, passage: int = PASSAGE) -> DataFrame
 def without_repeats(documents: DataFrame, passage: int = PASSAGE) -> DataFrame:
     """The documents with repeated passages cut out where they are not kept; texts may become empty, other columns stay."""
     spans = repeated_passages(documents, passage).where("not kept").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_spans"))
-    joined = documents.join(spans, "doc_id", "left")
     names = documents.columns
+    held = "_spans"
+    while held in names:
+        held += "_"
+    joined = documents.join(spans.withColumnRenamed("_spans", held), "doc_id", "left")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column("text").to_pylist()
-        for i, spans_ in enumerate(batch.column("_spans").to_pylist()):
+        for i, spans_ in enumerate(batch.column(held).to_pylist()):
             if spans_ and texts[i]:
                 raw, at, out = texts[i].encode(), 0, []
                 for s in spans_:
@@ -118,7 +124,7 @@ def without_repeats(documents: DataFrame, passage: int = PASSAGE) -> DataFrame:
                 texts[i] = b"".join([*out, raw[at:]]).decode("utf-8", "ignore")
         return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names], names=names)
 
-    return map_batches(joined, run, ", ".join(f"`{n}` {t}" for n, t in documents.dtypes))
+    return map_batches(joined, run, documents.schema)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

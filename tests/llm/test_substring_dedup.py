@@ -1,13 +1,14 @@
 import random
+from collections import defaultdict
+from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from plumbline.llm import substring_dedup as D
 from plumbline.llm.common import utf8
 
-import pyarrow as pa
-
 
 def prose(seed, n):
     rng = random.Random(seed)
@@ -76,5 +77,70 @@ def test_passage_with_two_owners(spark):
         assert left[5] == texts[5] and b[50:100] in left[10] and b[50:100] not in left[20] and a[50:100] not in left[10] + left[20]
 
 
+def plain_passages(texts):
+    """The definition over plain lists: repeated chunks, pairs that two documents hold, runs that are long enough, their pieces."""
+    chunks = {}
+    for i, t in texts.items():
+        data, offsets = D.utf8(pa.array([t]))
+        _, starts, ends = D.cuts(data, offsets)
+        chunks[i] = [(k, int(a), int(b), int(d)) for k, (a, b, d) in enumerate(zip(starts, ends, D._digests(data, starts, ends), strict=True))]
+    holders, pairs = defaultdict(set), defaultdict(set)
+    for i, c in chunks.items():
+        for *_, d in c:
+            holders[d].add(i)
+    near = {i: [x for x in c if len(holders[x[3]]) > 1] for i, c in chunks.items()}
+    for i, c in near.items():
+        for x, y in pairwise(c):
+            if y[0] == x[0] + 1:
+                pairs[x[3], y[3]].add(i)
+    out = set()
+    for i, c in near.items():
+        runs = []
+        for n, y in enumerate(c):
+            joined = n and y[0] == c[n - 1][0] + 1 and len(pairs[c[n - 1][3], y[3]]) > 1
+            if joined:
+                runs[-1].append(y)
+            else:
+                runs.append([y])
+        for run in runs:
+            start, stop = run[0][1], run[-1][2]
+            if stop - start < D.PASSAGE:
+                continue
+            pieces = []
+            for x in run:
+                kept = min(holders[x[3]]) == i
+                if pieces and pieces[-1][0] == kept:
+                    pieces[-1][1].append(x)
+                else:
+                    pieces.append((kept, [x]))
+            for kept, part in pieces:
+                a, b = part[0][1], part[-1][2]
+                if not (kept and len(part) == 1 and (a == start) != (b == stop)):
+                    out.add((i, a, b, min(min(holders[x[3]]) for x in part), kept))
+    return out
+
+
+def test_by_brute_force(spark):
+    rng = random.Random(12)
+    pool = [prose(4000 + k, 25) for k in range(12)]
+    texts = {i: " ".join(rng.choice(pool) if rng.random() < 0.4 else prose(9000 + 50 * i + k, 12) for k in range(rng.randint(1, 8))) for i in range(60)}
+    texts |= {i: pool[0] + " " + pool[1] + " " + pool[2] for i in range(60, 90)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {(r.doc_id, r.start, r.stop, r.first_doc_id, r.kept) for r in D.repeated_passages(df).collect()}
+    assert got == plain_passages(texts) and len(got) > 40
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    shared = prose(77, 60)
+    rows = [(1, "a b " + shared, 0, "x"), (1, "a b " + shared, 0, "x"), (2, shared + " c", 0, "y"), (None, shared, 0, "z"), (3, shared + shared[:20], 5, "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _spans int, digest string")
+    out = D.repeated_passages(df)
+    assert {r.doc_id for r in out.collect()} == {1, 2, 3} and out.count() == len({tuple(r) for r in out.collect()})
+    left = D.without_repeats(df)
+    assert left.columns == df.columns and left.count() == len(rows)
+    assert sorted(len(r.text) for r in left.where("doc_id = 1 or doc_id is null").collect()) == sorted(len(rows[k][1]) for k in (0, 1, 3))
+    assert D.without_repeats(df.limit(0)).count() == 0
+
+
 def test_empty(spark):
     assert D.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
