@@ -6,7 +6,7 @@
 3. Two sets with Jaccard similarity t share a shingle among the first ``n - ceil(t n) + 1`` of each. Those prefixes are
    dealt out by shingle. In a group of up to ``GROUP`` sets all pairs are counted, and a pair stays if the shared part
    of its prefixes allows the overlap it needs. Larger groups are chained in order of size instead, which keeps all of
-   their links within one cluster at linear cost.
+   their links within one cluster at linear cost. The largest groups are spread over tasks by size.
 4. Clusters of candidates are cut into blocks. For each block, and each pair of blocks of a large cluster, the sets
    stand in a trie in global order, frequent shingles first; a probe walks it with partial overlaps that branches share,
    and leaves a subtree once the remaining lengths cannot reach the needed overlap, or all of it is linked already.
@@ -28,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches, may_hold, shingle_hashes, small_batches, table, texts_of, utf8, word_hashes
+from .common import cut, map_batches, may_hold, shingle_hashes, small_batches, table, texts_of, utf8, with_frequent, word_hashes
 
 WORDS = 5
 PERCENT = 80
 GROUP = 128
 BLOCK = 256
+#: Tokens that are dealt to many tasks: so many at most, with so many prefixes of one in HOT_SAMPLED sets.
+HOT, HOT_LEAST, HOT_SAMPLED = 512, 64, 64
 SKETCH_BITS, SKETCH_PARTS = 22, 64
 _KEY = np.uint64((1 << 60) - 1)
 
@@ -156,13 +158,37 @@ def _pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
         yield batch_of(out)
 
 
+def _hot_tokens(classes_of_sets: DataFrame) -> DataFrame:
+    """At most HOT tokens that many prefixes hold, as one set in HOT_SAMPLED tells; which ones are found changes no link."""
+    some = classes_of_sets.where(F.pmod(F.xxhash64("doc_id"), F.lit(HOT_SAMPLED)) == 0).select(F.explode("prefix").alias("token"))
+    return cut(some.groupBy("token").count().where(F.col("count") >= HOT_LEAST).orderBy(F.col("count").desc(), "token").limit(HOT).select("token"), "hot")
+
+
+def _spread_chains(rows: DataFrame, percent: int) -> DataFrame:
+    """a, b: what keeps each large group (token, doc_id, n) in one cluster, without a task that holds a group.
+
+    Sets of one size are joined to the first of that size, and the firsts of neighbouring sizes to each other.
+    """
+    firsts = cut(rows.groupBy("token", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")), "firsts")
+    star = with_frequent(rows, firsts, ["token", "n"], "c").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    in_order = Window.partitionBy("token").orderBy("n")
+    after = firsts.select("first", "n", F.lead("first").over(in_order).alias("next"), F.lead("n").over(in_order).alias("next_n"))
+    line = after.where(F.col("next_n") * percent <= 100 * F.col("n")).select(F.least("first", "next").alias("a"), F.greatest("first", "next").alias("b"))
+    return star.unionByName(line).where("a < b")
+
+
 def candidate_pairs(classes_of_sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """a, b: pairs of representatives that may be linked, and chains through large groups."""
-    rows = classes_of_sets.select(F.explode("prefix").alias("token"), "doc_id", "n").repartition("token").sortWithinPartitions("token", "n", "doc_id")
+    held = classes_of_sets.select(F.explode("prefix").alias("token"), "doc_id", "n")
+    hot = _hot_tokens(classes_of_sets)
+    some_hot = bool(hot.take(1))
+    cold = held.join(F.broadcast(hot), "token", "left_anti") if some_hot else held  # HOT rows at most
+    rows = cold.repartition("token").sortWithinPartitions("token", "n", "doc_id")
     small_batches(classes_of_sets.sparkSession)
     pairs = rows.mapInArrow(lambda batches: _pairs(batches, percent), "a long, b long, need long")
     counted = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("need").alias("need"))
-    return counted.where("shared >= need and a < b").select("a", "b")
+    found = counted.where("shared >= need and a < b").select("a", "b")
+    return found.unionByName(_spread_chains(held.join(F.broadcast(hot), "token"), percent)) if some_hot else found
 
 
 def components(edges: DataFrame) -> DataFrame:

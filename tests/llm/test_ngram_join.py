@@ -54,8 +54,11 @@ def corpus(seed, families=12, copies=14, words=60):
     return list(enumerate(rows, 5))
 
 
-@pytest.mark.parametrize(("seed", "group", "block"), [(1, 128, 256), (2, 3, 4), (3, 8, 2)])
-def test_against_all_pairs(spark, monkeypatch, seed, group, block):
+@pytest.mark.parametrize(("seed", "group", "block", "hot"), [(1, 128, 256, 64), (2, 3, 4, 64), (3, 8, 2, 64), (4, 128, 256, 3), (5, 3, 4, 5)])
+def test_against_all_pairs(spark, monkeypatch, seed, group, block, hot):
+    if hot < 64:
+        monkeypatch.setattr(J, "HOT_SAMPLED", 1)
+    monkeypatch.setattr(J, "HOT_LEAST", hot)
     monkeypatch.setattr(J, "GROUP", group)
     monkeypatch.setattr(J, "BLOCK", block)
     rows = corpus(seed)
