@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import global_rank, hash_order
 from ..operators import splits as S
+from ..operators.clusters import cluster_split
 from ..operators.gates import coverage
 from ..operators.metrics import drawn_positions
 
@@ -107,6 +108,14 @@ def w3_evenly_spaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.evenly_spaced(_t(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id", "n_chars", 17)
 
 
+def z3_cluster_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers whose keys follow each other are linked where the first has money; four in a row at most."""
+    c = _t(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    links = c.where((F.pmod("c_custkey", F.lit(4)) > 0) & (F.col("c_acctbal") > 0)).select(F.col("c_custkey").alias("a"), (F.col("c_custkey") + 1).alias("b"))
+    links = links.join(c.select(F.col("c_custkey").alias("b")), "b", "left_semi").select("a", "b")
+    return cluster_split(c, "c_custkey", links, FRACTIONS, SEED).select("c_custkey", "cluster", "role")
+
+
 def _u(*parts: str) -> str:
     return f"(('0x' || substr(md5({' || chr(58) || '.join(parts)}), 1, 13))::BIGINT / 4503599627370496.0)"
 
@@ -122,7 +131,7 @@ d AS (SELECT * FROM (SELECT l.*, n, seed, row_number() OVER (PARTITION BY o_orde
   FROM l, (VALUES (32), (128)) a(n), (VALUES (0), (1)) b(seed) WHERE role = 'pool') WHERE k <= n)
 """
 
-QUERIES = {f.__name__: f for f in (x1_global_rank, x2_hash_order, p1_hash_split, p1_balanced_split, p1_balanced_large, p2_inherited_split, p3_fold_roles, p4_capped, p5_draws, a17_drawn_positions, p6_leak_audit, p6_no_leak, p6_sizes, j5_shuffled_pairs, j7_coverage, w2_stratified, w3_evenly_spaced)}
+QUERIES = {f.__name__: f for f in (x1_global_rank, x2_hash_order, p1_hash_split, p1_balanced_split, p1_balanced_large, p2_inherited_split, p3_fold_roles, p4_capped, p5_draws, a17_drawn_positions, p6_leak_audit, p6_no_leak, p6_sizes, j5_shuffled_pairs, j7_coverage, w2_stratified, w3_evenly_spaced, z3_cluster_split)}
 SQL = {
     "x1_global_rank": "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS rank FROM events",
     "x2_hash_order": "SELECT doc_id, md5('7:' || doc_id) AS h FROM documents",
@@ -147,5 +156,7 @@ SQL = {
     "w2_stratified": """WITH r AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS k, count(*) OVER () AS n, md5('5:' || doc_id) AS h FROM documents),
       s AS (SELECT *, (k * 10 // n)::INT AS stratum FROM r), o AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY h, doc_id) AS i, count(*) OVER (PARTITION BY stratum) AS c FROM s)
       SELECT stratum, doc_id, n_chars FROM o ORDER BY CASE WHEN i <= round(100.0::DOUBLE * c / n) THEN 0 ELSE 1 END, h, doc_id LIMIT 100""",
+    "z3_cluster_split": f"""WITH c AS (SELECT c_custkey AS k, lag(c_custkey) OVER (ORDER BY c_custkey) = c_custkey - 1 AND (c_custkey - 1) % 4 > 0 AND lag(c_acctbal) OVER (ORDER BY c_custkey) > 0 AS linked FROM customer),
+      r AS (SELECT k, max(CASE WHEN coalesce(linked, false) THEN NULL ELSE k END) OVER (ORDER BY k) AS cluster FROM c) SELECT k AS c_custkey, cluster, {_role(_u(repr(str(SEED)), 'cluster'))} AS role FROM r""",
     "w3_evenly_spaced": "WITH r AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS rank, count(*) OVER () AS n FROM documents) SELECT doc_id, n_chars, rank FROM r WHERE rank IN (SELECT round_even(i * (n - 1) / 16, 0)::BIGINT FROM range(17) t(i), (SELECT count(*) AS n FROM documents))",
 }

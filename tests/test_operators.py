@@ -17,6 +17,7 @@ from plumbline.operators import metrics as K
 from plumbline.operators import prep as P
 from plumbline.operators import scoring as Z
 from plumbline.operators import splits as S
+from plumbline.operators.clusters import cluster_split
 from plumbline.sources import readers, sinks
 
 
@@ -271,6 +272,27 @@ def test_arms_honour_their_flags(spark):
     M.MOST_CLASSES = limit
 
 
+def test_cluster_split(spark):
+    rng = np.random.default_rng(8)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(k, k + 1) for k in range(400, 460)]
+    parent = {}
+
+    def root(x):
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    df = spark.range(500).toDF("k").repartition(3)
+    out = cluster_split(df, "k", spark.createDataFrame(pairs, "a long, b long"), (0.6, 0.2, 0.2), 5)
+    assert {r.k: r.cluster for r in out.collect()} == {k: root(k) for k in range(500)}
+    assert S.leak_audit(out, "cluster").count() == 0
+    alone = cluster_split(df, "k", spark.createDataFrame([], "a long, b long"), (0.6, 0.2, 0.2), 5)
+    assert alone.where("k <> cluster").count() == 0 and alone.count() == 500
+
+
 def test_grid_axes(spark):
     names = spark.createDataFrame([("b",), ("a",), ("b",)], "x string")
     rows = R.grid(spark, {"rung": ["r"], "assay": names, "n": [8, 16]}).orderBy("ordinal").collect()
