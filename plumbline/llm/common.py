@@ -53,21 +53,31 @@ def has_bits(bitmap: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (bitmap[cells >> 6] >> (cells & 63)) & 1 == 1
 
 
-def marked_by(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """``df`` with ``marked``: false where the key is surely not among ``ids`` (a written table), by a broadcast bitmap of BITS_EACH bits an id.
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it a name that no column of ``df`` has, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def marked_by(df: DataFrame, key: str, ids: DataFrame, mark: str = "marked") -> DataFrame:
+    """``df`` with ``mark``: false where the key is surely not among ``ids`` (a written table), by a broadcast bitmap of BITS_EACH bits an id.
 
     Where that would be more than MOST_BITS, all rows are marked.
     """
     if (size := _bitmap_size(ids.count())) is None:
-        return df.withColumn("marked", F.lit(True))
-    words = _words(F.xxhash64(ids[key]), ids, size).select(F.col("word").alias("_word"), F.col("bits").alias("_bits"))
-    found = df.withColumn("_cell", F.pmod(F.xxhash64(df[key]), F.lit(size))).join(F.broadcast(words), F.expr("_cell div 64 = _word"), "left")
-    return found.select(*[df[c] for c in df.columns], F.coalesce(F.col("_bits").bitwiseAND(F.expr("shiftleft(1L, int(_cell % 64))")) != 0, F.lit(False)).alias("marked"))
+        return df.withColumn(mark, F.lit(True))
+    cell, word, bits = unused(df, "_cell"), unused(df, "_word"), unused(df, "_bits")
+    words = _words(F.xxhash64(ids[key]), ids, size).select(F.col("word").alias(word), F.col("bits").alias(bits))
+    found = df.withColumn(cell, F.pmod(F.xxhash64(df[key]), F.lit(size))).join(F.broadcast(words), F.expr(f"{cell} div 64 = {word}"), "left")
+    return found.select(*[df[c] for c in df.columns], F.coalesce(F.col(bits).bitwiseAND(F.expr(f"shiftleft(1L, int({cell} % 64))")) != 0, F.lit(False)).alias(mark))
 
 
 def may_hold(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """The rows of ``df`` whose key may be among ``ids``; it spares the rest the shuffle of the exact join that is to follow."""
-    return marked_by(df, key, ids).where("marked").drop("marked")
+    mark = unused(df, "marked")
+    return marked_by(df, key, ids, mark).where(mark).drop(mark)
 
 
 def with_frequent(df: DataFrame, known: DataFrame, on: str | list[str], n: str, how: str = "inner") -> DataFrame:

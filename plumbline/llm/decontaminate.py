@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, marked_by, may_hold, table
+from .common import cut, marked_by, may_hold, table, unused
 
 WINDOW, LITERALS, SHARE, RUN = 8, 4, 0.5, 13
 #: Number words and units.
@@ -145,10 +145,11 @@ def without_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Null texts stay; repeated rows stay or go together; without benchmark all stay. Documents that surely leak nothing are not shuffled.
     """
-    keyed = documents.withColumn("_text", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    bad = cut(leaks(keyed.select("_text", "text"), benchmark, key="_text").select("_text").distinct(), "leaking")
-    marked = marked_by(keyed, "_text", bad)
-    return marked.where("not marked").unionByName(marked.where("marked").join(bad, "_text", "left_anti")).select(documents.columns)
+    name, mark = unused(documents, "_text"), unused(documents, "_marked")
+    keyed = documents.withColumn(name, F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    bad = cut(leaks(keyed.select(name, "text"), benchmark, key=name).select(name).distinct(), "leaking")
+    marked = marked_by(keyed, name, bad, mark)
+    return marked.where(f"not {mark}").unionByName(marked.where(mark).join(bad, name, "left_anti")).select(documents.columns)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches, may_hold, shingle_hashes, small_batches, table, texts_of, utf8, with_frequent, word_hashes
+from .common import cut, map_batches, may_hold, shingle_hashes, small_batches, table, texts_of, unused, utf8, with_frequent, word_hashes
 
 WORDS = 5
 PERCENT = 80
@@ -376,13 +376,14 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     found = cut(_components(documents), "components")
     own = found.where("doc_id = component_id").groupBy("doc_id", "digest").agg(F.min("key").alias("_key")).select("doc_id", "_key")
     nameless = found.where("doc_id is null and component_id is null and n_shingles > 0").groupBy("digest").agg(F.min("key").alias("_key")).select(F.lit(None).cast("long").alias("doc_id"), "_key")
-    chosen = own.unionByName(nameless).withColumnRenamed("doc_id", "_id")
-    twice = found.groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1 and (doc_id is not null or key is not null)").limit(1).count() > 0
-    keyed = documents.withColumn("_key", text_key())
-    kept = keyed.join(chosen, [keyed["doc_id"].cast("long").eqNullSafe(chosen["_id"]), keyed["_key"] == chosen["_key"]], "left_semi")
+    key, number = unused(documents, "_key"), unused(documents, "_number")
+    chosen = own.unionByName(nameless).toDF(unused(documents, "_id"), unused(documents, "_chosen"))
+    twice = found.groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() > 0
+    keyed = documents.withColumn(key, text_key())
+    kept = keyed.join(chosen, [keyed["doc_id"].cast("long").eqNullSafe(F.col(chosen.columns[0])), F.col(key) == F.col(chosen.columns[1])], "left_semi")
     if twice:
         order = F.xxhash64(*[c for c in documents.columns if "map<" not in kinds[c]])
-        kept = kept.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_key").orderBy(order))).where("_n = 1")
+        kept = kept.withColumn(number, F.row_number().over(Window.partitionBy("doc_id", key).orderBy(order))).where(F.col(number) == 1)
     wordless = documents.where(F.col("doc_id").isNull() & ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
     return kept.select(documents.columns).unionByName(wordless)
 

@@ -37,7 +37,7 @@ def test_stages_keep_columns_and_take_effect(spark):
 
 def test_stages_on_odd_tables(spark, tmp_path):
     """Nulls in every column, empty and long texts, repeated rows, one id twice, no ids, clashing columns, and tables without rows."""
-    kind = "doc_id long, text string, key string, stats int, _text string, score double, hash long, item_id int"
+    kind = "doc_id long, text string, key string, stats int, _text string, marked double, _cell long, _key int"
     good = "Plain words that make a sentence number {} here, and it goes on for a while with other words. "
     rows = [(i, good.format(i) * 3, "k", 1, "t", 0.5, 2, 3) for i in range(12)]
     rows += [(1, good.format(1) * 3, "k", 1, "t", 0.5, 2, 3)] * 2 + [(2, good.format(77) * 2, None, None, None, None, None, None)]
@@ -61,6 +61,8 @@ def test_stages_on_odd_tables(spark, tmp_path):
     assert sizes[0] == len(rows) and ids == [*range(3), 2, *range(3, 12), 20, 21, 22, 23] and sum(r.doc_id is None for r in out) == 1
     held = {r.doc_id: r.text for r in out if r.doc_id in (20, 21, 22, 23)}
     assert held[20] is None and held[21] == "" and held[22].endswith("[EMAIL]") and "[PHONE]" in held[23] and "[EMAIL]" in held[23]
+    given = {tuple(r)[2:] for r in rows}
+    assert {tuple(r)[2:] for r in out} <= given and len({tuple(r)[2:] for r in out}) == 2
     last = P.STAGES[-1][1](spark, docs, sf)
     assert last.count() == len(out) and {r.n_tokens for r in last.where("doc_id in (20, 21)").collect()} == {0}
     assert P.STAGES[-1][1](spark, docs.limit(0), sf).count() == 0
