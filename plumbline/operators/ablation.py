@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import quantiles
+from ..functions.shared import cut
 from ..functions.text import ablated, clean_annotation, random_dropped, sentences, term_pattern
 from .gates import GateError
 
@@ -52,28 +53,32 @@ def ablation_summary(results: DataFrame, group: str) -> tuple[DataFrame, DataFra
     """Of ablated documents: totals, per group, and documents per removed term.
 
     Retention is characters after by before; a document without characters before is counted as undefined and left
-    out of mean, median and tenth percentile (linear interpolation).
+    out of mean, median and tenth percentile (linear interpolation). What the tables need of each document is written
+    first, so that the texts are worked on once.
     """
-    trimmed, emptied = F.size("removed") > 0, (F.size("removed") > 0) & (F.size("kept") == 0)
+    sizes = results.select(F.col(group).alias("group"), F.size("kept").alias("kept"), F.size("removed").alias("removed"), "characters_before", "characters_after", "matched_terms")
+    sizes = cut(sizes, "ablated")
+    kept, removed = F.col("kept"), F.col("removed")
+    trimmed, emptied = removed > 0, (removed > 0) & (kept == 0)
     retention = F.when(F.col("characters_before") > 0, F.col("characters_after") / F.col("characters_before"))
     n = F.count("*")
-    totals = results.agg(
+    totals = sizes.agg(
         n.alias("documents"),
         F.count_if(trimmed).alias("trimmed"),
         F.count_if(emptied).alias("emptied"),
         (F.count_if(trimmed) / n).alias("trimmed_share"),
         (F.count_if(emptied) / n).alias("emptied_share"),
-        F.sum(F.size("kept") + F.size("removed")).alias("sentences"),
-        F.sum(F.size("removed")).alias("sentences_removed"),
+        F.sum(kept + removed).alias("sentences"),
+        F.sum(removed).alias("sentences_removed"),
         F.sum("characters_before").alias("characters_before"),
         F.sum("characters_after").alias("characters_after"),
         (F.sum("characters_after") / F.sum("characters_before")).alias("corpus_retention"),
         F.avg(retention).alias("retention_mean"),
         F.count_if(F.col("characters_before") == 0).alias("undefined_retention"),
     )
-    totals = totals.crossJoin(quantiles(results.select(retention.alias("retention")), "retention", {"retention_median": 0.5, "retention_p10": 0.1}))
-    groups = results.groupBy(group).agg(n.alias("documents"), F.count_if(trimmed).alias("trimmed"), F.count_if(emptied).alias("emptied"), F.sum(F.size("removed")).alias("sentences_removed"))
-    terms = results.select(F.explode("matched_terms").alias("term")).groupBy("term").agg(n.alias("documents"))
+    totals = totals.crossJoin(quantiles(sizes.select(retention.alias("retention")), "retention", {"retention_median": 0.5, "retention_p10": 0.1}))
+    groups = sizes.groupBy(F.col("group").alias(group)).agg(n.alias("documents"), F.count_if(trimmed).alias("trimmed"), F.count_if(emptied).alias("emptied"), F.sum(removed).alias("sentences_removed"))
+    terms = sizes.select(F.explode("matched_terms").alias("term")).groupBy("term").agg(n.alias("documents"))
     return totals, groups, terms
 
 
