@@ -34,7 +34,8 @@ from .common import map_batches, table, texts_of
 TOKENIZER = "byte_bpe_50k.json"
 #: Fixed value: the published splitting pattern of this family of tokenizers.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MEMO = 400_000
+#: Pieces that a worker keeps, and transitions of its machine over bytes.
+MEMO, TRANSITIONS = 300_000, 150_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -114,7 +115,7 @@ class TokenAutomaton(dict):
         self.labels |= {i: s.encode() for s, i in self.special.items()}
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.split = regex.compile(SPLIT)
-        self.memo = memo
+        self.memo, self.transitions = memo, TRANSITIONS
         # begun labels: nodes of a tree over bytes, and the states behind a label that ends at a node
         self.begun: dict[int, int] = {}
         self.ends: dict[int, list[int]] = {}
@@ -156,7 +157,7 @@ class TokenAutomaton(dict):
 
     def path(self, piece: bytes) -> list[int]:
         """The labels along the path that spells ``piece``: one transition a byte, then the arcs back from the end."""
-        if len(self.table) > self.memo:
+        if len(self.table) > self.transitions:
             self._restart()
         at, trail, table = 0, [], self.table
         for byte in piece:

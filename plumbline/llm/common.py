@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 from ..functions.shared import cut, shared_dir, step  # noqa: F401
 
 BATCH_ROWS = 20_000
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
