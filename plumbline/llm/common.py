@@ -168,16 +168,18 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return known[:n]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of every text with A-Z lower-cased: 64-bit hash, start, end and row of each.
 
+    ``inside`` tells for each byte whether words hold it, where they are other ones.
+
     A word's hash is a polynomial in its bytes, taken from prefix sums, then mixed; words never cross rows.
     """
     n = len(data)
     if not n:
         empty = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), empty, empty, empty
-    solid = ~_SPACE[data]
+    solid = ~_SPACE[data] if inside is None else inside[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     last = solid.copy()
