@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, licenses, media, ngram_join, pii, quality, search, substring_dedup, suffix_tree
+from . import bpe, chat, decontaminate, html_text, licenses, media, negatives, ngram_join, pii, quality, search, substring_dedup, suffix_tree
 
-MODULES = (media, chat, quality, substring_dedup, ngram_join, pii, bpe, licenses, suffix_tree, decontaminate, search)
+MODULES = (media, chat, quality, substring_dedup, ngram_join, pii, bpe, licenses, suffix_tree, decontaminate, search, negatives, html_text)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

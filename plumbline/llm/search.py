@@ -174,7 +174,7 @@ def _shard(number: int, parts: list[tuple[np.ndarray, ...]], ids: list[pa.Array]
         yield made.slice(at, BATCH_ROWS)
 
 
-def build(documents: DataFrame) -> DataFrame:
+def build(documents: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """The written index of all rows: shard, term, n (postings), and blocks; see the module's text."""
     small_batches(documents.sparkSession)
 
@@ -191,7 +191,7 @@ def build(documents: DataFrame) -> DataFrame:
             parts.append((data, hashes, starts.astype(np.int32), ends.astype(np.int32), (rows + docs).astype(np.int32)))
             ids.append(batch.column(0))
             held, docs = held + len(data), docs + batch.num_rows
-            if held >= SHARD_BYTES:
+            if held >= shard_bytes:
                 yield from _shard(number, parts, ids)
                 number, parts, ids, held, docs = number + 1, [], [], 0, 0
         if docs:
