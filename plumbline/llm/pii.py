@@ -4,9 +4,11 @@ High-recall generators propose overlapping spans for each kind. Boosted trees sc
 its context, a threshold calibrated per kind selects spans, and the best-scored of overlapping ones stay. Candidates
 that meet the base rules of a kind (address grammar, octet range, Luhn digits, international prefix) are always kept.
 
-Positives are base spans written otherwise where they stand: an ``@`` spelt out, a number in national form, card digits
-regrouped. Negatives are candidates that cannot be of their kind, such as dates, octets over 255 or a sentence's end
-within an address; other candidates have no label. ``SEEDS`` adds a few labelled rows, so that small tables have both.
+What cannot be of a kind in any form (too few digits, a date, octets over 255, the end of a sentence within an address) is
+no candidate. Labels come from how a span was made, by no rule that a feature repeats: positives are base spans written
+otherwise where they stand, an ``@`` spelt out, a number in national form, card digits regrouped; negatives are decoys,
+plain numbers of the same digits such as lists of years, ranges of pages, tables, dates and citations, and words around
+an ``(at)``. Candidates of the corpus itself have no label. ``SEEDS`` adds a few texts, so that small tables have both.
 Features are binned, so that Spark counts positives and negatives of every distinct feature vector, and the trees are
 fitted on those counts, which are bounded by the bins. Both labels of a kind weigh ``WEIGHT`` whatever their number. A
 fifth of the texts, by hash, is held out of the fit: the thresholds are calibrated on it, and :func:`measured` gives the
@@ -114,17 +116,17 @@ def loose_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 #: The number of bins of each feature of a candidate.
-BINS = (4, 6, 6, 3, 4, 4, 4, 4, 2, 2)
+BINS = (4, 6, 6, 4, 4, 4, 3, 4, 2, 2, 3)
 _SENTENCE = re.compile(r"(?<! )\. | \.(?! )")
 _LAST_LABEL = re.compile(r"[A-Za-z0-9-]+$")
 _DATE = re.compile(r"[0-9]{1,2}([./-])[0-9]{1,2}\1[0-9]{4}|[0-9]{4}([./-])[0-9]{2}\2[0-9]{2}")
+_YEAR = re.compile(r"(?:19|20)[0-9]{2}")
 _SPELT = ((" (at) ", " (dot) "), ("(at)", "(dot)"), (" [at] ", " [dot] "), ("[at]", "[dot]"), (" (at) ", "."), ("[at]", "."), (" (at) ", " . "))
-#: Labelled texts, read like those of the corpus. Base spans are positives in their other forms.
+#: Texts whose base spans are labelled like those of the corpus.
 SEEDS = (
     "Write to jane.doe@host.example.org or call +44 (377) 555-0271 or +1 377 555 02 71, card 4111 1111 1111 1111.",
     "jo@site.org, +4930123456789; 5500000000000004",
-    "x (at) 12.50 and look (at) home. Then go (at) noon .Here",
-    "from 03-04-2020 to 05.06.2021, 012 34 and 00 12 34, id 1234567890 and 12345678901234567890123, 999.1.1.1, 10.300.7.2, +12 34 and +1234567890123456789",
+    "pay 378282246310005 or 6011-1111-1111-1117 by noon, ring +33 6 12 34 56 78, mail a.b@c-d.co.uk",
 )
 
 
@@ -157,8 +159,26 @@ def impossible(kind: str, span: str) -> bool:
     return kind == "ip" or n < 14 or n > 19
 
 
+def decoys(kind: str, span: str) -> list[str]:
+    """Spans of the form that the generators of a kind propose, and of the digits of a base span, that are not of the kind."""
+    if kind == "email":
+        local, host = span.split("@")
+        first, *more = [w for w in re.split(r"[^A-Za-z]+", f"{local} {host}") if len(w) > 1] or ["look"]
+        last = (more or ["home"])[-1]
+        return [f"{first} (at) {last}.{w}" for w in ("Then", "The", "Nobody")] + [f"{first} (at) {last}.{last.capitalize()} (dot) Next"]
+    if kind == "ip":
+        return []
+    d = (_digits(span) * 6)[:48]
+    pairs, threes, fours = ([d[i : i + n] for i in range(0, 48, n)] for n in (2, 3, 4))
+    years = [f"{19 + int(p[0]) % 2}{p[1:]}" for p in threes]
+    if kind == "card":
+        lists = [" ".join(years[:k]) for k in (4, 5)] + ["-".join(years[:4]), f"{years[0]}-{years[1]} {years[2]}-{years[3]}", " ".join(pairs[:7]), " ".join(pairs[:8]), "-".join(pairs[:8]), " ".join(threes[:5]), " ".join(threes[:6]), " ".join(d[:14]), " ".join(d[:16]), "-".join(d[:15])]
+        return [*lists, f"{years[0]}-{pairs[0]}-{pairs[1]} {years[1]}-{pairs[2]}-{pairs[3]}", f"{threes[0]}-{threes[1]} {threes[2]}-{threes[3]} {threes[4]}", f"978-{d[0]}-{d[1:3]}-{d[3:9]}-{d[9]} {fours[3]}", f"{pairs[0]} {fours[0]} {pairs[1]} {fours[1]} {pairs[2]}", f"{d[0]} {threes[1]} {threes[2]} {d[5]} {threes[3]} {threes[4]}"]
+    return [f"({years[0]}) {threes[0]}-{threes[1]}", f"({years[0]}) {pairs[0]} {threes[0]}-{threes[1]}", f"0{threes[0]}.0{threes[1]}", f"0{pairs[0]}-0{pairs[1]}-0{pairs[2]}", f"00{pairs[0]} 00{pairs[1]} 00{pairs[2]}", f"0{threes[0]} 0{threes[1]} 0{threes[2]}", f"({pairs[0]}) {years[0]}-{years[1]}"]
+
+
 def features(text: str, kind: str, start: int, end: int) -> tuple[int, ...]:
-    """Binned format and context: kind, digits, length, grouping, separators, letters, longest run, left, right, line start."""
+    """Binned format and context: kind, digits, length, grouping (addresses: their end), separators, letters, left, right, cue, years."""
     span = text[start:end]
     digits = sum(c.isdigit() for c in span)
     groups = re.findall(r"[0-9]+", span)
@@ -166,18 +186,28 @@ def features(text: str, kind: str, start: int, end: int) -> tuple[int, ...]:
     around = text[max(0, start - 24) : start].lower()
     cue = 1 if re.search(r"(?:tel|phone|call|fax|mail|card|visa|ip|host)\W*$", around) else 0
     left = 0 if not before else 1 if before.isspace() else 2 if before.isalnum() else 3
-    right = 0 if not after else 1 if after.isspace() else 2 if after.isalnum() else 3
+    sizes = [len(g) for g in groups]
+    if kind == "email":
+        label = _LAST_LABEL.search(span)
+        group = int(label is None or not (label[0].isalpha() and label[0].islower()))
+    elif len(sizes) < 2:
+        group = 0
+    elif set(sizes[:-1]) == {4} and sizes[-1] <= 4 or sizes[:2] == [4, 6]:
+        group = 1
+    else:
+        group = 2 if len(set(sizes)) == 1 else 3
     return (
         KINDS.index(kind),
         int(np.searchsorted((1, 4, 10, 13, 16), digits, "right")),
         int(np.searchsorted((8, 12, 16, 20, 30), end - start, "right")),
-        0 if len(groups) < 2 else 1 if len({len(g) for g in groups}) == 1 else 2,
+        group,
         min(3, sum(c in " ()." for c in span)),
         min(3, sum(c in "-+" for c in span)),
-        0 if not any(c.isalpha() for c in span) else 2 if "@" in span else 1 if broken(span) else 3,
+        0 if not any(c.isalpha() for c in span) else 2 if "@" in span else 1,
         left,
-        int(right == 2),
+        int(after.isalnum()),
         cue,
+        min(2, sum(_YEAR.fullmatch(g) is not None for g in groups)),
     )
 
 
@@ -197,23 +227,25 @@ def _vectors(codes: np.ndarray) -> np.ndarray:
 
 
 def candidates(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[tuple[str, int, int], int]]]:
-    """The base spans; and every candidate, base ones included, with the code of its features."""
+    """The base spans; and every candidate, base ones included, with the code of its features. What cannot be of its kind is none."""
     base = base_spans(text)
-    spans = dict.fromkeys([*base, *loose_spans(text)])
+    held = set(base)
+    spans = dict.fromkeys([*base, *(s for s in loose_spans(text) if s in held or not impossible(s[0], text[s[1] : s[2]]))])
     return base, [(s, _code(features(text, *s))) for s in spans]
 
 
 def labelled(text: str) -> list[tuple[int, bool]]:
-    """The codes of the candidates of a text that have a label, and the label."""
-    base, found = candidates(text)
-    held = set(base)
-    out = [(code, False) for (kind, start, end), code in found if (kind, start, end) not in held and impossible(kind, text[start:end])]
-    for kind, start, end in base:
+    """The codes of made spans in the place of the base spans of a text, and whether they are of the kind."""
+    out = []
+    for kind, start, end in base_spans(text):
         before, after = text[max(0, start - 24) : start], text[end : end + 1]
-        for form in masked(kind, text[start:end]):
-            changed, span = before + form + after, (kind, len(before), len(before) + len(form))
-            if span in loose_spans(changed):
-                out.append((_code(features(changed, *span)), True))
+        for forms, positive in ((masked(kind, text[start:end]), True), (decoys(kind, text[start:end]), False)):
+            # a decoy stands where any number may stand: half of them keep the words before
+            for k, form in enumerate(forms):
+                ahead = before if positive or k % 2 else " "
+                changed, span = ahead + form + after, (kind, len(ahead), len(ahead) + len(form))
+                if span in loose_spans(changed) and not impossible(kind, form):
+                    out.append((_code(features(changed, *span)), positive))
     return out
 
 
