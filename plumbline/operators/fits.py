@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +17,7 @@ from ..functions.shared import cut
 from .features import assembled
 from .gates import GateError
 from .metrics import classification, spearman_by
+from .normal import each_matrix, ridge_solutions, summed_products, with_ones
 from .splits import shuffled_pairs
 
 PENALTIES = tuple(10.0**k for k in range(-2, 9))
@@ -34,57 +35,52 @@ def _dot(a: str, b: str) -> Column:
 def ridge_weights(rows: DataFrame, by: list[str], penalties: tuple[float, ...] = PENALTIES) -> DataFrame:
     """by, n_train, fits: array<struct<k, penalty, intercept, weights>> from the training rows (by, vec, y) of each configuration.
 
-    Every task sums its part of the normal equations of each configuration that it meets; the parts, of fixed size, meet
-    by configuration and are solved there for all penalties. Features are standardised with the mean and population
-    deviation of the training rows (plus 1e-8), y is centred; weights are given back for the features as they are.
+    Configurations of any number and width are fitted together from blocks of summed products; see ``normal``.
     """
-    kinds = dict(rows.dtypes)
-    keys = ", ".join(f"`{c}` {kinds[c]}" for c in by)
-
-    def parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[tuple, np.ndarray] = {}
-        for frame in frames:
-            for key, g in frame.groupby(by, dropna=False):
-                x = np.column_stack([np.ones(len(g)), np.stack(g["vec"].to_numpy()).astype(float), g["y"].to_numpy(float)])
-                sums[key] = sums[key] + x.T @ x if key in sums else x.T @ x
-        if sums:
-            yield pd.DataFrame([[*key, len(m), m.tobytes()] for key, m in sums.items()], columns=[*by, "_width", "_sums"])
-
-    def solved(frame: pd.DataFrame) -> pd.DataFrame:
-        width = int(frame["_width"].iloc[0])
-        m = sum(np.frombuffer(b, float).reshape(width, width) for b in frame["_sums"])
-        n, total, sum_y = m[0, 0], m[0, 1:-1], m[0, -1]
-        mean = total / n
-        sd = np.sqrt(np.maximum(np.diag(m)[1:-1] / n - mean**2, 0)) + 1e-8
-        gram = (m[1:-1, 1:-1] - n * np.outer(mean, mean)) / np.outer(sd, sd)
-        target = (m[1:-1, -1] - mean * sum_y) / sd
-        values, vectors = np.linalg.eigh(gram)
-        fits = []
-        for k, penalty in enumerate(penalties):
-            w = vectors @ (vectors.T @ target / (np.maximum(values, 0) + penalty)) / sd
-            fits.append({"k": k, "penalty": penalty, "intercept": float(sum_y / n - mean @ w), "weights": w.tolist()})
-        return pd.DataFrame([[*frame[by].iloc[0], int(round(n)), fits]], columns=[*by, "n_train", "fits"])
-
-    partial = rows.select(*by, "vec", "y").mapInPandas(parts, f"{keys}, _width int, _sums binary")
-    return partial.groupBy(*by).applyInPandas(solved, f"{keys}, n_train long, fits array<struct<k:int,penalty:double,intercept:double,weights:array<double>>>")
-
-
-def ridge_grid(rows: DataFrame, by: list[str], penalties: tuple[float, ...] = PENALTIES) -> DataFrame:
+
+    def solved(m: np.ndarray) -> list[list]:
+        fits = [{"k": k, "penalty": p, "intercept": float(i[0]), "weights": w[:, 0].tolist()} for k, (p, (i, w)) in enumerate(zip(penalties, ridge_solutions(m, np.arange(1, len(m) - 1), np.array([len(m) - 1]), penalties), strict=True))]
+        return [[int(round(m[0, 0])), fits]]
+
+    sums = summed_products(rows.select(*by, with_ones("vec", "y").alias("_v")), by, "_v")
+    return each_matrix(sums, by, solved, "n_train long, fits array<struct<k:int,penalty:double,intercept:double,weights:array<double>>>")
+
+
+#: Bytes of weights that are broadcast to the rows at most, and copies of them that meet salted rows beyond that.
+WEIGHTS, COPIES = 32 << 20, 64
+
+
+def _met(rows: DataFrame, weights: DataFrame, on: list[str], size: str) -> DataFrame:
+    """``rows`` joined with ``weights`` (a written table, its bytes told by ``size``): broadcast where they are few, else each configuration's rows are dealt to COPIES tasks."""
+    if (weights.agg(F.sum(F.expr(size))).first()[0] or 0) <= WEIGHTS:
+        return rows.join(F.broadcast(weights), on)
+    copies = weights.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+    return rows.withColumn("_copy", F.pmod(F.xxhash64("vec", "y"), F.lit(COPIES)).cast("int")).join(copies, [*on, "_copy"]).drop("_copy")
+
+
+def ridge_grid(rows: DataFrame, by: list[str], penalties: tuple[float, ...] = PENALTIES, held: DataFrame | None = None) -> DataFrame:
     """by, penalty, val_mse, spearman, n_train, n_test for each configuration of rows (by, role, vec, y).
 
-    The penalty with the least validation error wins, the first of equals. Rows are scored where they are, with the
-    weights of their configuration; no configuration is one group. A constant side gives a null correlation.
+    ``held`` gives validation and test rows (role, vec, y and some of ``by``) that serve all configurations with these
+    values, so that they need no copy for each. The penalty with the least validation error wins, the first of equals.
+    Rows are scored where they are, with the weights of their configurations. A constant side gives a null correlation.
     """
+    held = rows if held is None else held
+    on = [c for c in by if c in held.columns]
     fits = cut(ridge_weights(rows.where("role = 'train'"), by, penalties), "fits")
     predicted = (_dot("vec", "_f.weights") + F.col("_f.intercept")).alias("said")
-    scored = lambda role, chosen, *more: rows.where(F.col("role") == role).select(*by, F.col("vec").cast("array<double>").alias("vec"), F.col("y").cast("double").alias("y")).join(chosen, by).select(*by, "y", predicted, *more)
-    tried = scored("val", fits.select(*by, F.explode("fits").alias("_f")), F.col("_f.k").alias("k"))
-    losses = tried.groupBy(*by, "k").agg(F.avg(F.pow(F.col("said") - F.col("y"), 2)).alias("val_mse"))
+
+    def scored(role: str, weights: DataFrame, size: str) -> DataFrame:
+        own = held.where(F.col("role") == role).select(*on, F.col("vec").cast("array<double>").alias("vec"), F.col("y").cast("double").alias("y"))
+        return _met(own, weights, on, size)
+
+    tried = scored("val", fits.drop("n_train"), "8L * size(fits) * size(fits[0].weights)").select(*by, "vec", "y", F.explode("fits").alias("_f"))
+    losses = tried.select(*by, F.col("_f.k").alias("k"), F.pow(predicted - F.col("y"), 2).alias("_e")).groupBy(*by, "k").agg(F.avg("_e").alias("val_mse"))
     best = cut(best_by_validation(losses, by, "val_mse", "k"), "best")
     chosen = cut(fits.join(best, by).select(*by, "n_train", "val_mse", F.get("fits", F.col("k")).alias("_f")), "chosen")
-    test = cut(scored("test", chosen.select(*by, "_f")), "scored")
-    out = chosen.select(*by, F.col("_f.penalty").alias("penalty"), "val_mse", "n_train").join(spearman_by(test, by, "said", "y"), by, "left")
-    return out.select(*by, "penalty", "val_mse", "spearman", "n_train", F.coalesce("n", F.lit(0)).alias("n_test"))
+    test = cut(scored("test", chosen.select(*by, "_f"), "8L * size(_f.weights)").select(*by, "y", predicted), "scored")
+    out = chosen.select(*by, F.col("_f.penalty").alias("penalty"), "val_mse", "n_train").join(spearman_by(test, by, "said", "y", "n_test"), by, "left")
+    return out.select(*by, "penalty", "val_mse", "spearman", "n_train", F.coalesce("n_test", F.lit(0)).alias("n_test"))
 
 
 def ridge(train: DataFrame, features: str, y: str, penalty: float):
@@ -128,22 +124,36 @@ def predictions(model, df: DataFrame, features: str) -> DataFrame:
     return model.transform(df.withColumn("_x", array_to_vector(F.col(features).cast("array<double>")))).drop("_x")
 
 
-MOST_CLASSES = 10_000
+#: Numbers of class means that one row broadcasts at most.
+MEANS = 1 << 22
+
+
+def _squared(a: str | Column, b: str | Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d)
+
+
+def class_means(df: DataFrame, by: list[str], vectors: list[str]) -> DataFrame:
+    """by, and the mean of each of the vectors, summed map-side."""
+    wide = lambda c: array_to_vector(F.col(c).cast("array<double>"))
+    return df.groupBy(*by).agg(*[vector_to_array(Summarizer.mean(wide(c))).alias(c) for c in vectors])
 
 
 def nearest_centroid(df: DataFrame, key: str, label: str, features: str, role: str = "role") -> DataFrame:
     """key, label, predicted for rows that are not training: the class whose mean training vector is nearest; ties to the smaller label.
 
-    More than MOST_CLASSES classes are an error: every row is held against all of their means.
+    All means travel in one row of at most MEANS numbers, and rows are judged where they are; more classes come in
+    several such rows, whose nearest ones are compared by key.
     """
-    flat = df.where(F.col(role) == "train").select(label, F.posexplode(features).alias("i", "x"))
-    centres = flat.groupBy(label, "i").agg(F.avg("x").alias("c"))
-    packed = cut(centres.groupBy(F.col(label).alias("_l")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda s: s["c"]).alias("_c")), "centres")
-    if (n := packed.count()) > MOST_CLASSES:
-        raise GateError(f"{n} classes are more than {MOST_CLASSES}")
-    near = df.where(F.col(role) != "train").join(F.broadcast(packed))  # a row for each class
-    distance = F.aggregate(F.zip_with(features, "_c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
-    return near.groupBy(key).agg(F.first(label).alias(label), F.min_by("_l", F.struct(distance, F.col("_l"))).alias("predicted"))
+    means = cut(class_means(df.where(F.col(role) == "train").select(F.col(label).alias("_l"), F.col(features).alias("_c")), ["_l"], ["_c"]), "means")
+    numbers = means.agg(F.sum(F.size("_c").cast("long"))).first()[0] or 0
+    parts = -(-numbers // MEANS)
+    dealt = means.withColumn("_part", F.pmod(F.xxhash64("_l"), F.lit(max(1, 2 * parts if parts > 1 else 1))))
+    packed = dealt.groupBy("_part").agg(F.collect_list(F.struct("_l", "_c")).alias("_all")).drop("_part")
+    near = F.array_min(F.transform("_all", lambda s: F.struct(_squared(features, s["_c"]).alias("d"), s["_l"].alias("l"))))
+    judged = df.where(F.col(role) != "train").join(F.broadcast(packed) if parts <= 1 else packed).select(key, label, near.alias("_n"))
+    if parts > 1:
+        judged = judged.groupBy(key).agg(F.first(label).alias(label), F.min("_n").alias("_n"))
+    return judged.select(key, label, F.col("_n.l").alias("predicted"))
 
 
 def checked_arms(arms: list[dict], blocks: dict) -> list[dict]:

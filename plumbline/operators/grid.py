@@ -39,16 +39,15 @@ def evaluate(variants: DataFrame, group: str | list[str], key: str, schemes: lis
     """A row of :func:`ridge_grid` for each group, scheme, n and seed of variants (group, key, vec, y, fold columns).
 
     ``group`` may list further axes that have features of their own, such as the checkpoint and the readout. Validation is
-    capped and the same for all n and seeds; test rows are those of fold 0.
+    capped and, like the test rows of fold 0, the same for all n and seeds: these rows are not copied for them.
     """
     group = [group] if isinstance(group, str) else list(group)
     long = fold_roles(variants, schemes)
-    pool = draws(long.where("role = 'pool'"), [*group, "scheme"], key, sizes, seeds).withColumn("role", F.lit("train"))
-    axes = variants.sparkSession.createDataFrame([(n, s) for n in sizes for s in seeds], "n int, seed int")
-    val = capped(long.where("role = 'val'"), [*group, "scheme"], key, cap)
-    fixed = val.unionByName(long.where("role = 'test'")).crossJoin(F.broadcast(axes))
-    rows = pool.select(*group, "scheme", "n", "seed", "role", "vec", "y").unionByName(fixed.select(*group, "scheme", "n", "seed", "role", "vec", "y"))
-    return ridge_grid(rows, [*group, "scheme", "n", "seed"])
+    fixed = [*group, "scheme"]
+    pool = draws(long.where("role = 'pool'"), fixed, key, sizes, seeds).withColumn("role", F.lit("train"))
+    val = capped(long.where("role = 'val'"), fixed, key, cap)
+    held = val.unionByName(long.where("role = 'test'")).select(*fixed, "role", "vec", "y")
+    return ridge_grid(pool.select(*fixed, "n", "seed", "role", "vec", "y"), [*fixed, "n", "seed"], held=held)
 
 
 def shard_faults(shards: DataFrame, expected: DataFrame, config: list[str], name: str = "shard") -> DataFrame:
@@ -65,4 +64,4 @@ def shard_name(config: list[str]):
 
 
 def in_grid_order(results: DataFrame, expected: DataFrame, config: list[str]) -> DataFrame:
-    return results.join(F.broadcast(expected.select(*config, "ordinal")), config).orderBy("ordinal")
+    return results.join(expected.select(*config, "ordinal"), config).orderBy("ordinal")

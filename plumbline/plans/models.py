@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import arms as A
 from ..operators import contrasts as C
 from ..operators import features as E
 from ..operators import fits as M
@@ -312,6 +313,36 @@ def m8_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(M.run_arms(arms, blocks, role, "vec_id", "label", [0, 1]))
 
 
+#: Twelve arms over four blocks and a block drawn by seed: each alone, together, with a shuffled partner, ablated and with its random control.
+ARMS = [
+    {"name": name, "blocks": blocks.split(), "shuffle": shuffle.split(), "redrawn": redrawn.split()}
+    for name, blocks, shuffle, redrawn in (
+        ("sequence", "sequence", "", ""), ("text", "text", "", ""), ("fields", "fields", "", ""), ("sequence+text", "sequence text", "", ""), ("sequence+fields", "sequence fields", "", ""), ("text+fields", "text fields", "", ""),
+        ("all", "sequence text fields", "", ""), ("other text", "sequence text", "text", ""), ("other fields", "sequence fields", "fields", ""), ("ablated", "sequence ablated", "", ""), ("random", "sequence drawn", "", "drawn"), ("ablated alone", "ablated", "", ""),
+    )
+]
+
+
+def _arm_blocks(spark: SparkSession, sf_dir: str):
+    e = _embeddings(spark, sf_dir)
+    part = lambda at, n: e.select("vec_id", F.slice("vec", at, n).alias("vec"))
+    blocks = {"sequence": part(1, 24), "text": part(25, 16), "fields": part(41, 8), "ablated": part(49, 8), "drawn": lambda seed: part(9 + 8 * seed, 8)}
+    role = lambda fractions: lambda seed: e.select("vec_id", "label", S.hash_split(F.col("vec_id"), fractions, seed).alias("role"))
+    return blocks, role
+
+
+def m8_all_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve arms and three seeds from one wide table, judged by the nearest class mean."""
+    blocks, role = _arm_blocks(spark, sf_dir)
+    return _rounded(A.centroid_arms(ARMS, blocks, role((0.7, 0.0, 0.3)), "vec_id", "label", [0, 1, 2]))
+
+
+def m8_ridge_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same arms and seeds with a linear head that is chosen on validation rows."""
+    blocks, role = _arm_blocks(spark, sf_dir)
+    return _rounded(A.ridge_arms(ARMS, blocks, role((0.6, 0.15, 0.25)), "vec_id", "label", [0, 1, 2]))
+
+
 def m9_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All axes: the customers' names are the assays."""
     assays = _t(spark, sf_dir, "supplier").select("s_name")
@@ -381,13 +412,26 @@ _POSITION = """WITH o AS (SELECT o_orderkey, o_orderstatus, o_custkey, round(o_t
 m AS (SELECT o_orderstatus, o_custkey, avg(score) AS predicted FROM o WHERE NOT test GROUP BY ALL), q AS (SELECT o.*, m.predicted FROM o LEFT JOIN m USING (o_orderstatus, o_custkey) WHERE test)
 """
 
+_ALL_ARMS = """WITH f AS (SELECT vec_id, label, embedding AS v FROM embeddings), seeds(seed) AS (VALUES (0), (1), (2)),
+  p AS (SELECT seed, vec_id, row_number() OVER (PARTITION BY seed ORDER BY vec_id) AS r FROM f, seeds), q AS (SELECT seed, vec_id AS other, row_number() OVER (PARTITION BY seed ORDER BY md5(seed || ':' || vec_id), vec_id) AS r FROM f, seeds),
+  b AS (SELECT p.seed, p.vec_id, a.v[1:24] AS s, a.v[25:40] AS t, a.v[41:48] AS d, a.v[49:56] AS ab, a.v[9 + 8 * p.seed:16 + 8 * p.seed] AS dr, o.v[25:40] AS ot, o.v[41:48] AS od
+    FROM p JOIN q USING (seed, r) JOIN f a ON a.vec_id = p.vec_id JOIN f o ON o.vec_id = q.other),
+  x AS (SELECT seed, vec_id, unnest(['sequence', 'text', 'fields', 'sequence+text', 'sequence+fields', 'text+fields', 'all', 'other text', 'other fields', 'ablated', 'random', 'ablated alone']) AS arm,
+    unnest([s, t, d, list_concat(s, t), list_concat(s, d), list_concat(t, d), list_concat(list_concat(s, t), d), list_concat(s, ot), list_concat(s, od), list_concat(s, ab), list_concat(s, dr), ab]) AS v FROM b),
+  e AS (SELECT arm, seed, x.vec_id, f.label, unnest(x.v)::DOUBLE AS x, unnest(range(len(x.v))) AS i, ('0x' || substr(md5(seed || ':' || x.vec_id), 1, 13))::BIGINT / 4503599627370496.0 >= 0.7 AS test FROM x JOIN f USING (vec_id)),
+  c AS (SELECT arm, seed, label AS l, i, avg(x) AS c FROM e WHERE NOT test GROUP BY ALL), d AS (SELECT arm, seed, vec_id, label, l, sum((x - c) * (x - c)) AS d FROM e JOIN c USING (arm, seed, i) WHERE test GROUP BY ALL),
+  s AS (SELECT arm, seed, vec_id, any_value(label) AS t, arg_min(l, d) AS p FROM d GROUP BY ALL), u AS (SELECT arm, seed, t AS l FROM s UNION SELECT arm, seed, p FROM s),
+  k AS (SELECT u.arm, u.seed, u.l, count(*) FILTER (t = l AND p = l) AS tp, count(*) FILTER (t <> l AND p = l) AS fp, count(*) FILTER (t = l AND p <> l) AS fn, count(*) FILTER (t = l) AS support FROM u JOIN s ON s.arm = u.arm AND s.seed = u.seed GROUP BY ALL)
+  SELECT arm, seed, sum(support)::BIGINT AS n, round(sum(tp) / sum(support), 9) AS accuracy, round(avg(coalesce(tp / nullif(tp + fp, 0), 0)), 9) AS precision, round(avg(coalesce(tp / nullif(tp + fn, 0), 0)), 9) AS recall,
+    round(avg(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)), 9) AS f1, round(avg(coalesce(tp / nullif(tp + fn, 0), 0)) FILTER (support > 0), 9) AS balanced_accuracy FROM k GROUP BY ALL"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         w4_length_batches, a5_length_profile, a6_padding_cost, e1_text_features, e2_encoded, e3_mean_readout, e4_at_position, e5_difference, e6_cache_misses, e7_miss_reasons, e8_fingerprint, e9_finite_gate, f9_assembled,
         m3_site_profile, m2_log_softmax, m1_masked_marginals, m4_position_means, k7_mse, m10_zero_shot, k1_spearman_by, k1_spearman, m7_centroid_predictions, k2_confusion, k3_per_class, k4_macro, k4_micro,
         a11_seed_spread, a12_seed_matrix, a13_median, a14_at_edge, a15_curve, a16_readouts, w5_best, c1_decomposition, c2_class_gains, c3_paired, c4_signed_rank, c5_bootstrap, c6_signs, c7_crossover,
-        m5_ridge_grid, m5_ridge, m6_head, m8_arms, m9_grid, m9_evaluate, s9_shards, z1_singles_to_multiples, z2_additivity,
+        m5_ridge_grid, m5_ridge, m6_head, m8_arms, m8_all_arms, m8_ridge_arms, m9_grid, m9_evaluate, s9_shards, z1_singles_to_multiples, z2_additivity,
     )
 }
 SQL = {
@@ -437,6 +481,7 @@ SQL = {
       SELECT assay, n, round(w, 9) AS w_plus, round((w - n * (n + 1) / 4) / sqrt(n * (n + 1.0) * (2 * n + 1) / 24 - ties / 48), 9) AS z FROM s""",
     "c6_signs": _RUNS + "SELECT seed, round(avg(delta), 9) AS mean_delta, bool_and(delta < 0) AS all_negative FROM pairs GROUP BY seed",
     "c7_crossover": _RUNS + "SELECT assay, arm, min(n) FILTER (mean > floor) AS crossover FROM curve GROUP BY ALL",
+    "m8_all_arms": _ALL_ARMS,
     "m9_grid": """WITH a AS (SELECT s_name AS assay, row_number() OVER (ORDER BY s_name) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT s_name FROM supplier))
       SELECT u.rung, a.assay, s.scheme, r.readout, n.n::INT AS n, d.seed::INT AS seed, c.checkpoint, ((((((u.i * a.n + a.i) * 2 + s.i) * 3 + r.i) * 3 + n.i) * 2 + d.seed) * 2 + c.i)::BIGINT AS ordinal
       FROM (VALUES ('frozen', 0), ('ridge', 1)) u(rung, i), a, (VALUES ('random', 0), ('modulo', 1)) s(scheme, i), (VALUES ('mean', 0), ('at_position', 1), ('difference_at_position', 2)) r(readout, i),

@@ -9,6 +9,7 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Need more rows than the smallest size has.
 LARGER = {"p5_draws", "a17_drawn_positions", "w2_stratified", "p4_capped"}
+PLAIN = {n: q for m in (text, splits, cohorts, models) for n, q in m.QUERIES.items() if n not in m.SQL}
 SQL = {n: (m.QUERIES[n], q) for m in (text, splits, cohorts, models) for n, q in m.SQL.items()}
 
 
@@ -41,3 +42,9 @@ def test_query_is_its_sql(spark, duck, name):
     names = [d[0] for d in result.description]
     assert sorted(names) == columns
     assert got == sorted(tuple(shown(dict(zip(names, r, strict=True))[c]) for c in columns) for r in result.fetchall())
+
+
+@pytest.mark.parametrize("name", sorted(PLAIN))
+def test_query_without_sql_gives_rows(spark, name):
+    df = PLAIN[name](spark, SF)
+    assert len(df.collect()) > 0 and len(set(df.columns)) == len(df.columns)
