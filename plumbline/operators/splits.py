@@ -32,11 +32,13 @@ def balanced_split(df: DataFrame, key: str, fractions: Sequence[float], seed: in
     Groups above the share ``large`` of all rows (so 1 / large at most) go one by one to the split that lacks most.
     The others lie in hash order on a line of their sizes, which the remaining targets cut; a running sum over ranges
     of hashes replaces one over all groups. Rows without a group are one group, named by null. A positive fraction that
-    gets no row is an error.
+    gets no row is an error, and so is an empty table.
     """
     _checked(fractions)
     groups = cut(df.groupBy(key).agg(F.count("*").alias("size")).withColumn("h", F.coalesce(hash_order(seed, F.col(key)), F.lit(""))), "groups")
     total = groups.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    if not total:
+        raise GateError("there is nothing to split")
     lack = [f * total for f in fractions]
     big = groups.where(F.col("size") > F.lit(large * total)).orderBy("h", key).collect()
     placed = []
@@ -55,7 +57,7 @@ def balanced_split(df: DataFrame, key: str, fractions: Sequence[float], seed: in
     if placed:
         roles = roles.unionByName(df.sparkSession.createDataFrame(placed, roles.schema))
     roles = cut(roles, "roles")
-    if total and (empty := empty_roles(roles, fractions)):
+    if empty := empty_roles(roles, fractions):
         raise GateError(f"no group for {empty}")
     # null meets null
     joined = df.join(roles.withColumnRenamed(key, "_group"), F.col(key).eqNullSafe(F.col("_group"))).drop("_group")

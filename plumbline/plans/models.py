@@ -14,6 +14,7 @@ from ..operators import grid as R
 from ..operators import metrics as K
 from ..operators import scoring as Z
 from ..operators import splits as S
+from ..operators import store as V
 from ..sources import sinks
 from .cohorts import _folder
 from .splits import _t
@@ -87,6 +88,40 @@ def e6_cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.cache_misses(docs, "text", spec, store).select("item_key")
 
 
+def _store_runs(spark: SparkSession, sf_dir: str):
+    """A store that is filled in three runs: a third of the documents, all of them, and half of them under a changed spec; then compacted."""
+
+    def encoder(extra: float):
+        def make():
+            return lambda texts: [[float(len(t)), float(t.count(" ")), extra] for t in texts]
+
+        return make
+
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
+    store = V.VectorStore(spark, _folder(spark, "vectors"))
+    spec = lambda layer: E.spec_text(SPEC | {"layer": layer})
+    through = lambda rows, layer: store.read_through(rows, "text", spec(layer), V.by_encoder("text", encoder(float(layer)), 3))
+    through(docs.where("doc_id % 3 = 0"), 1)
+    whole = through(docs, 1)
+    changed = through(docs.where("doc_id % 2 = 0"), 2)
+    store.compact()
+    return store, whole, changed
+
+
+def e6_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its vector under both specs, read back from the store."""
+    _, whole, changed = _store_runs(spark, sf_dir)
+    at = lambda i: F.col("vec")[i].cast("double")
+    return whole.select("doc_id", at(0).alias("v0"), at(1).alias("v1"), at(2).alias("v2")).join(changed.select("doc_id", at(2).alias("other")), "doc_id", "left")
+
+
+def e6_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each run has appended: only what the store lacked."""
+    store, _, _ = _store_runs(spark, sf_dir)
+    layer = F.coalesce(F.get_json_object("spec", "$.layer").cast("int"), F.lit(0))
+    return store.history().select("version", "kind", "rows", "parts", layer.alias("layer"))
+
+
 def e7_miss_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = E.spec_text(SPEC)
     width = F.when(F.pmod("doc_id", F.lit(3)) == 0, F.lit(64)).otherwise(F.lit(32)).cast("string")
@@ -100,6 +135,10 @@ def e8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.fingerprint(_t(spark, sf_dir, "documents"), ["doc_id", "lang", "n_chars"])
 
 
+def e8_ordered_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.ordered_fingerprint(_t(spark, sf_dir, "documents"), ["doc_id", "lang", "n_chars"], ["n_chars", "doc_id"])
+
+
 def e9_finite_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     vec = F.when(F.pmod("vec_id", F.lit(50)) == 0, F.transform("vec", lambda _: F.lit(float("nan")).cast("float"))).otherwise(F.col("vec"))
     return G.check(_embeddings(spark, sf_dir).select("vec_id", vec.alias("vec")), {"finite": G.not_finite(F.col("vec"))}).select("rule", "n_bad")
@@ -428,7 +467,7 @@ _ALL_ARMS = """WITH f AS (SELECT vec_id, label, embedding AS v FROM embeddings),
 QUERIES = {
     f.__name__: f
     for f in (
-        w4_length_batches, a5_length_profile, a6_padding_cost, e1_text_features, e2_encoded, e3_mean_readout, e4_at_position, e5_difference, e6_cache_misses, e7_miss_reasons, e8_fingerprint, e9_finite_gate, f9_assembled,
+        w4_length_batches, a5_length_profile, a6_padding_cost, e1_text_features, e2_encoded, e3_mean_readout, e4_at_position, e5_difference, e6_cache_misses, e6_store, e6_ledger, e7_miss_reasons, e8_fingerprint, e8_ordered_fingerprint, e9_finite_gate, f9_assembled,
         m3_site_profile, m2_log_softmax, m1_masked_marginals, m4_position_means, k7_mse, m10_zero_shot, k1_spearman_by, k1_spearman, m7_centroid_predictions, k2_confusion, k3_per_class, k4_macro, k4_micro,
         a11_seed_spread, a12_seed_matrix, a13_median, a14_at_edge, a15_curve, a16_readouts, w5_best, c1_decomposition, c2_class_gains, c3_paired, c4_signed_rank, c5_bootstrap, c6_signs, c7_crossover,
         m5_ridge_grid, m5_ridge, m6_head, m8_arms, m8_all_arms, m8_ridge_arms, m9_grid, m9_evaluate, s9_shards, z1_singles_to_multiples, z2_additivity,
@@ -446,6 +485,11 @@ SQL = {
     "e4_at_position": _RES + "SELECT label, vec[1]::DOUBLE AS first, vec[64]::DOUBLE AS last FROM r WHERE position = label % 7",
     "e5_difference": _RES + "SELECT r.label, round((r.vec[1] - w.vec[1])::DOUBLE, 5) + 0.0::DOUBLE AS first FROM r JOIN r w ON w.label = 0 AND w.position = r.position WHERE r.position = r.label % 7",
     "e6_cache_misses": f"SELECT DISTINCT sha256('{E.spec_text(SPEC)}' || chr(0) || text) AS item_key FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE doc_id % 3 = 0)",
+    "e6_store": "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents) SELECT doc_id, CASE WHEN trim(t) = '' THEN 0 ELSE length(t) END::DOUBLE AS v0, CASE WHEN trim(t) = '' THEN 0 ELSE length(t) - length(replace(t, ' ', '')) END::DOUBLE AS v1, CASE WHEN trim(t) = '' THEN 0 ELSE 1 END::DOUBLE AS v2, CASE WHEN doc_id % 2 = 0 THEN CASE WHEN trim(t) = '' THEN 0 ELSE 2 END END::DOUBLE AS other FROM d",
+    "e6_ledger": """WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), n AS (SELECT count(DISTINCT t) FILTER (doc_id % 3 = 0) AS a, count(DISTINCT t) AS b, count(DISTINCT t) FILTER (doc_id % 2 = 0) AS c FROM d)
+      SELECT unnest([1, 2, 3, 4])::INT AS version, unnest(['append', 'append', 'append', 'compact']) AS kind, unnest([a, b - a, c, b + c])::BIGINT AS rows, unnest([1, 2, 3, 1])::INT AS parts, unnest([1, 1, 2, 0])::INT AS layer FROM n""",
+    "e8_ordered_fingerprint": """WITH h AS (SELECT md5(doc_id || chr(31) || coalesce(lang, chr(0)) || chr(31) || n_chars) AS h, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS r FROM documents),
+      l AS (SELECT r // 1024 AS k, sha256(string_agg(h, '' ORDER BY r)) AS h, count(*) AS n FROM h GROUP BY r // 1024) SELECT sum(n)::BIGINT AS n, CASE WHEN count(*) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY k)) END AS fingerprint FROM l""",
     "e7_miss_reasons": "SELECT CASE WHEN doc_id % 7 = 0 THEN 'predates specs' WHEN doc_id % 3 > 0 THEN 'changed' WHEN doc_id % 5 = 0 THEN 'removed' ELSE 'inputs changed' END AS reason, CASE WHEN doc_id % 7 = 0 THEN 'encoder,pooling,width' WHEN doc_id % 3 > 0 THEN 'width' ELSE '' END AS changed, CASE WHEN doc_id % 7 > 0 AND doc_id % 5 = 0 THEN 'layer' ELSE '' END AS removed, count(*) AS n FROM documents GROUP BY ALL",
     "e8_fingerprint": """WITH h AS (SELECT md5(doc_id || chr(31) || coalesce(lang, chr(0)) || chr(31) || n_chars) AS h FROM documents),
       b AS (SELECT ('0x' || substr(h, 1, 4))::INT % 256 AS b, count(*) AS n, sum(('0x' || substr(h, 1, 8))::BIGINT)::BIGINT AS a0, sum(('0x' || substr(h, 9, 8))::BIGINT)::BIGINT AS a1, sum(('0x' || substr(h, 17, 8))::BIGINT)::BIGINT AS a2, sum(('0x' || substr(h, 25, 8))::BIGINT)::BIGINT AS a3 FROM h GROUP BY 1)

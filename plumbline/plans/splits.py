@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import global_rank, hash_order
 from ..operators import splits as S
 from ..operators.clusters import cluster_split
+from ..operators.similarity import similarity_split
 from ..operators.gates import coverage
 from ..operators.metrics import drawn_positions
 
@@ -116,6 +117,12 @@ def z3_cluster_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_split(c, "c_custkey", links, FRACTIONS, SEED).select("c_custkey", "cluster", "role")
 
 
+def z4_similarity_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that share four fifths of their runs of five words, over any number of links, are in one role."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.expr("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')").alias("text"))
+    return similarity_split(docs, "doc_id", "text", FRACTIONS, SEED, words=True).select("doc_id", "cluster", "role")
+
+
 def _u(*parts: str) -> str:
     return f"(('0x' || substr(md5({' || chr(58) || '.join(parts)}), 1, 13))::BIGINT / 4503599627370496.0)"
 
@@ -131,7 +138,7 @@ d AS (SELECT * FROM (SELECT l.*, n, seed, row_number() OVER (PARTITION BY o_orde
   FROM l, (VALUES (32), (128)) a(n), (VALUES (0), (1)) b(seed) WHERE role = 'pool') WHERE k <= n)
 """
 
-QUERIES = {f.__name__: f for f in (x1_global_rank, x2_hash_order, p1_hash_split, p1_balanced_split, p1_balanced_large, p2_inherited_split, p3_fold_roles, p4_capped, p5_draws, a17_drawn_positions, p6_leak_audit, p6_no_leak, p6_sizes, j5_shuffled_pairs, j7_coverage, w2_stratified, w3_evenly_spaced, z3_cluster_split)}
+QUERIES = {f.__name__: f for f in (x1_global_rank, x2_hash_order, p1_hash_split, p1_balanced_split, p1_balanced_large, p2_inherited_split, p3_fold_roles, p4_capped, p5_draws, a17_drawn_positions, p6_leak_audit, p6_no_leak, p6_sizes, j5_shuffled_pairs, j7_coverage, w2_stratified, w3_evenly_spaced, z3_cluster_split, z4_similarity_split)}
 SQL = {
     "x1_global_rank": "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS rank FROM events",
     "x2_hash_order": "SELECT doc_id, md5('7:' || doc_id) AS h FROM documents",
@@ -158,5 +165,10 @@ SQL = {
       SELECT stratum, doc_id, n_chars FROM o ORDER BY CASE WHEN i <= round(100.0::DOUBLE * c / n) THEN 0 ELSE 1 END, h, doc_id LIMIT 100""",
     "z3_cluster_split": f"""WITH c AS (SELECT c_custkey AS k, lag(c_custkey) OVER (ORDER BY c_custkey) = c_custkey - 1 AND (c_custkey - 1) % 4 > 0 AND lag(c_acctbal) OVER (ORDER BY c_custkey) > 0 AS linked FROM customer),
       r AS (SELECT k, max(CASE WHEN coalesce(linked, false) THEN NULL ELSE k END) OVER (ORDER BY k) AS cluster FROM c) SELECT k AS c_custkey, cluster, {_role(_u(repr(str(SEED)), 'cluster'))} AS role FROM r""",
+    "z4_similarity_split": f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\\s+'), lambda x: x <> '') AS ws FROM documents),
+      g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS s FROM w),
+      n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1), p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+      l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 10 * c >= 8 * (a.n + b.n - c)), r(x, y) AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+      k AS (SELECT d.doc_id, least(d.doc_id, coalesce(min(r.y), d.doc_id)) AS cluster FROM documents d LEFT JOIN r ON r.x = d.doc_id GROUP BY d.doc_id) SELECT doc_id, cluster, {_role(_u(repr(str(SEED)), 'cluster'))} AS role FROM k""",
     "w3_evenly_spaced": "WITH r AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS rank, count(*) OVER () AS n FROM documents) SELECT doc_id, n_chars, rank FROM r WHERE rank IN (SELECT round_even(i * (n - 1) / 16, 0)::BIGINT FROM range(17) t(i), (SELECT count(*) AS n FROM documents))",
 }

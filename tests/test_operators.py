@@ -56,7 +56,8 @@ def test_balanced_split_keeps_rows_and_fails_loudly(spark):
     with pytest.raises(G.GateError, match="no group"):
         S.balanced_split(one, "family", (0.4, 0.3, 0.3), 3)
     assert S.balanced_split(one, "family", (1.0, 0.0, 0.0), 3).where("role = 'train'").count() == 9
-    assert S.balanced_split(one.limit(0), "family", (0.4, 0.3, 0.3), 3).count() == 0
+    with pytest.raises(G.GateError, match="nothing to split"):
+        S.balanced_split(one.limit(0), "family", (0.4, 0.3, 0.3), 3)
 
 
 def test_running_totals_and_quantiles(spark, records):
