@@ -2,7 +2,9 @@
 
 Texts become template words: numbers, capitalised names and units after numbers turn into typed placeholders. Windows of
 ``WINDOW`` template words of the benchmark and of the documents meet in a hash join; a broadcast bitmap keeps the windows
-that no item has out of the shuffle. A window with fewer than ``LITERALS`` plain words would match anything by its
+that no item has out of the shuffle. A document's window is one row however many items have it; pairs of a document and
+an item are only made by windows that must be there if it leaks (see ``_telling``), so that a stem that many items share
+makes none. A window with fewer than ``LITERALS`` plain words would match anything by its
 template: it is matched on its words as written instead. An item with fewer words than a window is one shorter window,
 and documents are then read in windows of that length as well.
 
@@ -18,18 +20,28 @@ columns play no part, whatever their names.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, marked_by, may_hold, table, unused
 
 WINDOW, LITERALS, SHARE, RUN = 8, 4, 0.5, 13
-#: Number words and units.
-NUMBER_WORDS = ("zero", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "twenty", "thirty", "forty", "fifty", "hundred", "thousand", "million", "half", "twice")
+#: Number words and units. Words for one are articles or pronouns too, and are left out.
+NUMBER_WORDS = (
+    "zero", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen",
+    "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand", "million", "billion", "half", "twice",
+    "zéro", "deux", "trois", "quatre", "cinq", "sept", "huit", "neuf", "dix", "onze", "douze", "treize", "quatorze", "quinze", "seize", "vingt", "trente", "quarante", "cinquante", "soixante", "cent", "cents", "mille", "millions",
+    "null", "zwei", "drei", "vier", "fünf", "sechs", "sieben", "acht", "neun", "zehn", "elf", "zwölf", "dreizehn", "vierzehn", "fünfzehn", "sechzehn", "siebzehn", "achtzehn", "neunzehn", "zwanzig", "dreißig", "vierzig", "fünfzig", "sechzig", "siebzig", "achtzig", "neunzig", "hundert", "tausend",
+    "cero", "dos", "tres", "cuatro", "cinco", "seis", "siete", "ocho", "nueve", "diez", "once", "doce", "trece", "catorce", "quince", "dieciséis", "diecisiete", "dieciocho", "diecinueve", "veinte", "treinta", "cuarenta", "cincuenta", "sesenta", "setenta", "ochenta", "noventa", "cien", "ciento", "mil", "millones",
+)
 UNITS = (
     "mm", "cm", "m", "km", "inch", "inches", "feet", "foot", "yards", "mile", "miles", "mg", "g", "kg", "gram", "grams", "kilogram", "kilograms", "pound", "pounds", "ounces",
     "ml", "l", "litre", "litres", "liter", "liters", "second", "seconds", "minute", "minutes", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years",
     "cent", "cents", "dollar", "dollars", "euro", "euros", "percent", "degrees", "meter", "meters", "metre", "metres", "kilometers", "kilometres",
+    "mètre", "mètres", "kilomètres", "grammes", "kilogrammes", "seconde", "secondes", "heure", "heures", "jour", "jours", "semaine", "semaines", "mois", "an", "ans", "degrés",
+    "metro", "metros", "kilómetros", "gramos", "kilogramos", "segundo", "segundos", "minutos", "hora", "horas", "día", "días", "semana", "semanas", "mes", "meses", "año", "años", "grados",
 )
 
 
@@ -65,23 +77,37 @@ def _literals(words: list[Column]) -> Column:
     return out
 
 
-def windows(rows: DataFrame, key: str, size: int = WINDOW, written: bool = False) -> DataFrame:
-    """key, pos, hash of each window of ``size`` words of ``text``: of those with LITERALS plain words by template, or (``written``) of the others as written.
-
-    Windows are runs of zipped shifts of the word array, so that no text is put together for them.
-    """
+def _words(rows: DataFrame, key: str) -> DataFrame:
+    """key, r, t: the words of ``text`` as written and their template words."""
     once = lambda c, name: F.inline(F.array(F.struct(c.alias(name))))  # noqa: E731  a generator: what stands behind it does not work ``c`` out again
     words = rows.select(key, once(raw_words(F.col("text")), "raw"))
     words = words.select(key, "raw", once(template(F.col("raw")), "template"))
-    words = words.select(key, "raw", once(_split("template"), "t")).where(F.size("t") >= size)
-    words = words.select(key, "t", once(_split("raw"), "r")) if written else words.select(key, "t")
-    shifts = lambda c: [f"slice({c}, {k + 1}, size({c}) - {size - 1}) as {c}{k}" for k in range(size)]
-    names = [f"{c}{k}" for c in (("t", "r") if written else ("t",)) for k in range(size)]
-    shifted = words.selectExpr(key, *[x for c in (("t", "r") if written else ("t",)) for x in shifts(c)])
-    flat = shifted.select(key, F.posexplode(F.arrays_zip(*names)).alias("pos", "w"))
-    plain = _literals([F.col(f"w.t{k}") for k in range(size)])
-    kind = "r" if written else "t"
-    return flat.where(plain < LITERALS if written else plain >= LITERALS).select(key, "pos", F.xxhash64(F.lit(kind), *[F.col(f"w.{kind}{k}") for k in range(size)]).alias("hash"))
+    return words.select(key, "raw", once(_split("template"), "t")).select(key, "t", once(_split("raw"), "r"))
+
+
+def windows(rows: DataFrame, key: str, size: int = WINDOW) -> DataFrame:
+    """key, pos, hash of each window of ``size`` words of ``text``: those with LITERALS plain words by template, the others as written.
+
+    Windows are runs of zipped shifts of the word arrays, so that no text is put together for them.
+    """
+    shifts = [f"slice({c}, {k + 1}, size({c}) - {size - 1}) as {c}{k}" for c in "tr" for k in range(size)]
+    shifted = _words(rows, key).where(F.size("t") >= size).selectExpr(key, *shifts)
+    flat = shifted.select(key, F.posexplode(F.arrays_zip(*[f"{c}{k}" for c in "tr" for k in range(size)])).alias("pos", "w"))
+    part = lambda c: F.xxhash64(F.lit(c), *[F.col(f"w.{c}{k}") for k in range(size)])
+    return flat.select(key, "pos", F.when(_literals([F.col(f"w.t{k}") for k in range(size)]) >= LITERALS, part("t")).otherwise(part("r")).alias("hash"))
+
+
+def short_windows(rows: DataFrame, key: str, sizes: list[int]) -> DataFrame:
+    """As :func:`windows`, of all of some shorter sizes in one pass."""
+
+    def one(size: int) -> Column:
+        at = lambda c, i, k: F.get(c, i + k)
+        plain = lambda i: sum((F.when(at("t", i, k).startswith("<"), 0).otherwise(1) for k in range(size)), F.lit(0))
+        part = lambda c, i: F.xxhash64(F.lit(c), *[at(c, i, k) for k in range(size)])
+        each = lambda i: F.struct(i.alias("pos"), F.when(plain(i) >= LITERALS, part("t", i)).otherwise(part("r", i)).alias("hash"))
+        return F.when(F.size("t") >= size, F.transform(F.sequence(F.lit(0), F.size("t") - size), each)).otherwise(F.array().cast("array<struct<pos:int,hash:bigint>>"))
+
+    return _words(rows, key).select(key, F.inline(F.concat(*[one(n) for n in sizes])))
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
@@ -99,27 +125,58 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     return rows.withColumn("hash", digest)
 
 
+#: Rows of the benchmark's windows that are broadcast at most.
+FEW = 1 << 18
+
+
+def _small(written: DataFrame) -> DataFrame:
+    """A written table, broadcast if it is of few rows."""
+    return F.broadcast(written) if written.count() <= FEW else written
+
+
+def _telling(items: DataFrame, counts: DataFrame, share: float, run: int) -> DataFrame:
+    """item_id, hash: windows of which a document has at least one if it can leak the item.
+
+    Who has ``share`` of an item's windows has one of its rarest ones, as many as may be missing and one more; who has
+    ``run`` words in a row has all windows of a run, and so the rarest of it. Windows that very many items share (a common
+    stem) tell only where an item has no rarer ones. Rarity is the number of items that have a window.
+    """
+    often = items.groupBy("hash").agg(F.count_distinct("item_id").alias("items"))
+    rated = items.select("item_id", "item_pos", "hash", "size").join(often, "hash").withColumn("rarity", F.struct("items", "hash"))
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy("rarity"))
+    distinct = rated.select("item_id", "hash", "rarity").distinct().withColumn("rank", rank).join(counts, "item_id")
+    prefix = distinct.where(F.col("rank") <= F.col("windows") - F.greatest(F.ceil(F.lit(float(share)) * F.col("windows")), F.lit(1)) + 1).select("item_id", "hash")
+    steps = run - WINDOW
+    ahead = Window.partitionBy("item_id").orderBy("item_pos").rowsBetween(0, steps)
+    runs = rated.where(F.col("size") == WINDOW).withColumn("least", F.min("rarity").over(ahead)).withColumn("n", F.count("*").over(ahead))
+    return prefix.unionByName(runs.where(F.col("n") == steps + 1).select("item_id", F.col("least.hash").alias("hash"))).distinct()
+
+
 def leaks(documents: DataFrame, benchmark: DataFrame, share: float = SHARE, run: int = RUN, key: str = "doc_id") -> DataFrame:
     """key, item_id, windows of the item, how many were found, the share, the longest run of words as written, and whether all found slots are verbatim."""
     items = cut(item_windows(benchmark), "items")
     counts = items.groupBy("item_id").agg(F.count_distinct("hash").alias("windows"))
     docs = documents.select(F.col(key), "text").where(F.col(key).isNotNull())
-    found = None
-    for size, written in items.select("size", "written").distinct().collect():  # two for each length up to WINDOW, mostly one
-        part = marked_by(windows(docs, key, size, written), "hash", items).where("marked").drop("marked")
-        part = part.join(items.where((F.col("size") == size) & (F.col("written") == written)).select("item_id", "item_pos", "hash"), "hash")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = docs.limit(0).select(F.lit(0).cast("long").alias("hash"), key, F.lit(0).alias("pos"), F.lit(0).alias("item_pos")).join(benchmark.select("item_id").limit(0))
-    matches = cut(found.distinct(), "matches")
+    sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # WINDOW at most
+    read = [windows(docs, key)] if WINDOW in sizes else []
+    if short := [n for n in sizes if n < WINDOW]:
+        read.append(short_windows(docs, key, short))
+    none = docs.limit(0).select(key, F.lit(0).alias("pos"), F.lit(0).cast("long").alias("hash"))
+    held_ = reduce(DataFrame.unionByName, read, none)
+    known = cut(items.select("hash").distinct(), "hashes")
+    # the windows of documents that some item has: one row each, however many items have them
+    met = cut(marked_by(held_, "hash", known).where("marked").drop("marked").distinct().join(_small(known), "hash", "left_semi"), "met")
+    pairs = met.select(key, "hash").distinct().join(_small(cut(_telling(items, counts, share, run), "telling")), "hash").select(key, "item_id").distinct()
+    own = items.select("item_id", "item_pos", "hash")
+    likely = cut(cut(pairs, "pairs").join(own, "item_id").join(met, [key, "hash"]).select("hash", key, "pos", "item_id", "item_pos").distinct(), "matches")
 
     def covered(m: DataFrame) -> DataFrame:
         n = m.groupBy(key, "item_id").agg(F.count_distinct("hash").alias("found"))
         return n.join(counts, "item_id")
 
-    aligned_ = matches.groupBy(key, "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.count("*").alias("n")).where(F.col("n") > run - WINDOW)
-    enough = covered(matches).where(F.col("found") >= share * F.col("windows")).select(key, "item_id").unionByName(aligned_.select(key, "item_id")).distinct()
-    likely = cut(matches.join(enough, [key, "item_id"], "left_semi"), "likely")
+    aligned_ = likely.groupBy(key, "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.count("*").alias("n")).where(F.col("n") > run - WINDOW)
+    enough = covered(likely).where(F.col("found") >= share * F.col("windows")).select(key, "item_id").unionByName(aligned_.select(key, "item_id")).distinct()
+    likely = cut(likely.join(enough, [key, "item_id"], "left_semi"), "likely")
     held = may_hold(docs, key, likely.select(key)).dropDuplicates([key, "text"]).select(key, raw_words(F.col("text")).alias("raw"))
     held = held.select(key, _split("raw").alias("raw")).join(likely, key).join(items.select("item_id", "item_pos", "item_words", "kinds", "written", "size"), ["item_id", "item_pos"])
     held = held.select(key, "item_id", "item_pos", "size", "hash", (F.col("pos") - F.col("item_pos")).alias("shift"), "kinds", "item_words", "written", F.expr("slice(raw, pos + 1, size)").alias("words"))

@@ -64,3 +64,57 @@ def test_as_sql(spark):
     assert len(want) > 5
     planted = con.execute("select distinct d.doc_id, b.item_id from documents d join benchmark b on contains(d.text, b.text)").fetchall()
     assert {(a, b) for a, b, *_ in want} >= set(planted)
+
+
+def test_shared_stem_makes_no_pairs(spark, monkeypatch):
+    """400 items and 2,000 documents share a stem of 12 words: the documents' windows are a few rows each, and no pair is made."""
+    stem = "which of the following is the best answer to this question here"
+    rng = random.Random(8)
+    tail = lambda n: " ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(n))
+    tails = [tail(14) for _ in range(400)]
+    items = spark.createDataFrame([(i, f"{stem} {t}") for i, t in enumerate(tails)], "item_id long, text string")
+    docs = [(i, f"{tail(5)} {stem} {tail(9)}") for i in range(2000)] + [(5000 + i, f"{tail(3)} {stem} {tails[i]} {tail(3)}") for i in range(3)]
+    written, cut = {}, D.cut
+
+    def noted(df, label="cut"):
+        out = cut(df, label)
+        written[label] = out.count()
+        return out
+
+    monkeypatch.setattr(D, "cut", noted)
+    got = D.leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), items).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(5000 + i, i) for i in range(3)]
+    assert written["met"] <= 5 * 2003 + 3 * 15 and written["pairs"] <= 10 and written["matches"] <= 200
+
+
+def test_telling_windows_lose_no_pair(spark):
+    """Against every pair: items with shared and repeated windows, all shares and runs."""
+    rng = random.Random(3)
+    words = [f"v{a}{b}" for a in "abcd" for b in "klmn"]
+    items = [(i, " ".join(rng.choices(words[:6], k=rng.choice([3, 8, 14, 20])))) for i in range(12)]
+    docs = []
+    for d in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 3)):
+            own = rng.choice(items)[1].split()
+            a = rng.randrange(len(own))
+            parts += own[a : a + rng.randint(1, 20)] + rng.choices(words, k=rng.randint(0, 3))
+        docs.append((d, " ".join(parts)))
+
+    def plain(share, run):
+        out = set()
+        for d, text in docs:
+            t = text.split()
+            for i, item in items:
+                w = item.split()
+                n = min(8, len(w))
+                has = {tuple(t[k : k + n]) for k in range(len(t) - n + 1)}
+                wins = [tuple(w[k : k + n]) for k in range(len(w) - n + 1)]
+                long = any(tuple(t[x : x + run]) == tuple(w[y : y + run]) for x in range(len(t) - run + 1) for y in range(len(w) - run + 1)) if len(w) >= run else False
+                if len({x for x in wins if x in has}) >= share * len(set(wins)) or long:
+                    out.add((d, i))
+        return out
+
+    frame, asked = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for share, run in ((0.5, 13), (1.0, 9), (0.2, 40)):
+        assert {(r.doc_id, r.item_id) for r in D.leaks(frame, asked, share, run).collect()} == plain(share, run)
