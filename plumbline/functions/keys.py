@@ -78,3 +78,32 @@ def quantiles(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
         at = lambda k: F.min(F.when(F.col("_upto") > k, F.col("_v")))
         picks.append((at(low) + (at(min(low + 1, max(n - 1, 0))) - at(low)) * (place - low)).cast("double").alias(name))
     return totals.agg(*picks)
+
+
+def quantiles_by(df: DataFrame, by: list[str], value: str, shares: dict[str, float], windowed: int = 1 << 20) -> DataFrame:
+    """by, and a column for each share: that quantile of each group's values that are not null, linear between neighbours.
+
+    Values are counted first; counts are summed along the order of group and value, in windows up to ``windowed`` distinct
+    values and along a written order beyond, so that no buffer holds a group. A group without values has nulls.
+    """
+    counts = cut(df.groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c")), "counts")
+    held = counts.where(F.col("_v").isNotNull())
+    if counts.count() <= windowed:
+        upto = held.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        total = running_total(held, [*by, "_v"], "_c", "_upto")
+        before = total.groupBy(*[F.col(c).alias(f"_a{k}") for k, c in enumerate(by)]).agg(F.min(F.col("_upto") - F.col("_c")).alias("_before"))
+        met = total.join(before, [F.col(c).eqNullSafe(F.col(f"_a{k}")) for k, c in enumerate(by)]) if by else total.crossJoin(before)
+        upto = met.select(*by, "_v", "_c", (F.col("_upto") - F.col("_before")).alias("_upto"))
+    sizes = counts.groupBy(*by).agg(F.coalesce(F.sum(F.when(F.col("_v").isNotNull(), F.col("_c"))), F.lit(0)).alias("_n"))
+    named = sizes.toDF(*[f"_b{k}" for k in range(len(by))], "_n")
+    met = named.join(upto, [F.col(f"_b{k}").eqNullSafe(F.col(c)) for k, c in enumerate(by)] or F.lit(True), "left")
+    picks = []
+    for name, share in shares.items():
+        place = F.lit(share) * (F.col("_n") - 1)
+        at = lambda k: F.min(F.when(F.col("_upto") > k, F.col("_v")))
+        low = F.floor(place)
+        picks += [at(low).alias(f"_low_{name}"), at(F.least(low + 1, F.col("_n") - 1)).alias(f"_high_{name}"), F.max(place - low).alias(f"_part_{name}")]
+    keys = [f"_b{k}" for k in range(len(by))]
+    out = met.groupBy(*keys).agg(*picks)
+    return out.select(*[F.col(f"_b{k}").alias(c) for k, c in enumerate(by)], *[(F.col(f"_low_{n}") + (F.col(f"_high_{n}") - F.col(f"_low_{n}")) * F.col(f"_part_{n}")).cast("double").alias(n) for n in shares])

@@ -69,6 +69,17 @@ def readout(residues: DataFrame, key: str, name: str, position: DataFrame | None
     return at.join(base, "position").select(key, F.zip_with("vec", "_wt", lambda a, b: a - b).alias("vec"))
 
 
+def colocated(residues: DataFrame, key: str, table: str, buckets: int = 64) -> DataFrame:
+    """The residue vectors (key, position, vec) as a table in buckets by key and position, sorted within: :func:`readout` joins it without shuffling it.
+
+    What is joined with it is dealt to its buckets, so that the largest table is shuffled once, when it is written. One
+    file a bucket is written; the number of buckets is the parallelism of later joins.
+    """
+    dealt = residues.select(key, "position", "vec").repartition(buckets, key, "position")
+    dealt.write.bucketBy(buckets, key, "position").sortBy(key, "position").format("parquet").option("compression", "zstd").saveAsTable(table)
+    return residues.sparkSession.table(table)
+
+
 def spec_text(spec: Mapping[str, object]) -> str:
     """The canonical text of everything that changes a vector; the batch size is not part of it."""
     return json.dumps({k: v for k, v in spec.items() if k != "batch_size"}, sort_keys=True, separators=(",", ":"))

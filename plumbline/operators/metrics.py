@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import running_total
+from ..functions.keys import quantiles_by, running_total
 from ..functions.shared import cut
 from .gates import GateError
 
@@ -95,7 +95,8 @@ def seed_matrix(runs: DataFrame, arm: str, metric: str, seeds: list[int]) -> Dat
 
 
 def median_score(results: DataFrame, score: str, by: list[str] = ()) -> DataFrame:
-    return results.groupBy(*by).agg(F.median(score).alias("median"))
+    """by, median: of each group, without any group in one buffer."""
+    return quantiles_by(results, list(by), score, {"median": 0.5})
 
 
 def at_edge(results: DataFrame, penalty: str, grid: list[float]) -> DataFrame:

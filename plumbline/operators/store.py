@@ -15,13 +15,13 @@ Null items count as blank ones. An empty table of items appends nothing and make
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.commits import CommitLog
 from .features import encoded, item_key
 from .gates import GateError
 
@@ -32,49 +32,19 @@ BUCKETS = 16
 class VectorStore:
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS) -> None:
         """The store at ``path``, an empty one if there is none; the number of buckets is that of its first commit."""
-        self.spark, self.path = spark, path.rstrip("/")
-        self._jvm = spark.sparkContext._jvm
-        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
-        self._fs = self._at("").getFileSystem(self._conf)
-        for folder in ("data", "commits"):
-            self._fs.mkdirs(self._at(folder))
+        self.log = CommitLog(spark, path, ("data",))
+        self.spark, self.path = spark, self.log.path
         self.buckets = self.head().get("buckets", buckets)
 
-    def _at(self, name: str):
-        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-
     def versions(self) -> list[int]:
-        return sorted(int(s.getPath().getName()[:-5]) for s in self._fs.listStatus(self._at("commits")) if s.getPath().getName()[:-5].isdigit())
-
-    def commit(self, version: int) -> dict:
-        stream = self._fs.open(self._at(f"commits/{version:08d}.json"))
-        try:
-            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+        return self.log.versions()
 
     def head(self) -> dict:
         """The last commit: version, parts, kind, rows, spec, buckets."""
-        found = self.versions()
-        return self.commit(found[-1]) if found else {"version": 0, "parts": []}
+        return self.log.head({"parts": []})
 
     def _put(self, entry: dict) -> bool:
-        """Make ``entry`` the commit of its version; False if there is one already."""
-        name = f"commits/{entry['version']:08d}.json"
-        made = self._at(f"commits/.{uuid.uuid4().hex}")
-        stream = self._fs.create(made, False)
-        stream.write(bytearray(json.dumps(entry).encode()))
-        stream.close()
-        fs = self._jvm.org.apache.hadoop.fs
-        none = self.spark.sparkContext._gateway.new_array(fs.Options.Rename, 0)
-        try:
-            fs.FileContext.getFileContext(self._at("").toUri(), self._conf).rename(made, self._at(name), none)
-            return True
-        except Exception as e:
-            self._fs.delete(made, False)
-            if self._fs.exists(self._at(name)):
-                return False
-            raise e
+        return self.log.put(entry)
 
     def _parts(self, parts: list[str]) -> DataFrame:
         if not parts:
@@ -84,7 +54,7 @@ class VectorStore:
 
     def read(self, version: int | None = None) -> DataFrame:
         """item_key, vec and bucket of the last commit, or of an earlier one."""
-        return self._parts((self.head() if version is None else self.commit(version))["parts"])
+        return self._parts((self.head() if version is None else self.log.entry(version))["parts"])
 
     def _bucket(self, key: str = "item_key") -> Column:
         return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
@@ -97,12 +67,10 @@ class VectorStore:
         return part, self._count(part)
 
     def _count(self, part: str) -> int:
-        if not any(s.isDirectory() for s in self._fs.listStatus(self._at(f"data/part={part}"))):
-            return 0
-        return self._parts([part]).count()
+        return self._parts([part]).count() if any(n.startswith("bucket=") for n in self.log.names(f"data/part={part}")) else 0
 
     def _drop(self, part: str) -> None:
-        self._fs.delete(self._at(f"data/part={part}"), True)
+        self.log.drop(f"data/part={part}")
 
     def append(self, rows: DataFrame, spec: str = "") -> int:
         """Commit rows (item_key, vec; one a key) whose key the store lacks; the number of rows that this commit adds.
@@ -149,7 +117,7 @@ class VectorStore:
 
     def history(self) -> DataFrame:
         """version, kind, rows, parts, spec of every commit."""
-        entries = [self.commit(v) for v in self.versions()]
+        entries = [self.log.entry(v) for v in self.versions()]
         return self.spark.createDataFrame([(e["version"], e["kind"], e["rows"], len(e["parts"]), e["spec"]) for e in entries], "version int, kind string, rows long, parts int, spec string")
 
     def compact(self) -> int:
@@ -171,11 +139,11 @@ class VectorStore:
     def vacuum(self, keep: int = 1) -> list[str]:
         """Delete the parts that none of the last ``keep`` commits names, and their commits; not while another writer is at work. The deleted parts."""
         versions = self.versions()
-        named = {p for v in versions[-keep:] for p in self.commit(v)["parts"]}
-        there = [s.getPath().getName().removeprefix("part=") for s in self._fs.listStatus(self._at("data"))]
+        named = {p for v in versions[-keep:] for p in self.log.entry(v)["parts"]}
+        there = [n.removeprefix("part=") for n in self.log.names("data")]
         gone = sorted(p for p in there if p not in named)
         for v in versions[:-keep]:
-            self._fs.delete(self._at(f"commits/{v:08d}.json"), False)
+            self.log.drop(f"commits/{v:08d}.json")
         for p in gone:
             self._drop(p)
         return gone

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -82,6 +84,14 @@ def e5_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("label", (F.round(F.col("vec")[0].cast("double"), 5) + 0.0).alias("first"))
 
 
+def e5_colocated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As e5_difference, from a residue table in buckets."""
+    residues = E.colocated(_residues(spark, sf_dir), "label", f"residues_{uuid.uuid4().hex}", 8)
+    wanted = residues.select("label", F.pmod("label", F.lit(7)).alias("position")).distinct()
+    out = E.readout(residues, "label", "difference_at_position", wanted, residues.where("label = 0").select("position", "vec"))
+    return out.select("label", (F.round(F.col("vec")[0].cast("double"), 5) + 0.0).alias("first"))
+
+
 def e6_cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, spec = _t(spark, sf_dir, "documents").select("doc_id", "text"), E.spec_text(SPEC)
     store = docs.where(F.pmod("doc_id", F.lit(3)) == 0).select(E.item_key(spec, F.col("text")).alias("item_key"))
@@ -310,6 +320,12 @@ def c4_signed_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(C.signed_rank(_pairs(spark, sf_dir), ["assay"]))
 
 
+def c4_signed_rank_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By assay and seed, so that some groups are small enough to be counted out."""
+    small = _pairs(spark, sf_dir).withColumn("seed", F.when(F.col("n") < 9, F.col("seed")).otherwise(0))
+    return _rounded(C.signed_rank_test(small, ["assay", "seed"]))
+
+
 def c5_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(C.cluster_bootstrap(_pairs(spark, sf_dir), "n", 200, 1))
 
@@ -412,6 +428,16 @@ def s9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.aggregate_shards(spark, path, expected, config).select("arm", "seed", "score")
 
 
+def s9_published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards in two phases: all of them, then those of one seed again; a staged run that is not committed changes nothing."""
+    path, config = _folder(spark, "published"), ["arm", "seed"]
+    by_seed = _runs(spark, sf_dir).groupBy("arm", "seed").agg(F.round(F.avg("score"), 9).alias("score"))
+    expected = by_seed.select("arm", "seed").withColumn("ordinal", F.hash("arm", "seed").cast("long"))
+    sinks.publish_shards(by_seed.withColumn("score", F.when(F.col("seed") == 1, -1.0).otherwise(F.col("score"))), path, config)
+    sinks.publish_shards(by_seed.where("seed = 1"), path, config)
+    return sinks.read_published(spark, path, expected, config).select("arm", "seed", "score")
+
+
 def z1_singles_to_multiples(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.text import substitutions
     from .cohorts import _variants
@@ -467,10 +493,10 @@ _ALL_ARMS = """WITH f AS (SELECT vec_id, label, embedding AS v FROM embeddings),
 QUERIES = {
     f.__name__: f
     for f in (
-        w4_length_batches, a5_length_profile, a6_padding_cost, e1_text_features, e2_encoded, e3_mean_readout, e4_at_position, e5_difference, e6_cache_misses, e6_store, e6_ledger, e7_miss_reasons, e8_fingerprint, e8_ordered_fingerprint, e9_finite_gate, f9_assembled,
+        w4_length_batches, a5_length_profile, a6_padding_cost, e1_text_features, e2_encoded, e3_mean_readout, e4_at_position, e5_difference, e5_colocated, e6_cache_misses, e6_store, e6_ledger, e7_miss_reasons, e8_fingerprint, e8_ordered_fingerprint, e9_finite_gate, f9_assembled,
         m3_site_profile, m2_log_softmax, m1_masked_marginals, m4_position_means, k7_mse, m10_zero_shot, k1_spearman_by, k1_spearman, m7_centroid_predictions, k2_confusion, k3_per_class, k4_macro, k4_micro,
-        a11_seed_spread, a12_seed_matrix, a13_median, a14_at_edge, a15_curve, a16_readouts, w5_best, c1_decomposition, c2_class_gains, c3_paired, c4_signed_rank, c5_bootstrap, c6_signs, c7_crossover,
-        m5_ridge_grid, m5_ridge, m6_head, m8_arms, m8_all_arms, m8_ridge_arms, m9_grid, m9_evaluate, s9_shards, z1_singles_to_multiples, z2_additivity,
+        a11_seed_spread, a12_seed_matrix, a13_median, a14_at_edge, a15_curve, a16_readouts, w5_best, c1_decomposition, c2_class_gains, c3_paired, c4_signed_rank, c4_signed_rank_test, c5_bootstrap, c6_signs, c7_crossover,
+        m5_ridge_grid, m5_ridge, m6_head, m8_arms, m8_all_arms, m8_ridge_arms, m9_grid, m9_evaluate, s9_shards, s9_published, z1_singles_to_multiples, z2_additivity,
     )
 }
 SQL = {
@@ -523,6 +549,14 @@ SQL = {
     "c4_signed_rank": _RUNS + """, k AS (SELECT assay, delta, abs(delta) AS a, row_number() OVER (PARTITION BY assay ORDER BY abs(delta)) AS k FROM pairs WHERE delta <> 0), r AS (SELECT *, avg(k) OVER (PARTITION BY assay, a) AS r, count(*) OVER (PARTITION BY assay, a) AS t FROM k),
       s AS (SELECT assay, count(*) AS n, sum(CASE WHEN delta > 0 THEN r ELSE 0 END) AS w, sum(t * t - 1) AS ties FROM r GROUP BY assay)
       SELECT assay, n, round(w, 9) AS w_plus, round((w - n * (n + 1) / 4) / sqrt(n * (n + 1.0) * (2 * n + 1) / 24 - ties / 48), 9) AS z FROM s""",
+    "c4_signed_rank_test": _RUNS + """, q AS (SELECT assay, CASE WHEN n < 9 THEN seed ELSE 0 END AS seed, delta FROM pairs WHERE delta <> 0), k AS (SELECT *, abs(delta) AS a, row_number() OVER (PARTITION BY assay, seed ORDER BY abs(delta)) AS k FROM q),
+      r AS (SELECT *, avg(k) OVER (PARTITION BY assay, seed, a) AS r, count(*) OVER (PARTITION BY assay, seed, a) AS t FROM k),
+      s AS (SELECT assay, seed, count(*) AS n, sum(CASE WHEN delta > 0 THEN r ELSE 0 END) AS w, sum(t * t - 1) AS ties, max(t) = 1 AND count(*) <= 25 AS exact FROM r GROUP BY ALL), z AS (SELECT *, (w - n * (n + 1) / 4) / sqrt(n * (n + 1.0) * (2 * n + 1) / 24 - ties / 48) AS z FROM s),
+      signs AS (SELECT x.assay, x.seed, m.m, list_sum(list_transform(range(1, x.n + 1), lambda i: CASE WHEN (m.m >> (i - 1)::INT) & 1 = 1 THEN i ELSE 0 END)) AS sum FROM s x, range(4194304) m(m) WHERE x.exact AND m.m < (1::BIGINT << x.n::INT)),
+      e AS (SELECT s.assay, s.seed, least(1, 2 * least(count(*) FILTER (g.sum <= s.w), count(*) FILTER (g.sum >= s.w)) / count(*)) AS p FROM signs g JOIN s ON s.assay = g.assay AND s.seed = g.seed GROUP BY ALL),
+      f AS (SELECT assay, seed, abs(z) / sqrt(2) AS x FROM z), i AS (SELECT unnest(range(1, 81)) AS i),
+      o AS (SELECT f.assay, f.seed, any_value(CASE WHEN x < 3 THEN y ELSE NULL END) AS p FROM f LEFT JOIN (SELECT assay, seed, 1 - 2 / sqrt(pi()) * exp(-x * x) * (x + sum(t)) AS y FROM (SELECT assay, seed, x, i, x * exp(sum(ln(2 * x * x / (2 * i + 1))) OVER (PARTITION BY assay, seed ORDER BY i)) AS t FROM f, i) GROUP BY assay, seed, x) USING (assay, seed) GROUP BY ALL)
+      SELECT z.assay, z.seed, z.n, round(z.w, 9) AS w_plus, round(z.z, 9) AS z, round(CASE WHEN z.exact THEN e.p ELSE o.p END, 9) AS p, z.exact FROM z LEFT JOIN e USING (assay, seed) LEFT JOIN o USING (assay, seed)""",
     "c6_signs": _RUNS + "SELECT seed, round(avg(delta), 9) AS mean_delta, bool_and(delta < 0) AS all_negative FROM pairs GROUP BY seed",
     "c7_crossover": _RUNS + "SELECT assay, arm, min(n) FILTER (mean > floor) AS crossover FROM curve GROUP BY ALL",
     "m8_all_arms": _ALL_ARMS,
@@ -545,7 +579,9 @@ SQL = {
         round(avg(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)), 9) AS f1, round(avg(coalesce(tp / nullif(tp + fn, 0), 0)) FILTER (support > 0), 9) AS balanced_accuracy FROM k GROUP BY ALL""",
     "e1_text_features": "WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{M}\\p{N}\\p{Pc}]+'), lambda x: x <> '') AS w FROM documents) SELECT doc_id, 64 AS width, CASE WHEN len(w) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm, len(w) = 0 AS blank FROM w",
     "s9_shards": _RUNS + "SELECT arm, seed, round(score, 9) AS score FROM bys",
+    "s9_published": _RUNS + "SELECT arm, seed, round(score, 9) AS score FROM bys",
     "z1_singles_to_multiples": "SELECT CASE WHEN event_id % 3 = 0 THEN 'test' ELSE 'train' END AS role, count(*) AS n FROM events WHERE event_id % 89 <> 0 GROUP BY 1",
     "z2_additivity": """WITH d AS (SELECT 'v' || (o_orderkey - 1) || ':v' || (o_orderkey // 2) AS variant, o_totalprice AS score, o_orderkey - 1 AS a, o_orderkey // 2 AS b FROM orders WHERE o_orderkey % 2 = 1),
       s AS (SELECT o_orderkey AS k, o_totalprice AS score FROM orders WHERE o_orderkey % 2 = 0) SELECT d.variant, round(d.score - (x.score + y.score), 2) AS residual FROM d LEFT JOIN s x ON x.k = a LEFT JOIN s y ON y.k = b""",
 }
+SQL["e5_colocated"] = SQL["e5_difference"]

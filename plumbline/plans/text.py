@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import BOOKKEEPING, BREAK, DOT, clean_annotation, holds_private, joined_fields, normalised, random_dropped, sentences
 from ..operators import ablation as A
+from ..operators.phrases import ablate_by_index
 
 LEXICON = A.Lexicon(
     version="1",
@@ -39,6 +40,13 @@ def t5_ablate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("doc_id", F.array_join("kept", " ").alias("kept_text"), F.size("removed").alias("n_removed"), F.array_join("matched_terms", ",").alias("terms"), "characters_before", "characters_after")
 
 
+def t4_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As t5_ablate, by looking phrases up instead of a pattern."""
+    entries = LEXICON.frame(spark)
+    a = ablate_by_index(_docs(spark, sf_dir), "doc_id", "text", entries.where("kind = 'term'"), entries.where("kind = 'exclusion'"))
+    return a.select("doc_id", F.array_join("kept", " ").alias("kept_text"), F.size("removed").alias("n_removed"), F.array_join("matched_terms", ",").alias("terms"), "characters_before", "characters_after")
+
+
 def t6_random_control(spark: SparkSession, sf_dir: str) -> DataFrame:
     dropped = random_dropped(F.col("sentences"), F.col("doc_id"), F.lit(7), F.size("removed"))
     return _ablated(spark, sf_dir).select("doc_id", F.array_join(dropped, " ").alias("control_text"), F.size(dropped).alias("n_kept"))
@@ -164,7 +172,7 @@ def _sql_mentions(relation: str, column: str, terms) -> str:
     return rows
 
 
-QUERIES = {f.__name__: f for f in (t5_ablate, t1_clean, t2_sentences, t6_random_control, t7_variants, t7_invariant, t3_private_points, t8_lexicon, a7_summary, a7_by_lang, a7_by_term, a8_retention_gate, a9_mentions, t9_sentinels, a10_control_retention, f5_normalised, f6_joined)}
+QUERIES = {f.__name__: f for f in (t5_ablate, t4_phrase_index, t1_clean, t2_sentences, t6_random_control, t7_variants, t7_invariant, t3_private_points, t8_lexicon, a7_summary, a7_by_lang, a7_by_term, a8_retention_gate, a9_mentions, t9_sentinels, a10_control_retention, f5_normalised, f6_joined)}
 SQL = {
     "t1_clean": "SELECT doc_id, " + _sql_clean("('FUNCTION: Begins {ECO:0001|PubMed:2}. . ' || text || ' (PubMed:12, ECO:3) (By similarity) ; end ( ) .;')") + " AS cleaned FROM documents",
     "t2_sentences": f"SELECT doc_id, len(s)::INT AS n_sentences, array_to_string(s, '|') AS joined FROM (SELECT doc_id, {_sql_sentences(_sql_clean('text'))} AS s FROM documents)",
@@ -195,3 +203,4 @@ SQL = {
     "f5_normalised": f"SELECT doc_id, t AS text, length(t) > 0 AS has_text FROM (SELECT doc_id, trim(regexp_replace(coalesce(CASE WHEN doc_id % 10 > 0 THEN text END, ''), '{_SPACE}+', ' ', 'g')) AS t FROM documents)",
     "f6_joined": "SELECT doc_id, trim(coalesce(CASE WHEN doc_id % 2 > 0 THEN lang END, '') || '; ' || coalesce(CASE WHEN doc_id % 3 > 0 THEN source END, '') || '; ; ' || coalesce(CASE WHEN doc_id % 5 > 0 THEN lang END, ''), '; ') AS structured FROM documents",
 }
+SQL["t4_phrase_index"] = SQL["t5_ablate"]

@@ -75,19 +75,35 @@ def read_assay_reference(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_assays(spark: SparkSession, folder: str, ids: list[str]) -> DataFrame:
-    """The variants of the listed assays only, one file each, tagged with dms_id; a missing file or column is an error."""
+    """The variants of the listed assays only, one file each, tagged with dms_id; a missing file or column is an error.
+
+    One job finds all headers, and one scan reads all files that have the same header, however many assays there are.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(folder)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = {s.getPath().getName(): s.getPath().toString() for s in fs.listStatus(at)} if fs.exists(at) else {}
+    if lack := [i for i in ids if f"{i}.csv" not in there]:
+        raise GateError(f"assays {lack} are missing")
+    if not ids:
+        raise GateError("no assay is listed")
+    paths = {i: there[f"{i}.csv"] for i in dict.fromkeys(ids)}
+    file = F.coalesce(F.nullif(F.regexp_extract("_metadata.file_path", r"([^/]+)\.csv/[^/]*$", 1), F.lit("")), F.regexp_extract("_metadata.file_path", r"([^/]+)\.csv$", 1))
+    named = F.expr("url_decode(replace(_file, '+', '%2B'))")
+    fields = F.transform(F.split("value", ","), lambda c: F.btrim(c, F.lit('" \r')))
+    lines = spark.read.text(list(paths.values())).select("value", file.alias("_file")).select("value", named.alias("dms_id"))
+    heads = lines.where(F.size(F.array_intersect(fields, F.lit(list(VARIANT_COLUMNS)))) > 1).groupBy("dms_id").agg(F.min(fields).alias("names")).collect()  # a row a file
+    names = {r.dms_id: tuple(r.names) for r in heads}
+    lacking = {i: [c for c in VARIANT_COLUMNS if c not in names.get(i, ())] for i in paths}
+    if bad := {i: c for i, c in lacking.items() if c}:
+        raise GateError("; ".join(f"assay {i} lacks {c}" for i, c in sorted(bad.items())))
+    kinds = {"DMS_score": "double"} | {c: "int" for c in VARIANT_COLUMNS if c.startswith("fold_")}
     frames = []
-    for dms_id in ids:
-        try:
-            frame = spark.read.csv(f"{folder}/{dms_id}.csv", header=True)
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                raise GateError(f"assay {dms_id} is missing") from e
-            raise
-        if lack := [c for c in VARIANT_COLUMNS if c not in frame.columns]:
-            raise GateError(f"assay {dms_id} lacks {lack}")
-        kinds = {"DMS_score": "double"} | {c: "int" for c in VARIANT_COLUMNS if c.startswith("fold_")}
-        frames.append(frame.select(F.lit(dms_id).alias("dms_id"), *[F.col(c).cast(kinds.get(c, "string")) for c in VARIANT_COLUMNS]))
+    for layout in sorted(set(names.values())):
+        own = [paths[i] for i in paths if names[i] == layout]
+        schema = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(len(layout))])
+        rows = spark.read.csv(own, header=True, schema=schema).select("*", file.alias("_file"))
+        frames.append(rows.select(named.alias("dms_id"), *[F.col(f"c{layout.index(c)}").cast(kinds.get(c, "string")).alias(c) for c in VARIANT_COLUMNS]))
     return union(*frames)
 
 

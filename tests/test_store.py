@@ -171,3 +171,21 @@ def test_two_rows_that_change_places(spark):
     first, other = (E.ordered_fingerprint(frame(r), ["v"], ["at"], 8).first() for r in (rows, swapped))
     assert first.n == other.n and first.fingerprint != other.fingerprint
     assert E.fingerprint(frame(rows), ["v"]).first() == E.fingerprint(frame(swapped), ["v"]).first()
+
+
+def test_colocated_residues_are_not_shuffled(spark):
+    """Below the join the residue table has no exchange; the positions are dealt to its buckets."""
+    residues = spark.createDataFrame([(k, p, [float(k), float(p)]) for k in range(40) for p in range(12)], "id int, position int, vec array<float>")
+    at = spark.createDataFrame([(k, k % 12) for k in range(40)], "id int, position int")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = E.readout(E.colocated(residues, "id", "residues_in_buckets", 8), "id", "at_position", at)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in out._jdf.queryExecution().simpleString() + plan
+        assert {r.id: tuple(r.vec) for r in out.collect()} == {k: (k, k % 12) for k in range(40)}
+        plain = E.readout(residues, "id", "at_position", at)
+        assert plain._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.sql("drop table if exists residues_in_buckets")
