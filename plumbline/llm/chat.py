@@ -6,14 +6,15 @@ relabelled (RELABEL, or UNKNOWN if its role is none of the three) or preceded by
 turns may close it. Dynamic programming over the automaton's states finds the least cost; ties go to the earlier role
 in ROLES, and to a merge.
 
-Conversations are cut in blocks of ``BLOCK`` turn numbers, so that a long one is dealt to many tasks and is held by none.
+Turns are put in order in ranges of a written table and cut in blocks of ``BLOCK`` rows of it, so that a long conversation,
+also one whose turns share a number or have none, is dealt to many tasks and is held by none.
 The least costs from every state before a block to every state behind it depend on the block alone. A second step
 puts these small tables together, one row a block, and tells each block where its path enters and leaves; a third one
 works out the path within each block and renders it.
 
 Each turn yields one row whose ``piece``, joined in order of ``place``, is the rendered conversation. Turns are ordered by
-turn, role and text, nulls first. Null texts are empty, texts may be of any length; null roles are unknown; turns with a
-null conv_id form one conversation, turns with a null number are its first block; repeated rows are turns of their own.
+turn, role and a hash of the text, nulls first. Null texts are empty, texts may be of any length; null roles are unknown;
+turns with a null conv_id form one conversation, turns with a null number come first; repeated rows are turns of their own.
 An empty table gives no rows. Other columns are left behind, whatever their names.
 """
 
@@ -25,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.keys import global_rank
 from .common import small_batches, table
 
 ROLES = ("system", "user", "assistant")
@@ -210,15 +212,16 @@ def _formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def format_turns(conversations: DataFrame, block: int | None = None) -> DataFrame:
     """conv_id, turn, place, message, role, action, inserted (empty turns before it, or closing), cost (of the conversation, in its last row), piece."""
     turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    turns = turns.withColumn("block", F.floor(F.col("turn") / (block or BLOCK)).cast("long"))
+    ranked = global_rank(turns.withColumn("hash", F.xxhash64("text")), ["conv_id", "turn", "role", "hash"])
+    turns = ranked.withColumn("block", F.expr(f"rank div {block or BLOCK}"))
     small_batches(conversations.sparkSession)
-    roles = turns.select("conv_id", "block", "role", "turn").repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "turn", "role")
+    roles = turns.select("conv_id", "block", "role", "rank").repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "rank")
     costs = roles.select("conv_id", "block", "role").mapInArrow(_costs, "conv_id long, block long, n long, ways array<long>")
     plan_kind = "enter int, leave int, place long, message long, cost long"
     plans = costs.repartition("conv_id").sortWithinPartitions("conv_id", "block").mapInArrow(_plans, f"conv_id long, block long, {plan_kind}")
     fields = [f.split() for f in plan_kind.split(", ")]
-    both = turns.select("conv_id", "block", F.lit(True).alias("own"), "turn", "role", "text", *[F.lit(None).cast(t).alias(n) for n, t in fields]).unionByName(plans.withColumn("own", F.lit(False)), allowMissingColumns=True)
-    dealt = both.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "own", "turn", "role", "text")
+    both = turns.select("conv_id", "block", F.lit(True).alias("own"), "rank", "turn", "role", "text", *[F.lit(None).cast(t).alias(n) for n, t in fields]).unionByName(plans.withColumn("own", F.lit(False)), allowMissingColumns=True)
+    dealt = both.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "own", "rank")
     return dealt.mapInArrow(_formatted, "conv_id long, turn long, place long, message long, role string, action string, inserted int, cost long, piece string")
 
 

@@ -2,6 +2,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.llm import chat as C
 
@@ -96,3 +97,24 @@ def test_edges(spark):
     out = {r.conv_id: r for r in C.rendered(df).collect()}
     assert set(out) == {None, 1}
     assert out[1].rendered == "<|user|>\nx\nx<|end|>\n<|assistant|>\n<|end|>\n" and out[1].cost == 3
+
+
+def test_blocks_hold_few_rows_whatever_the_turn_numbers(spark, monkeypatch):
+    """Rows without a turn number, and a conversation whose turns share one, are cut like others: no block holds more than BLOCK rows."""
+    rows = [(1, None, "user", f"n{k}") for k in range(90)] + [(2, 5, ("user", "assistant")[k % 2], f"s{k}") for k in range(90)] + [(None, 1, "user", "x")] * 90
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    dealt = []
+    real = C.global_rank
+
+    def noted(frame, order, name="rank"):
+        out = real(frame, order, name)
+        dealt.append(out)
+        return out
+
+    monkeypatch.setattr(C, "global_rank", noted)
+    got = C.format_turns(df, 16).collect()
+    most = dealt[0].groupBy("conv_id", F.expr("rank div 16")).count().agg(F.max("count")).first()[0]
+    assert most <= 16 and len(got) == len(rows)
+    whole = C.format_turns(df, 1000).collect()
+    shown = lambda out: sorted(((r.conv_id or 0, r.place, r.piece, r.cost or 0) for r in out))
+    assert shown(got) == shown(whole)
