@@ -2,7 +2,7 @@
 
 A gear hash of the last ``SPAN`` bytes rolls over each text and cuts it where the hash meets a mask, so that a passage is
 cut alike wherever it stands and an insertion shifts no cut beyond its neighbourhood; where no hash meets it for long,
-the greatest hash cuts. Chunks are named by a 64-bit
+the greatest hash cuts. Cuts stand between characters. Chunks are named by a 64-bit
 digest. Spark counts the documents of each digest; of a digest that more than one document holds, the smallest doc_id
 keeps its text and the others repeat it. Neighbouring repeated chunks of a document form a passage, whichever document
 keeps each of them, where another document holds the two as neighbours, too; passages of at least ``PASSAGE`` bytes are
@@ -35,7 +35,8 @@ _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
 def cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, start and end of the chunks of each text of a batch: LEAST to MOST bytes, the last one may be shorter."""
+    """Row, start and end of the chunks of each text of a batch: LEAST to MOST bytes and what is left of a character, the last one may be shorter."""
+    within = ((data & 0xC0) == 0x80).tobytes()  # bytes that a character goes on with
     h = _GEAR[data]
     for k in range(SPAN_STEPS):
         add = h[: -(1 << k)] << np.uint64(1 << k)
@@ -56,6 +57,8 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
                 end = stop
             else:  # such as one word over and over: where the hash is greatest, wherever the text began
                 end = least + int(h[least - 1 : at + MOST].argmax())
+            while end < stop and within[end]:
+                end += 1
             rows.append(row)
             starts.append(at)
             ends.append(end)

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from plumbline.llm import substring_dedup as D
-from plumbline.llm.common import utf8
+from plumbline.llm.common import texts_of, utf8
 
 
 def prose(seed, n):
@@ -144,3 +144,26 @@ def test_repeated_rows_and_clashing_columns(spark):
 
 def test_empty(spark):
     assert D.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_cuts_stand_between_characters(spark):
+    """Text of several-byte letters: every chunk decodes, spans begin and end at characters, and no byte is lost where repeats go."""
+    rng = random.Random(12)
+    letters = "äöüßéñ漢字かな😀𝄞абв"
+    some = lambda n: "".join(rng.choice(letters) + (" " if rng.random() < 0.2 else "") for _ in range(n))
+    passage = some(400)
+    rows = [(1, some(90) + passage + some(80)), (2, some(50) + passage + some(120)), (3, some(300))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = dict(rows)
+    for r in D.chunks(texts_of(df)).collect():
+        texts[r.doc_id].encode()[r.start : r.stop].decode()
+    spans = [r for r in D.repeated_passages(df).collect()]
+    assert {r.doc_id for r in spans} == {1, 2}
+    gone = {d: [] for d in texts}
+    for r in spans:
+        texts[r.doc_id].encode()[r.start : r.stop].decode()
+        if not r.kept:
+            gone[r.doc_id].append((r.start, r.stop))
+    for r in D.without_repeats(df).collect():
+        raw = texts[r.doc_id].encode()
+        assert len(r.text.encode()) == len(raw) - sum(b - a for a, b in gone[r.doc_id])
