@@ -29,6 +29,7 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.layout import spread
 from .common import map_batches, table, texts_of
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -226,7 +227,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
         ids = pa.array([np.frombuffer(p, "<u4").astype(np.int32) for p in packed], pa.list_(pa.int32()))
         return pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array([tok.decode(p) for p in packed], pa.string())], names=["doc_id", "ids", "decoded"])
 
-    return map_batches(texts_of(docs), run, "doc_id long, ids array<int>, decoded string")
+    return map_batches(spread(texts_of(docs)), run, "doc_id long, ids array<int>, decoded string")
 
 
 def encode_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -247,7 +248,7 @@ def encode_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
             names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
         )
 
-    return map_batches(texts_of(docs), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(spread(texts_of(docs)), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
