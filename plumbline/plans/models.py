@@ -520,8 +520,8 @@ SQL = {
     "e8_fingerprint": """WITH h AS (SELECT md5(doc_id || chr(31) || coalesce(lang, chr(0)) || chr(31) || n_chars) AS h FROM documents),
       b AS (SELECT ('0x' || substr(h, 1, 4))::INT % 256 AS b, count(*) AS n, sum(('0x' || substr(h, 1, 8))::BIGINT)::BIGINT AS a0, sum(('0x' || substr(h, 9, 8))::BIGINT)::BIGINT AS a1, sum(('0x' || substr(h, 17, 8))::BIGINT)::BIGINT AS a2, sum(('0x' || substr(h, 25, 8))::BIGINT)::BIGINT AS a3 FROM h GROUP BY 1)
       SELECT sum(n)::BIGINT AS n, sha256(array_to_string(list_sort(list(lpad(b::VARCHAR, 5, '0') || ':' || n || ':' || a0 || ':' || a1 || ':' || a2 || ':' || a3)), ',')) AS fingerprint FROM b""",
-    "e9_finite_gate": "SELECT 'finite' AS rule, count(*) FILTER (vec_id % 50 = 0) AS n_bad FROM embeddings",
-    "f9_assembled": "SELECT vec_id, 68 AS width, embedding[1]::DOUBLE AS fifth FROM embeddings",
+    "e9_finite_gate": "WITH v AS (SELECT CASE WHEN vec_id % 50 = 0 THEN list_transform(embedding, lambda x: 'nan'::FLOAT) ELSE embedding END AS v FROM embeddings) SELECT 'finite' AS rule, count(*) FILTER (len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) > 0) AS n_bad FROM v",
+    "f9_assembled": "WITH w AS (SELECT vec_id, list_concat(embedding[1:4], embedding) AS w FROM embeddings) SELECT vec_id, len(w)::INT AS width, w[5]::DOUBLE AS fifth FROM w",
     "m3_site_profile": _PROFILE + "SELECT position, token, n, round(logp, 9) AS logp FROM p",
     "m2_log_softmax": "WITH l AS (SELECT user_id, event_type, sum(round(value * 100)::BIGINT) / 10000 AS x FROM events GROUP BY ALL), m AS (SELECT *, max(x) OVER (PARTITION BY user_id) AS m FROM l) SELECT user_id, event_type, round(x - m - ln(sum(exp(x - m)) OVER (PARTITION BY user_id)), 9) AS logp FROM m",
     "m1_masked_marginals": _PROFILE + "SELECT event_id, round(v.logp - w.logp + c.logp - e.logp, 9) AS score FROM events x JOIN p v ON v.position = user_id AND v.token = 'view' JOIN p w ON w.position = user_id AND w.token = event_type JOIN p c ON c.position = user_id AND c.token = 'click' JOIN p e ON e.position = user_id AND e.token = 'error'",

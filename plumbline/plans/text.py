@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import BOOKKEEPING, BREAK, DOT, clean_annotation, holds_private, joined_fields, normalised, random_dropped, sentences
+from ..functions.text import BOOKKEEPING, BREAK, DOT, SEMICOLON, clean_annotation, holds_private, joined_fields, normalised, random_dropped, sentences
 from ..operators import ablation as A
 from ..operators.phrases import ablate_by_index
 
@@ -194,7 +194,7 @@ SQL = {
       SELECT 'raw' AS variant, -1 AS seed, count(*) AS n, sum(length(text))::BIGINT AS characters FROM r UNION ALL SELECT 'cleaned', -1, count(*), sum(length(cleaned))::BIGINT FROM r
       UNION ALL SELECT 'ablated', -1, count(*), sum(length(array_to_string(kept, ' ')))::BIGINT FROM r UNION ALL SELECT 'random', seed, (SELECT count(*) FROM r), sum(coalesce(length(t), 0))::BIGINT FROM y GROUP BY seed""",
     "t7_invariant": _BASE + "SELECT count(*) FILTER (len(removed) = 0 AND array_to_string(kept, ' ') <> array_to_string(sents, ' ')) AS n_bad FROM r",
-    "t3_private_points": "SELECT doc_id, doc_id % 50 = 0 AND text IS NOT NULL AS private FROM documents",
+    "t3_private_points": f"SELECT doc_id, coalesce(regexp_matches(t, '[' || {_DOT} || chr({ord(SEMICOLON)}) || {_BREAK} || ']'), false) AS private FROM (SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN text || {_DOT} ELSE text END AS t FROM documents)",
     "t8_lexicon": "WITH m AS (" + _sql_mentions("documents", "text", [*LEXICON.terms, *LEXICON.exclusions, *LEXICON.sentinels]) + "), e AS (" + " UNION ALL ".join(
         f"SELECT '{LEXICON.version}' AS version, '{g}' AS \"group\", '{t}' AS term, '{k}' AS kind" for g, t, k in [*((g, t, "term") for g, ts in LEXICON.groups.items() for t in ts), *(("", t, "exclusion") for t in LEXICON.exclusions), *(("", t, "sentinel") for t in LEXICON.sentinels)]
     ) + ") SELECT version, \"group\", term, kind, n FROM e JOIN m USING (term)",
