@@ -470,5 +470,13 @@ def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+#: What the pages of the driver's tables say themselves: their article stands between its tags, as headings and paragraphs.
+OP13_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '</?b>', '', 'g') AS h FROM pages),
+b AS (SELECT page_id, url, list_transform(regexp_split_to_array(h, '</?(?:p|h1|br)>'), lambda x: regexp_replace(replace(replace(regexp_replace(x, '&quot;?', '"', 'g'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g')) AS bs FROM a),
+t AS (SELECT page_id, url, array_to_string(list_filter(list_transform(bs, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), ' ') AS text FROM b)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM t
+"""
+
 QUERIES = {"op13_main_text": op13_main_text}
-SQL: dict[str, str] = {}
+SQL = {"op13_main_text": OP13_SQL}

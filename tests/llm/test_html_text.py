@@ -120,3 +120,12 @@ def test_counts_of_labelled_pages_are_summed():
     rows = H._counted(batch).to_pylist()
     assert sum(r["n"] for r in rows if r["main"] and not r["features"].startswith("\x1e")) == 2
     assert {r["features"][1:] for r in rows if r["features"].startswith("\x1e")} == {"p", "div"}
+
+
+def test_query_is_its_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{sf}/pages.parquet'")
+    assert sorted(map(tuple, H.op13_main_text(spark, sf).collect())) == sorted(con.execute(H.OP13_SQL).fetchall())
