@@ -6,6 +6,12 @@ from pyspark.sql import DataFrame
 
 #: Bytes of input for each core below which a table's few files would leave cores idle.
 IDLE = 8 << 20
+#: Bytes of input for each task of work on texts, which takes seconds a megabyte.
+PIECE, MOST_PIECES = 8 << 20, 1 << 14
+
+
+def _size(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -14,5 +20,15 @@ def spread(df: DataFrame) -> DataFrame:
     Work on texts is worth this shuffle only while the texts are few; larger inputs have enough splits of their own.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < IDLE * cores else df
+    return df.repartition(cores) if _size(df) < IDLE * cores else df
+
+
+def in_pieces(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores, and over more tasks where its input is larger than PIECE for each core.
+
+    For work that costs far more than this shuffle: how long a task takes then depends neither on the size of the input
+    nor on how its files are split. Inputs of unknown size, which is taken for a huge one, stay as they are; inputs above
+    MOST_PIECES have larger pieces.
+    """
+    cores, size = df.sparkSession.sparkContext.defaultParallelism, _size(df)
+    return df if size > 1 << 50 else df.repartition(max(cores, min(MOST_PIECES, -(-size // PIECE))))

@@ -4,21 +4,28 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What the annotation text carries besides prose, in the order in which it is taken out.
 BOOKKEEPING = (r"\{ECO:[^}]*\}", r"\([^()]*(?:PubMed:|ECO:|Ref\.)[^()]*\)", r"\((?:By similarity|Probable|Potential)\)", r"(?U)FUNCTION:\s*")
+#: What a match of each of them holds, one or the other.
+BOOKKEEPING_HOLDS = dict(zip(BOOKKEEPING, (("{ECO:",), ("PubMed:", "ECO:", "Ref."), ("(By similarity)", "(Probable)", "(Potential)"), ("FUNCTION:",)), strict=True))
 #: Periods that end no sentence.
 ABBREVIATIONS = ("e.g.", "i.e.", "spp.", "sp.", "cf.", "approx.", "vs.", "etc.")
+#: White space as ``(?U)\\s`` has it: the inside of a class, which is matched faster, and the characters.
+_SPACES = r"\t-\r \x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SPACE_CHARS = "".join(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Own code points of the private area that stand for protected marks and for breaks.
 DOT, SEMICOLON, BREAK = "\uf4d1", "\uf4d2", "\uf4d3"
 
 
 def holds_private(text: Column) -> Column:
     """Whether a text holds one of the code points that stand for protected marks and breaks."""
-    return text.rlike(f"[{DOT}{SEMICOLON}{BREAK}]")
+    return text.contains(DOT) | text.contains(SEMICOLON) | text.contains(BREAK)
 
 
 def guarded(text: Column) -> Column:
@@ -28,7 +35,9 @@ def guarded(text: Column) -> Column:
 
 def normalised(text: Column) -> Column:
     """Null as empty, runs of white space as one space, no white space at the ends."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
+    # plain characters are passed over at the first look, and most spaces stand alone
+    spaced = F.regexp_replace(F.coalesce(text, F.lit("")), f"[^ -~](?<=[{_SPACES}])", " ")
+    return F.trim(F.regexp_replace(spaced, "  ++", " "))
 
 
 def joined_fields(*fields: Column) -> Column:
@@ -36,14 +45,22 @@ def joined_fields(*fields: Column) -> Column:
     return F.btrim(F.concat_ws("; ", *[F.coalesce(f, F.lit("")) for f in fields]), F.lit("; "))
 
 
+def _without(text: Column, pattern: str) -> Column:
+    """``text`` without the matches of ``pattern``; a text that holds none of the literals that a match must hold is not searched."""
+    if not (held := BOOKKEEPING_HOLDS.get(pattern)):
+        return F.regexp_replace(text, pattern, "")
+    any_ = lambda t: reduce(or_, [t.contains(h) for h in held])
+    return let(text, lambda t: F.when(any_(t), F.regexp_replace(t, pattern, "")).otherwise(t))
+
+
 def clean_annotation(text: Column, patterns: Sequence[str] = BOOKKEEPING) -> Column:
     """Without bookkeeping, and without the marks and spaces that taking it out leaves behind."""
     out = F.coalesce(text, F.lit(""))
     for pattern in patterns:
-        out = F.regexp_replace(out, pattern, "")
+        out = _without(out, pattern)
     # a gap before a mark goes, as do brackets around nothing; of a row of full stops and semicolons the first stays
-    out = F.regexp_replace(normalised(out), r" (?=[.;,:])|\( ?\)", "")
-    out = F.regexp_replace(out, r"(?<=[.;])[.;]+", "")
+    out = F.regexp_replace(normalised(out), r"[ (](?:(?<= )(?=[.;,:])|(?<=\() ?\))", "")
+    out = F.regexp_replace(out, r"[.;](?<=[.;]{2})[.;]*+", "")
     return F.rtrim(F.ltrim(out, F.lit(".;,: ")))
 
 
@@ -70,23 +87,25 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
 
 
 def _protected(text: Column) -> Column:
-    out = text
-    for a in ABBREVIATIONS:
-        # the letters stay as they are written, only the dots are protected
-        parts = [p for p in a.split(".") if p]
-        pattern = r"(?iU)(?<!\w)" + r"\.".join(f"({re.escape(p)})" for p in parts) + r"\."
-        out = F.regexp_replace(out, pattern, "".join(f"${i + 1}{DOT}" for i in range(len(parts))))
-    any_ = "(?i)(?:" + "|".join(re.escape(a) for a in ABBREVIATIONS) + ")"
-    out = F.when(text.rlike(any_), out).otherwise(text)
-    out = F.regexp_replace(out, r"(?U)([A-Z])(?<=\b[A-Z])\.(?=\s+[a-z])", f"$1{DOT}")
-    return F.regexp_replace(out, r"(?U)\.(?<=\d\.)(?=\d)", DOT)
+    """Periods of abbreviations, initials and numbers protected, in one search for periods; what stands around them decides."""
+    single = "|".join(re.escape(a[:-1]) for a in ABBREVIATIONS if a.count(".") == 1)
+    around = [
+        rf"(?<=(?<!\w)(?i:{single})\.)",
+        # of ``i.e.g.`` the last two letters are one
+        r"(?<=(?<!\w)(?i:e)\.)(?=(?i:g)\.)", r"(?<=(?<!\w)(?i:e\.g)\.)",
+        r"(?<=(?<!\w)(?i:i)\.)(?=(?i:e)\.(?!(?i:g)\.))", r"(?<=(?<!\w)(?i:i\.e)\.)(?!(?i:g)\.)",
+        r"(?<=\b[A-Z]\.)(?=\s+[a-z])", r"(?<=\d\.)(?=\d)",
+    ]
+    return F.regexp_replace(text, rf"(?U)\.(?:{'|'.join(around)})", DOT)
 
 
 def sentences(text: Column) -> Column:
     """Sentences of a text: split at white space behind ``.`` or ``;``, but not behind abbreviations, initials or within brackets."""
 
     def parts(masked: Column) -> Column:
-        restored = F.transform(F.split(F.regexp_replace(masked, r"(?U)([.;])\s+", f"$1{BREAK}"), BREAK), lambda p: F.regexp_replace(F.translate(p, DOT + SEMICOLON, ".;"), r"(?U)^\s+|\s+$", ""))
+        # white space is left at the ends of the text only
+        broken = F.btrim(F.regexp_replace(masked, rf"([.;])[{_SPACES}]+", f"$1{BREAK}"), F.lit(_SPACE_CHARS))
+        restored = F.split(F.replace(F.replace(broken, F.lit(DOT), F.lit(".")), F.lit(SEMICOLON), F.lit(";")), BREAK)
         return F.filter(restored, lambda s: F.btrim(s, F.lit(" .;,:")) != "")
 
     return let(F.coalesce(text, F.lit("")), lambda t: let(_protected(guarded(t)), lambda m: parts(_within_brackets(m))))
@@ -98,32 +117,41 @@ def term_pattern(terms: Sequence[str]) -> str:
         raise ValueError("terms must be given and none may be blank")
     # in falling order a term stands before those that it begins with
     listed = [re.escape(t) for t in sorted(set(terms), key=str.lower, reverse=True)]
-    # the class of first letters spares most places the look behind
-    first = "".join(sorted({re.escape(t[0].lower()) for t in terms}))
-    return f"(?iU)(?=[{first}])(?<!\\w)({'|'.join(listed)})s?(?!\\w)"
+    # the class of first letters, and of what may be one in another case, and plain letters before it spare most places the costly look behind
+    first = "".join(sorted({re.escape(c) for t in terms for c in (t[0].lower(), t[0].upper()) if len(c) == 1 and c < "\x80"}))
+    return f"(?U)(?=[{first}\\x80-\\x{{10FFFF}}])(?<![A-Za-z0-9_])(?<!\\w)(?i:({'|'.join(listed)})s?)(?!\\w)"
 
 
 def matched_terms(parts: Column, terms: Sequence[str], exclusions: Sequence[str] = ()) -> Column:
     """The sorted distinct terms, as listed in lower case, that sentences match once exclusions are blanked out."""
-    pattern = term_pattern(terms)
-    found = F.flatten(F.transform(parts, lambda s: F.regexp_extract_all(_blanked(s, exclusions), F.lit(pattern), 1)))
-    return F.array_sort(F.array_distinct(F.transform(found, F.lower)))
+    return _distinct_terms(F.flatten(F.transform(parts, lambda s: _found(s, terms, exclusions))))
+
+
+def _distinct_terms(found: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.transform(F.array_distinct(found), F.lower)))
 
 
-def _blanked(sentence: Column, exclusions: Sequence[str]) -> Column:
-    return F.regexp_replace(sentence, term_pattern(exclusions), " ") if exclusions else sentence
+def _found(sentence: Column, terms: Sequence[str], exclusions: Sequence[str]) -> Column:
+    """What matches a term in a sentence once exclusions are blanked out. If blanking can make no match, only a sentence with one is blanked."""
+    plain, pattern = F.regexp_extract_all(sentence, F.lit(term_pattern(terms)), 1), F.lit(term_pattern(terms))
+    if not exclusions:
+        return plain
+    blanked = F.regexp_extract_all(F.regexp_replace(sentence, term_pattern(exclusions), " "), pattern, 1)
+    bounded = all(re.fullmatch(r"\w(.*\w)?", x) for x in (*terms, *exclusions)) and not any(re.search(r"\W\W", t) for t in terms)
+    return let(plain, lambda found: F.when(F.size(found) == 0, found).otherwise(blanked)) if bounded else blanked
 
 
 def ablated(parts: Column, terms: Sequence[str], exclusions: Sequence[str] = ()) -> Column:
     """struct(sentences, kept, removed, matched_terms, characters_before, characters_after) of an array of sentences."""
-    of = lambda hits, hit: F.transform(F.filter(hits, lambda x: x["hit"] if hit else ~x["hit"]), lambda x: x["s"])
+    of = lambda hits, hit: F.transform(F.filter(hits, lambda x: (F.size(x["found"]) > 0) == F.lit(hit)), lambda x: x["s"])
     size = lambda c: F.aggregate(c, F.lit(0), lambda n, s: n + F.length(s))
 
-    def whole(sents: Column, kept: Column, removed: Column) -> Column:
-        return F.struct(sents.alias("sentences"), kept.alias("kept"), removed.alias("removed"), matched_terms(removed, terms, exclusions).alias("matched_terms"), size(sents).alias("characters_before"), size(kept).alias("characters_after"))
+    def whole(hits: Column, kept: Column) -> Column:
+        found = _distinct_terms(F.flatten(F.transform(hits, lambda x: x["found"])))
+        return F.struct(F.transform(hits, lambda x: x["s"]).alias("sentences"), kept.alias("kept"), of(hits, True).alias("removed"), found.alias("matched_terms"), size(F.transform(hits, lambda x: x["s"])).alias("characters_before"), size(kept).alias("characters_after"))
 
-    hits = lambda sents: F.transform(sents, lambda s: F.struct(s.alias("s"), _blanked(s, exclusions).rlike(term_pattern(terms)).alias("hit")))
-    return let(parts, lambda sents: let(hits(sents), lambda h: let(of(h, False), lambda kept: let(of(h, True), lambda removed: whole(sents, kept, removed)))))
+    hits = F.transform(parts, lambda s: F.struct(s.alias("s"), _found(s, terms, exclusions).alias("found")))
+    return let(hits, lambda h: let(of(h, False), lambda kept: whole(h, kept)))
 
 
 def random_dropped(parts: Column, key: Column, seed: Column, count: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import quantiles
-from ..functions.layout import spread
+from ..functions.layout import in_pieces
 from ..functions.shared import cut
 from ..functions.text import ablated, clean_annotation, random_dropped, sentences, term_pattern
 from .gates import GateError
@@ -44,8 +44,8 @@ class Lexicon:
 
 
 def ablate(df: DataFrame, text: str, lexicon: Lexicon, clean: bool = True) -> DataFrame:
-    """``df`` with cleaned, sentences, kept, removed, matched_terms, characters_before, characters_after: narrow projections, behind a :func:`spread` of small inputs."""
-    cleaned = spread(df).withColumn("cleaned", clean_annotation(F.col(text)) if clean else F.coalesce(F.col(text), F.lit("")))
+    """``df`` with cleaned, sentences, kept, removed, matched_terms, characters_before, characters_after: narrow projections, behind :func:`in_pieces`."""
+    cleaned = in_pieces(df).withColumn("cleaned", clean_annotation(F.col(text)) if clean else F.coalesce(F.col(text), F.lit("")))
     # a generator, as the optimizer would work out a plain struct anew for each of its fields
     return cleaned.select(*cleaned.columns, F.inline(F.array(ablated(sentences(F.col("cleaned")), lexicon.terms, lexicon.exclusions))))
 
@@ -97,7 +97,7 @@ def term_mentions(df: DataFrame, text: Column, terms: Sequence[str]) -> DataFram
     phrases = [t for t in terms if not re.fullmatch(r"\w+", t)]
     words = F.array_intersect(F.split(F.lower("_t"), r"(?U)\W+"), F.array(*[F.lit(f) for f, _ in forms])) if forms else F.array().cast("array<string>")
     said = [F.when(F.col("_t").rlike(term_pattern([t])), F.lit(t)) for t in phrases]
-    held = spread(df).select(text.alias("_t")).select(words.alias("words"), F.array_compact(F.array(*said)).cast("array<string>").alias("phrases"))
+    held = in_pieces(df).select(text.alias("_t")).select(words.alias("words"), F.array_compact(F.array(*said)).cast("array<string>").alias("phrases"))
     ones = [F.when(F.arrays_overlap("words", F.array(*[F.lit(f) for f, of in forms if of == t])), F.lit(t)) for t in dict.fromkeys(of for _, of in forms)]
     found = held.where((F.size("words") > 0) | (F.size("phrases") > 0)).select(F.explode(F.concat("phrases", F.array_compact(F.array(*ones)).cast("array<string>"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     listed = df.sparkSession.createDataFrame([(t,) for t in dict.fromkeys(terms)], "term string")

@@ -113,3 +113,22 @@ def test_summary_and_zero_terms(spark):
     assert {x.term: x.n for x in A.term_mentions(df, F.col("t"), ["alpha", "gamma"]).collect()} == {"alpha": 2, "gamma": 0}
     assert A.untouched_faults(out).count() == 0
     assert {x["kind"] for x in lexicon.frame(spark).collect()} == {"term"}
+
+
+def test_large_inputs_are_worked_on_in_pieces(spark, tmp_path, monkeypatch):
+    """A file that is one split becomes as many tasks as its size asks for, and every row stays."""
+    from plumbline.functions import layout
+
+    monkeypatch.setattr(layout, "PIECE", 2000)
+    spark.range(3000).selectExpr("id", "concat('It came from ', md5(string(id)), '. Then it left.') as text").coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    done = A.ablate(df, "text", A.Lexicon("1", {"g": ("from",)}))
+    assert done.rdd.getNumPartitions() >= 20 and df.rdd.getNumPartitions() < 5
+    assert done.agg(F.count_distinct("id"), F.sum(F.size("removed")), F.sum(F.size("kept"))).first()[:] == (3000, 3000, 3000)
+
+
+def test_neighbouring_marks(spark):
+    """Abbreviations that share letters, white space of all kinds, terms that an exclusion leaves."""
+    text = "As i.e.g. and I.E. so　 on\x85\n( ) end .. Sp. One. B. c 1.5; x"
+    row = spark.createDataFrame([(text,)], "text string").select(X.sentences(X.clean_annotation(F.col("text"))).alias("s"), X.matched_terms(F.array(F.lit("The cell-pore Cells"), F.lit("pore forming")), ("cell", "pore"), ("pore forming",)).alias("m")).first()
+    assert row.s == ["As i.e.g. and I.E. so on  end.", "Sp. One.", "B. c 1.5;", "x"] and row.m == ["cell", "pore"]
