@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of input for each core below which a table's few files would leave cores idle.
 IDLE = 8 << 20
 #: Bytes of input for each task of work on texts, which takes seconds a megabyte.
 PIECE, MOST_PIECES = 8 << 20, 1 << 14
+#: What one Arrow batch holds at most.
+BATCH_ROWS, BATCH_BYTES = 20_000, 2 << 20
 
 
 def _size(df: DataFrame) -> int:
@@ -32,3 +34,12 @@ def in_pieces(df: DataFrame) -> DataFrame:
     """
     cores, size = df.sparkSession.sparkContext.defaultParallelism, _size(df)
     return df if size > 1 << 50 else df.repartition(max(cores, min(MOST_PIECES, -(-size // PIECE))))
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what one Arrow batch holds: very long texts stand beside short ones.
+
+    The settings are read when a plan is run, which is after the operator has returned, so that they stay set in the session.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

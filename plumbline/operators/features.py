@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import global_rank
+from ..functions.layout import small_batches
 from .gates import GateError
 
 READOUTS = ("mean", "at_position", "difference_at_position")
@@ -28,9 +29,11 @@ def hashed_text_features(df: DataFrame, key: str, text: str, width: int = 256) -
 def encoded(df: DataFrame, key: str, text: str, encoder: Callable[[], Callable[[list[str]], list[list[float]]]], width: int, batch: int = 8, limit: int | None = None) -> DataFrame:
     """key, vec by a user's encoder, made once a task; texts stand in partitions by length, longest first, so batches pad little.
 
+    A worker holds one small Arrow batch at a time, however long the longest texts are, which stand together here.
     Blank texts are zero vectors. A vector that is not finite or not ``width`` long is an error.
     """
     kind = dict(df.dtypes)[key]
+    small_batches(df.sparkSession)
     cut_ = F.substring(F.coalesce(F.col(text), F.lit("")), 1, limit or 2**31 - 1)
     dealt = df.select(F.col(key), cut_.alias("_t"), F.length(cut_).alias("_n")).repartitionByRange(F.col("_n").desc(), F.col(key)).sortWithinPartitions(F.col("_n").desc(), key)
 
