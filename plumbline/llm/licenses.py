@@ -2,13 +2,13 @@
 
 A paragraph ends at a blank line, or at a line end behind ``.``, ``!`` or ``?``; wrapped lines are one paragraph. Features
 are word n-grams (one to three words, with marks for the paragraph's ends) of the licence templates. Those that hold no
-uncommon word are left out, unless they are a whole paragraph; what is common is seen in ``SAMPLE`` documents. Each
+uncommon word are left out, unless they are a whole paragraph; what is common is counted over all paragraphs. Each
 feature has a cue, its least common word: a paragraph without any cue holds no feature at all, and is certainly unknown.
 
 A multinomial logistic regression over these sparse features is fitted on the templates, on variants of them within
-other words, and, as the class ``unknown``, on bare words of the templates and on at most ``SAMPLE`` corpus paragraphs
-that hold nothing that is one family's own. The least chance at which a family counts is calibrated on another part of
-these. A prediction is confirmed if the paragraph holds ``CONFIRM`` of a template of the family, and at least as many
+other words, and, as the class ``unknown``, on bare words of the templates and on all corpus paragraphs that hold a
+feature but nothing that is one family's own, a fifth of them by hash left out; together they weigh ``CORPUS_WEIGHT`` at
+most. The least chance at which a family counts is calibrated on that fifth. A prediction is confirmed if the paragraph holds ``CONFIRM`` of a template of the family, and at least as many
 n-grams of its own (which no other family's templates have) as of any other family or of the decoys.
 
 A paragraph that names licences by choice (``MIT OR Apache-2.0``, "dual licensed") is one paragraph for each of them, with
@@ -31,6 +31,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.keys import running_total
 from .common import cut, table
 
 #: What licences call themselves, by family.
@@ -108,7 +109,7 @@ DECOYS = (
 _DENIED = r"(?iU)\b(?:not|never|nicht|pas|no longer)\b[^.;]{0,40}\b(?:licen[sc]ed|released|distributed|published|lizenziert|veröffentlicht|publié)\b"
 _CHOICE, _PARTED = r"(?i)SPDX-License-Identifier:\s*\(?[A-Za-z0-9.+-]+\s+(?:OR|AND)\s", r"(?i)^[^\p{L}]*SPDX-License-Identifier:\s*\(?|\)?\s+(?:OR|AND)\s+\(?|\)\s*$"
 _DUAL, _DUAL_PARTED = r"(?i)\bdual(?:ly)?[- ]licen[sc]ed\b", r"(?i)\s+(?:or|and)\s+(?:under\s+)?(?:the\s+)?"
-SAMPLE = 4000
+CORPUS_WEIGHT = 1600.0
 COMMON = 0.02
 LEAST_CHANCE, FALSE_SHARE = 0.5, 0.001
 CONFIRM = 0.5
@@ -167,7 +168,7 @@ class Vocabulary:
 
 
 def split_paragraphs(text: Column) -> Column:
-    return F.split(text, r"\n\s*\n|(?<=[.!?][\"')\]]{0,2})[ \t\r]*\n")
+    return F.when(text.contains("\n"), F.split(text, r"\n\s*\n|(?<=[.!?][\"')\]]{0,2})[ \t\r]*\n")).when(text.isNotNull(), F.array(text))
 
 
 def choices(text: Column) -> Column:
@@ -177,22 +178,17 @@ def choices(text: Column) -> Column:
     return F.when(text.rlike(_CHOICE), parts).when(text.rlike(_DUAL), dual).otherwise(F.array(text))
 
 
-def _some(rows: DataFrame, hashed: list[str], most: int) -> DataFrame:
-    """The ``most`` rows with the least hash of the columns ``hashed``, which tell rows apart: few more than these are sorted."""
-    share = min(1.0, 2 * most / max(1, rows.count()))
-    h = F.xxhash64(*hashed)
-    return rows.where(F.pmod(h, F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(F.pmod(h, F.lit(1 << 30)), h).limit(most)
-
-
 def vocabulary(documents: DataFrame) -> Vocabulary:
-    """The features that the templates offer, less those that hold no uncommon word, as seen in SAMPLE documents where no phrase of one family stands."""
-    sample = _some(documents.where(F.col("text").isNotNull()).select("doc_id", "text"), ["text", "doc_id"], SAMPLE)
-    words = sample.select(F.explode(split_paragraphs(F.col("text"))).alias("paragraph")).select(_words(F.col("paragraph")).alias("words")).where("size(words) > 0")
+    """The features that the templates offer, less those that hold no uncommon word, as counted in all paragraphs where no phrase of one family stands."""
+    words = documents.select(F.explode(split_paragraphs(F.col("text"))).alias("paragraph")).select(F.explode(F.array(_words(F.col("paragraph")))).alias("words")).where("size(words) > 0")
     phrases = sorted({g for f, grams in own_ngrams().items() if f != UNKNOWN for g in grams if " " in g and _HEAD not in g and _TAIL not in g})
-    words = words.where(~F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).rlike(f" {any_of(phrases)} "))
     own = sorted({w for texts in (*TEMPLATES.values(), DECOYS) for t in texts for w in plain_words(t)})
     known = ", ".join(f"'{w}'" for w in own)
-    counts = words.select(F.explode(F.expr(f"concat(array(''), array_distinct(filter(words, w -> w in ({known}))))")).alias("word")).groupBy("word").count().collect()  # words of the templates
+    # a paragraph without the longest word of any phrase holds none, and is not searched
+    longest = ", ".join(f"'{w}'" for w in sorted({max(g.split(" "), key=len) for g in phrases}))
+    held = words.select("words", F.explode(F.expr(f"array(array_distinct(filter(words, w -> w in ({known}))))")).alias("held"))
+    free = held.where(~F.expr(f"exists(held, w -> w in ({longest}))") | ~F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).rlike(f" {any_of(phrases)} "))
+    counts = free.select(F.explode(F.concat(F.array(F.lit("")), "held")).alias("word")).groupBy("word").count().collect()  # words of the templates
     n = Counter({r["word"]: r["count"] for r in counts})
     common = {w for w in own if n[w] > COMMON * max(1, n[""])}
     ngrams, cues, alone = [], set(), set()
@@ -243,23 +239,37 @@ def _made(v: Vocabulary) -> list[tuple[float, list[str]]]:
     return out
 
 
+def _weighted_quantile(values: DataFrame, share: float) -> float | None:
+    """The quantile of the values ``p``, each of which counts ``n`` times, linear between neighbours; none without values."""
+    upto = cut(running_total(values.groupBy("p").agg(F.sum("n").alias("n")), ["p"], "n", "upto"), "chances")
+    place = share * ((upto.agg(F.max("upto")).first()[0] or 0) - 1)
+    if place < 0:
+        return None
+    low = int(place)
+    at = lambda k: F.min(F.when(F.col("upto") > k, F.col("p")))
+    below, above = upto.agg(at(low), at(low + 1)).first()
+    return below if above is None else below + (above - below) * (place - low)
+
+
 def fit(found: DataFrame, v: Vocabulary) -> tuple[CountVectorizerModel, LogisticRegressionModel, float]:
-    """The counts of features, the classifier and the least chance, from templates and a bounded sample of paragraphs."""
+    """The counts of features, the classifier and the least chance, from templates and all paragraphs that hold nothing of one family's own."""
     spark = found.sparkSession
     own = sorted({g for f, grams in own_ngrams().items() if f != UNKNOWN for g in grams} & set(v.ngrams))
     holds = spark.createDataFrame([(own,)], "own array<string>")
-    other = _some(found.crossJoin(F.broadcast(holds)).where("not arrays_overlap(grams, own)"), ["text", "doc_id", "paragraph"], SAMPLE)
-    other = cut(other.select("grams", (F.pmod(F.xxhash64("text"), F.lit(5)) == 0).alias("held")), "sample")
+    other = found.crossJoin(F.broadcast(holds)).where("not arrays_overlap(grams, own)").select(F.array_sort("grams").alias("grams"), (F.pmod(F.xxhash64("text"), F.lit(5)) == 0).alias("held"))
+    # paragraphs with the same features are one row with their number
+    other = cut(other.groupBy("grams", "held").agg(F.count("*").alias("n")), "others")
+    seen = other.where("not held").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    each = min(0.5, CORPUS_WEIGHT / max(1, seen))
     # a bare word of a template says nothing, unless it is the paragraph
-    bare = spark.createDataFrame([([g],) for g in v.ngrams if " " not in g], "grams array<string>")
-    negative = other.where("not held").select("grams").unionByName(bare).select(F.lit(0.0).alias("label"), "grams")
-    training = spark.createDataFrame(_made(v), "label double, grams array<string>").unionByName(negative).coalesce(2).cache()  # SAMPLE rows and the templates
+    bare = spark.createDataFrame([(0.0, [g], 0.5) for g in v.ngrams if " " not in g], "label double, grams array<string>, weight double")
+    made = spark.createDataFrame([(k, grams, 1.0 if k else 0.5) for k, grams in _made(v)], bare.schema)
+    training = cut(made.unionByName(bare).coalesce(2).unionByName(other.where("not held").select(F.lit(0.0).alias("label"), "grams", (F.col("n") * each).alias("weight"))), "training")
     counts = CountVectorizerModel.from_vocabulary(list(v.ngrams), inputCol="grams", outputCol="features")
     counts.setBinary(True)
-    model = LogisticRegression(maxIter=60, regParam=0.002, family="multinomial", weightCol="weight").fit(counts.transform(training).withColumn("weight", F.when(F.col("label") > 0, 1.0).otherwise(0.5)))
-    most = model.transform(counts.transform(other.where("held"))).select(F.array_max(F.slice(vector_to_array("probability"), 2, len(TEMPLATES))).alias("p"))
-    reached = most.agg(F.expr(f"percentile(p, {1 - FALSE_SHARE})")).first()[0]
-    training.unpersist()
+    model = LogisticRegression(maxIter=60, regParam=0.002, family="multinomial", weightCol="weight").fit(counts.transform(training))
+    most = model.transform(counts.transform(other.where("held"))).select("n", F.array_max(F.slice(vector_to_array("probability"), 2, len(TEMPLATES))).alias("p"))
+    reached = _weighted_quantile(most, 1 - FALSE_SHARE)
     return counts, model, max(LEAST_CHANCE, min(0.95, reached or 0.0))
 
 

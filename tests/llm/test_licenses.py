@@ -1,6 +1,8 @@
 import math
 import re
 
+from pyspark.sql import functions as F
+
 from plumbline.llm import licenses as L
 from plumbline.llm.licenses import license_paragraphs
 
@@ -124,3 +126,23 @@ def test_a_corpus_full_of_licence_words(spark):
     lines = [(0, "Licensed under the Apache License, Version 2.0.", 0), (1, "Released under the MIT License.", 0), (2, "SPDX-License-Identifier: GPL-3.0-only", 0)]
     out = license_paragraphs(spark.createDataFrame(lines + talk, "doc_id long, text string, paragraph int")).where("confirmed").collect()
     assert {r.doc_id: r.family for r in out} == {0: "apache", 1: "mit", 2: "gpl"}
+
+
+def test_counts_and_fit_see_every_document(spark):
+    """More documents than any bounded look would take: counts, training and threshold hold all of them."""
+    said = F.when(F.col("id") % 30 == 7, F.lit(". A notice was hung.")).otherwise(F.lit("."))
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.concat(F.lit("A permission was asked, row "), F.col("id").cast("string"), said).alias("text"))
+    few = docs.where("doc_id % 30 <> 7 or doc_id < 5340")  # 178 of 8,878 paragraphs, one more than the share COMMON
+    fewer = few.where("doc_id <> 7")
+    assert "notice" not in L.vocabulary(few).cues and "notice" in L.vocabulary(fewer).cues
+
+
+def test_weighted_quantile(spark):
+    import numpy as np
+
+    values = [(0.1, 3), (0.5, 1), (0.2, 4), (0.5, 2), (0.9, 1)]
+    df = spark.createDataFrame(values, "p double, n long")
+    flat = [p for p, n in values for _ in range(n)]
+    for share in (0.0, 0.3, 0.73, 0.95, 1.0):
+        assert abs(L._weighted_quantile(df, share) - np.quantile(flat, share)) < 1e-12
+    assert L._weighted_quantile(df.limit(0), 0.9) is None
