@@ -14,11 +14,14 @@ a short record is its whole text, a blank one is linked with nothing.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.layout import small_batches
 from ..functions.shared import cut
 from .clusters import clustered
 from .splits import hash_split
@@ -45,9 +48,31 @@ def run_sets(df: DataFrame, key: str, text: str, size: int, words: bool) -> Data
 
 def _bands(sets: DataFrame, bands: int, rows: int) -> DataFrame:
     """key, band, h: the hash of each band of each signature."""
-    least = lambda k: F.array_min(F.transform("set", lambda x: F.xxhash64(x, F.lit(k))))
-    hashes = F.array(*[F.xxhash64(*[least(b * rows + r) for r in range(rows)]) for b in range(bands)])
-    return sets.select("key", F.posexplode(hashes).alias("band", "h"))
+    kind = dict(sets.dtypes)["key"]
+    salts = [int(x) for x in np.random.default_rng(1).integers(1, 1 << 63, bands * rows)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(1)
+            offsets = column.offsets.to_numpy().astype(np.int64)
+            held = column.values.to_numpy()[offsets[0] : offsets[-1]].view(np.uint64)
+            starts = (offsets - offsets[0])[:-1]  # no set is empty
+            if not len(starts):
+                continue
+            out = np.zeros((len(starts), bands), np.uint64)
+            for k, salt in enumerate(salts):
+                # a product with an odd number and a shift of its high bits, of well-spread hashes
+                x = (held ^ np.uint64(salt)) * np.uint64(salt | 1)
+                x ^= x >> np.uint64(32)
+                x *= np.uint64(0x9E3779B97F4A7C15)
+                b = k // rows
+                out[:, b] = (out[:, b] ^ np.minimum.reduceat(x, starts)) * np.uint64(0xBF58476D1CE4E5B9)
+                out[:, b] ^= out[:, b] >> np.uint64(31)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * bands), pa.array(out.view(np.int64).ravel()))], names=["key", "hashes"])
+
+    small_batches(sets.sparkSession)
+    signed = sets.where(F.size("set") > 0).select("key", "set").mapInArrow(run, f"key {kind}, hashes array<long>")
+    return signed.select("key", F.posexplode("hashes").alias("band", "h"))
 
 
 def candidates(sets: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

@@ -104,3 +104,14 @@ def test_empty(spark):
     assert similarity_split(none, "id", "seq", (0.6, 0.2, 0.2), 7).count() == 0
     lone = spark.createDataFrame([(1, None), (2, "")], "id long, seq string")
     assert sorted(r.cluster for r in similarity_split(lone, "id", "seq", (0.6, 0.2, 0.2), 7).collect()) == [1, 2]
+
+
+def test_signatures_are_worked_out_in_batches(spark):
+    """All hashes of a batch of sets are taken together, and a set has the same bands in whatever batch it is."""
+    from plumbline.operators.similarity import _bands
+
+    sets = spark.range(300).selectExpr("string(id) as key", "transform(sequence(1L, 1 + id % 7), i -> xxhash64(i)) as set")
+    bands = _bands(sets.repartition(3), 4, 2)
+    assert "MapInArrow" in bands._jdf.queryExecution().executedPlan().toString()
+    told = bands.selectExpr("band", "h", "int(key) % 7 as size").distinct().groupBy("size").count().collect()
+    assert bands.count() == 1200 and {r["count"] for r in told} == {4}
