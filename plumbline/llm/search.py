@@ -31,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, cut, map_batches, small_batches, table, texts_of, utf8, word_hashes
+from ..functions.layout import BATCH_ROWS
+from .common import cut, map_batches, small_batches, table, texts_of, utf8, word_hashes
 
 #: Bytes of text in a shard, postings in a block, results for an item.
 SHARD_BYTES, BLOCK, TOP = 12 << 20, 128, 20
