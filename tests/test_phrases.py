@@ -1,6 +1,7 @@
 """The phrase index against the pattern, and with very many terms."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,3 +71,32 @@ def test_no_terms(spark):
     for bad in ([], [" "], [None]):
         with pytest.raises(ValueError, match="terms must be given"):
             matched_by_index(df, ["k"], column(spark, bad))
+
+
+def test_spans_carry_no_text(spark, monkeypatch):
+    """What is exploded for the look-up is a term's first word and what follows it, not the sentence or its parts."""
+    from plumbline.operators import phrases
+
+    seen = []
+    found = phrases._looked_up
+
+    def looked_up(texts, *rest):
+        out = found(texts, *rest)
+        seen.append(out._jdf.queryExecution().optimizedPlan().toString())
+        return out
+
+    monkeypatch.setattr(phrases, "_looked_up", looked_up)
+    df = spark.createDataFrame([(1, "a pore and cells"), (2, "none " * 500)], "k long, text string")
+    for most in (1000, 3):  # places chosen by first words, and every word
+        monkeypatch.setattr(phrases, "FIRSTS", most)
+        assert [r.matched for r in matched_by_index(df, ["k"], column(spark, TERMS)).collect()] == [["cells", "pore"]]
+    assert all(re.search(r"Generate explode\(concat\(.*\), \[.*\], false, \[_s#\d+\]", plan) for plan in seen)
+    assert "IN (" in seen[0] or "INSET" in seen[0]
+    assert "INSET" not in seen[1]
+
+
+def test_ablation_of_repeated_keys(spark):
+    """Rows that share a key, or have none, stay rows of their own."""
+    rows = [(1, "A pore. Left."), (1, "Nothing. A cell."), (None, "A pore."), (None, "Other.")]
+    got = ablate_by_index(spark.createDataFrame(rows, "k long, text string"), "k", "text", column(spark, ["pore", "cell"]))
+    assert sorted((r.k or 0, r.kept, r.removed) for r in got.collect()) == [(0, [], ["A pore."]), (0, ["Other."], []), (1, ["Left."], ["A pore."]), (1, ["Nothing."], ["A cell."])]
