@@ -10,7 +10,8 @@ rank, and whether a state has an arc follows from the copies and cuts of lower r
 To encode, the automaton is made deterministic over bytes: a state of that machine is the set of (state, begun label)
 that a prefix leaves open, one of them being the state that the prefix itself reaches. Its table is filled in when it is
 read, one transition a byte, and the arcs that were taken are followed back from the end of the word; nothing is tried
-and given up. To decode, the labels of the arcs are put together.
+and given up. A prefix has one path, so a transition looks no further once it has found what the prefix reaches; arcs that were
+asked for are kept. To decode, the labels of the arcs are put together.
 
 Nulls count as empty texts; an empty text has no tokens. Rows with a null doc_id and repeated rows give a row each, an
 empty table gives none, and other columns are left behind, whatever their names. Texts may be of any length; equal texts
@@ -35,8 +36,9 @@ from .common import map_batches, table, texts_of
 TOKENIZER = "byte_bpe_50k.json"
 #: Fixed value: the published splitting pattern of this family of tokenizers.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces that a worker keeps, and transitions of its machine over bytes.
-MEMO, TRANSITIONS = 300_000, 150_000
+#: Pieces that a worker keeps, and transitions of its machine over bytes; arcs that it keeps.
+MEMO, TRANSITIONS = 1_000_000, 300_000
+ARCS = 500_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -48,6 +50,7 @@ def byte_letters() -> dict[str, int]:
 
 START = -1
 _NEVER = 1 << 60
+_NODE = (1 << 32) - 1
 
 
 class Automaton:
@@ -129,51 +132,77 @@ class TokenAutomaton(dict):
                     nodes += 1
                 node = below
             self.ends[node] = found
+        self.arcs: dict[int, bool] = {}
+        # of each state: the length of its label, and its id as it is stored
+        self.lengths = [len(self.labels[t]) for t in self.states.label]
+        self.codes = [t.to_bytes(4, "little") for t in self.states.label]
         self._restart()
 
     def _restart(self) -> None:
-        self.numbers: dict[tuple, int] = {((START, 0),): 0}
-        self.open: list[tuple] = [((START, 0),)]
-        self.table: dict[int, tuple[int, int]] = {}
+        # an open (state, begun label) is one number: the state plus 1 in the high half, the node in the low half
+        self.numbers: dict[tuple, int] = {(0,): 0}
+        self.open: list[tuple] = [(0,)]
+        # the next number in the high half, the state that is reached in the low half
+        self.table: dict[int, int] = {}
+
+    def _arc(self, state: int, to: int) -> bool:
+        """As ``states.has``; the answers are kept."""
+        if (got := self.arcs.get(state << 32 | to)) is None:
+            if len(self.arcs) >= ARCS:
+                self.arcs.clear()
+            got = self.arcs[state << 32 | to] = self.states.has(state, to)
+        return got
 
-    def _transition(self, at: int, byte: int) -> tuple[int, int]:
+    def _transition(self, at: int, byte: int) -> int:
         """The next state of the machine over bytes, and the state of the automaton that the prefix reaches there."""
-        found, reached = [], None
-        for state, node in self.open[at]:
-            if (below := self.begun.get(node << 8 | byte)) is None:
+        found, reached, begun, ends = [], None, self.begun, self.ends
+        for x in self.open[at]:
+            if (below := begun.get((x & _NODE) << 8 | byte)) is None:
                 continue
-            found.append((state, below))
-            for to in self.ends.get(below, ()):
-                if self.states.has(state, to):
-                    reached = to
+            found.append(x & ~_NODE | below)
+            if reached is None and (to := ends.get(below)) is not None:
+                state = (x >> 32) - 1
+                for y in to:
+                    if state == START or self._arc(state, y):
+                        reached = y
+                        break
         if reached is None:
             raise ValueError("no path: the vocabulary lacks single bytes")
-        key = (*found, (reached, 0))
+        found.append((reached + 1) << 32)
+        key = tuple(found)
         number = self.numbers.get(key)
         if number is None:
             number = self.numbers[key] = len(self.open)
             self.open.append(key)
-        got = self.table[at << 8 | byte] = (number, reached)
+        got = self.table[at << 8 | byte] = number << 32 | reached
         return got
 
-    def path(self, piece: bytes) -> list[int]:
-        """The labels along the path that spells ``piece``: one transition a byte, then the arcs back from the end."""
+    def trail(self, piece: bytes) -> list[int]:
+        """The states along the path that spells ``piece``: one transition a byte, then the arcs back from the end."""
         if len(self.table) > self.transitions:
             self._restart()
-        at, trail, table = 0, [], self.table
+        at, trail, known, more = 0, [], self.table.get, self._transition
         for byte in piece:
-            at, reached = table.get(at << 8 | byte) or self._transition(at, byte)
-            trail.append(reached)
-        out, i = [], len(piece)
+            if (got := known(at << 8 | byte)) is None:
+                got = more(at, byte)
+            at = got >> 32
+            trail.append(got)
+        out, i, lengths = [], len(piece), self.lengths
         while i:
-            out.append(self.states.label[trail[i - 1]])
-            i -= len(self.labels[out[-1]])
-        return out[::-1]
+            state = trail[i - 1] & _NODE
+            out.append(state)
+            i -= lengths[state]
+        out.reverse()
+        return out
+
+    def path(self, piece: bytes) -> list[int]:
+        """The labels along the path that spells ``piece``."""
+        return list(map(self.states.label.__getitem__, self.trail(piece)))
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= self.memo:
             self.clear()
-        got = np.array(self.path(piece.encode()), "<u4").tobytes()
+        got = b"".join(map(self.codes.__getitem__, self.trail(piece.encode())))
         if len(piece) <= 64:
             self[piece] = got
         return got

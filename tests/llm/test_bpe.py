@@ -122,3 +122,14 @@ def test_frame(spark, library):
     assert encode_digests(df.limit(0)).count() == 0
     odd = spark.createDataFrame([(None, "The thing", 0), (4, "The thing", 0), (4, "The thing", 0)], "doc_id long, text string, decoded_sha256 int")
     assert [r.ids_sha256 for r in encode_digests(odd).collect()] == [out[1].ids_sha256] * 3
+
+
+def test_arcs_are_asked_for_once(library, monkeypatch):
+    """What the automaton has said about an arc is kept when pieces and transitions are forgotten."""
+    own = TokenAutomaton({"model": {"vocab": {t: i for i, t in enumerate(["a", "b", "c", "ab", "bc", "abc"])}, "merges": [["a", "b"], ["b", "c"], ["ab", "c"]]}})
+    words = ["abcbcab", "bcabcc", "cabbc"]
+    want = [own[w] for w in words]
+    monkeypatch.setattr(own.states, "has", lambda *_: pytest.fail("asked again"))
+    own.clear()
+    own._restart()
+    assert [own[w] for w in words] == want
