@@ -88,13 +88,12 @@ def _words(rows: DataFrame, key: str) -> DataFrame:
 def windows(rows: DataFrame, key: str, size: int = WINDOW) -> DataFrame:
     """key, pos, hash of each window of ``size`` words of ``text``: those with LITERALS plain words by template, the others as written.
 
-    Windows are runs of zipped shifts of the word arrays, so that no text is put together for them.
+    Only places are exploded: a window reads its words where they are in the word arrays, so that no text and no array is put together for it.
     """
-    shifts = [f"slice({c}, {k + 1}, size({c}) - {size - 1}) as {c}{k}" for c in "tr" for k in range(size)]
-    shifted = _words(rows, key).where(F.size("t") >= size).selectExpr(key, *shifts)
-    flat = shifted.select(key, F.posexplode(F.arrays_zip(*[f"{c}{k}" for c in "tr" for k in range(size)])).alias("pos", "w"))
-    part = lambda c: F.xxhash64(F.lit(c), *[F.col(f"w.{c}{k}") for k in range(size)])
-    return flat.select(key, "pos", F.when(_literals([F.col(f"w.t{k}") for k in range(size)]) >= LITERALS, part("t")).otherwise(part("r")).alias("hash"))
+    flat = _words(rows, key).where(F.size("t") >= size).select(key, "t", "r", F.explode(F.sequence(F.lit(0), F.size("t") - size)).alias("pos"))
+    at = lambda c: [F.get(c, F.col("pos") + k) for k in range(size)]
+    part = lambda c: F.xxhash64(F.lit(c), *at(c))
+    return flat.select(key, "pos", F.when(_literals(at("t")) >= LITERALS, part("t")).otherwise(part("r")).alias("hash"))
 
 
 def short_windows(rows: DataFrame, key: str, sizes: list[int]) -> DataFrame:

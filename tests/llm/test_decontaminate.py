@@ -118,3 +118,12 @@ def test_telling_windows_lose_no_pair(spark):
     frame, asked = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     for share, run in ((0.5, 13), (1.0, 9), (0.2, 40)):
         assert {(r.doc_id, r.item_id) for r in D.leaks(frame, asked, share, run).collect()} == plain(share, run)
+
+
+def test_windows_put_no_arrays_together(spark):
+    """A window reads its words where they are; the long text gives each of its windows."""
+    made = rows(spark)
+    found = D.windows(made[0] if isinstance(made, tuple) else made, "doc_id")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "arrays_zip" not in plan and "slice(" not in plan
+    assert found.where("doc_id = 8").agg(F.count("*"), F.max("pos")).first()[:] == (20_000 - D.WINDOW + 1, 20_000 - D.WINDOW)
