@@ -181,11 +181,12 @@ def leaks(documents: DataFrame, benchmark: DataFrame, share: float = SHARE, run:
     held = held.select(key, "item_id", "item_pos", "size", "hash", (F.col("pos") - F.col("item_pos")).alias("shift"), "kinds", "item_words", "written", F.expr("slice(raw, pos + 1, size)").alias("words"))
     # a repeated key with other text does not fit its windows
     fits = F.expr("size(words) = size(item_words) and forall(sequence(0, size(kinds) - 1), i -> (startswith(kinds[i], '<') and not written) or item_words[i] = words[i])")
-    held = held.where(fits).withColumn("same_words", F.expr("words = item_words"))
+    # both are read several times: without a cut each reading plans, and plans again, all that stands before it
+    held = cut(held.where(fits).withColumn("same_words", F.expr("words = item_words")), "held")
     slots = held.select(key, "item_id", "shift", F.explode(F.arrays_zip("kinds", "item_words", "words")).alias("s")).where("startswith(s.kinds, '<')")
     values = slots.groupBy(key, "item_id", "shift", F.col("s.kinds").alias("kind"), F.col("s.item_words").alias("value")).agg(F.count_distinct("s.words").alias("n"), F.bool_and(F.expr("s.item_words = s.words")).alias("same"))
     aligned = values.groupBy(key, "item_id", "shift").agg(F.max("n").alias("most"), F.bool_and("same").alias("same"))
-    kept = held.select(key, "item_id", "item_pos", "size", "shift", "hash", "same_words").join(aligned, [key, "item_id", "shift"], "left").where("coalesce(most, 1) = 1")
+    kept = cut(held.select(key, "item_id", "item_pos", "size", "shift", "hash", "same_words").join(aligned, [key, "item_id", "shift"], "left").where("coalesce(most, 1) = 1"), "kept")
     verbatim = kept.groupBy(key, "item_id").agg(F.bool_and(F.coalesce("same", F.lit(True))).alias("verbatim"))
     written = kept.where("same_words").select(key, "item_id", "shift", "item_pos", "size").distinct()
     place = F.row_number().over(Window.partitionBy(key, "item_id", "shift").orderBy("item_pos"))

@@ -127,3 +127,10 @@ def test_windows_put_no_arrays_together(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "arrays_zip" not in plan and "slice(" not in plan
     assert found.where("doc_id = 8").agg(F.count("*"), F.max("pos")).first()[:] == (20_000 - D.WINDOW + 1, 20_000 - D.WINDOW)
+
+
+def test_the_last_plan_is_short(spark):
+    """What is read several times is written before: a plan that repeats it took hundreds of MB of the driver while it was planned again and again."""
+    docs, items = rows(spark)
+    plan = D.leaks(docs, items)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 8 and len(plan) < 20_000
