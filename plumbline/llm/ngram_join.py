@@ -2,7 +2,8 @@
 
 1. Each text becomes its set of word shingles (64-bit hashes). Equal sets are one class, which its smallest doc_id stands for.
 2. A global order puts shingles that are frequent in the corpus last. Their frequencies come from a count sketch of
-   fixed size over all texts; any order gives the same links, a good one gives fewer candidates.
+   fixed size over all texts, in which a frequent shingle stands out of what its cell holds by chance, however large the
+   corpus is; any order gives the same links, a good one gives fewer candidates.
 3. Two sets with Jaccard similarity t share a shingle among the first ``n - ceil(t n) + 1`` of each. Those prefixes are
    dealt out by shingle. In a group of up to ``GROUP`` sets all pairs are counted, and a pair stays if the shared part
    of its prefixes allows the overlap it needs. Larger groups are chained in order of size instead, which keeps all of
@@ -10,6 +11,7 @@
 4. Clusters of candidates are cut into blocks. For each block, and each pair of blocks of a large cluster, the sets
    stand in a trie in global order, frequent shingles first; a probe walks it with partial overlaps that branches share,
    and leaves a subtree once the remaining lengths cannot reach the needed overlap, or all of it is linked already.
+   Texts are dealt to pairs of blocks in rounds, so that no more copies than ``COPIES`` times the texts lie on disk.
 5. Links become components by alternating star contraction on Spark.
 
 Links are exact for 64-bit hashes of shingles. Null or wordless texts have an empty set, are linked with nothing and are their own component. Rows
@@ -22,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +40,10 @@ BLOCK = 256
 #: Tokens that are dealt to many tasks: so many at most, with so many prefixes of one in HOT_SAMPLED sets.
 HOT, HOT_LEAST, HOT_SAMPLED = 512, 64, 64
 SKETCH_BITS, SKETCH_PARTS = 22, 64
+#: Standard deviations of the chance sum of a cell by which the cell of a frequent shingle exceeds the mean.
+STANDS_OUT = 4
+#: Copies of texts that a round of pairs of blocks deals out, for each text of the corpus.
+COPIES = 1
 _KEY = np.uint64((1 << 60) - 1)
 
 
@@ -47,8 +54,19 @@ def sets_of(column: pa.Array, words: int = WORDS) -> list[np.ndarray]:
     return [np.unique(shingle_hashes(hashes[a:b], words)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
+def frequency_classes(cells: np.ndarray) -> np.ndarray:
+    """How far the sum of each cell exceeds the mean, as a class of 4 bits: 0 up to what chance explains, then by powers of two.
+
+    The mean grows with the corpus, and so do the sums of frequent shingles; chance grows with its root only. Measured by
+    the mean itself, shingles of hundreds of sets would pass for rare ones in a large corpus.
+    """
+    mean = cells.mean()
+    least = max(2.0, STANDS_OUT * mean**0.5)
+    return np.clip(np.floor(np.log2(np.maximum((cells - mean) / least, 0.5))) + 1, 0, 15).astype(np.uint8)
+
+
 def frequencies(docs: DataFrame, words: int = WORDS) -> np.ndarray:
-    """How many sets hold the shingles of each of 2**SKETCH_BITS cells, as a class of 4 bits: 0 up to twice the mean, then by powers of two."""
+    """The class of :func:`frequency_classes` of each of 2**SKETCH_BITS cells, which count the sets that hold their shingles."""
     size, part = 1 << SKETCH_BITS, 1 << SKETCH_BITS >> SKETCH_PARTS.bit_length() - 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,8 +91,7 @@ def frequencies(docs: DataFrame, words: int = WORDS) -> np.ndarray:
     cells = np.zeros((SKETCH_PARTS, part), np.int64)
     for r in parts.toLocalIterator():  # SKETCH_PARTS rows
         cells[r.part] = np.frombuffer(zlib.decompress(bytes(r.cells)), np.int64)
-    cells = cells.reshape(-1)
-    return np.clip(np.floor(np.log2(np.maximum(cells / max(2.0, 2 * cells.mean()), 0.5))) + 1, 0, 15).astype(np.uint8)
+    return frequency_classes(cells.reshape(-1))
 
 
 def _ranked(s: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -337,12 +354,26 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int = WORDS, percent: int
     sizes = clusters.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     placed = clusters.join(sizes, "root").select(F.col("node").alias("doc_id"), F.col("root").alias("cluster"), "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("block"))
     placed = cut(placed, "placed")
-    near = may_hold(docs, "doc_id", placed.select("doc_id")).join(placed, "doc_id")
-    spread = near.select("cluster", "block", "doc_id", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    spread = spread.select("cluster", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "doc_id", "text")
-    dealt = spread.repartition("cluster", "p", "q").sortWithinPartitions("cluster", "p", "q", "doc_id")
+    near = may_hold(docs, "doc_id", placed.select("doc_id"))
+    spread = placed.select("cluster", "block", "doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    spread = spread.select("cluster", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "doc_id")
+    rounds = _rounds(placed.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0], docs)
     small_batches(docs.sparkSession)
-    return dealt.mapInArrow(lambda batches: _verify(batches, words, percent), "a long, b long")
+
+    def links(of_round: DataFrame) -> DataFrame:
+        texts = near.join(of_round, "doc_id").select("cluster", "p", "q", "block", "doc_id", "text")
+        dealt = texts.repartition("cluster", "p", "q").sortWithinPartitions("cluster", "p", "q", "doc_id")
+        return dealt.mapInArrow(lambda batches: _verify(batches, words, percent), "a long, b long")
+
+    if rounds == 1:
+        return links(spread)
+    at = F.pmod(F.xxhash64("cluster", "p", "q"), F.lit(rounds))
+    return reduce(DataFrame.unionByName, [cut(links(spread.where(at == k)), "links") for k in range(rounds)])  # what a round has shuffled goes with it
+
+
+def _rounds(copies: int, docs: DataFrame) -> int:
+    """In how many parts the pairs of blocks are worked off, so that each deals out COPIES copies for each text at most."""
+    return max(1, -(-copies // max(1, COPIES * docs.count()))) if copies else 1
 
 
 def _components(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -130,3 +130,49 @@ def test_trie_links():
             return comp
 
         assert parts(links) == parts(want)
+
+
+def test_common_phrases_of_a_large_corpus_come_last():
+    """With hundreds of shingles to a cell, those of a few hundredths of the sets stand out of their cells, others do not."""
+    rng = np.random.default_rng(7)
+    cells = rng.poisson(330, 1 << 16)
+    common = rng.choice(1 << 16, 500, replace=False)
+    cells[common] += 200
+    classes = J.frequency_classes(cells)
+    assert (classes[common] > 0).mean() > 0.99
+    assert (np.delete(classes, common) > 0).mean() < 0.001
+    assert J.frequency_classes(cells + 10_000 * (np.arange(1 << 16) == common[0]))[common[0]] > classes[common].max()
+
+
+def test_common_phrases_chain_no_candidates(monkeypatch):
+    """Texts that share a line with a hundred others, and nothing more, are in no group that is chained."""
+    monkeypatch.setattr(J, "SKETCH_BITS", 11)
+    monkeypatch.setattr(J, "GROUP", 16)
+    rng = np.random.default_rng(3)
+    shingles = lambda k: rng.integers(0, 1 << 64, k, np.uint64)
+    lines = [shingles(8) for _ in range(30)]
+    sets = [np.unique(np.concatenate([shingles(100), lines[i % 30]])) for i in range(3000)]
+    cells = np.zeros(1 << 11, np.int64)
+    for s in sets:
+        np.add.at(cells, (s >> np.uint64(53)).astype(np.int64), 1)
+    classes = J.frequency_classes(cells)
+    rows = sorted((int(t), len(s), i) for i, s in enumerate(sets) for t in J._ranked(s, classes)[: J._prefix(len(s), 80)].view(np.int64))
+    token, n, doc = (pa.array(c, pa.int64()) for c in zip(*rows, strict=True))
+    chained = [x for b in J._pairs(iter([pa.RecordBatch.from_arrays([token, doc, n], names=["token", "doc", "n"])]), 80) for x in b.to_pylist() if x["need"] == 0]
+    assert not chained
+
+
+def test_pairs_of_blocks_in_rounds(spark, monkeypatch):
+    """One cluster of many blocks: each round deals out a bounded number of copies, and all rounds together find what is linked."""
+    monkeypatch.setattr(J, "BLOCK", 4)
+    rows = corpus(6)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    ids = [i for i, t in rows if (t or "").split()]
+    pairs = spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "a long, b long")
+    dealt = []
+    monkeypatch.setattr(J, "cut", lambda t, label="cut", f=J.cut: (dealt.append(label), f(t, label))[1])
+    links = J.components(J.verified(J.texts_of(df), pairs))
+    found = {r.node: r.root for r in links.collect()}
+    copies = len(ids) * -(-len(ids) // 4)
+    assert dealt.count("links") == -(-copies // len(rows)) > 5
+    assert {i: found.get(i, i) for i, _ in rows} == {i: c for i, (_, c) in brute(rows).items()}
