@@ -2,10 +2,11 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators.similarity import candidates, run_sets, similar_links, similarity_split
+from plumbline.operators.similarity import _meetings, candidates, run_sets, similar_links, similarity_split
 
 
 def brute(rows, size, threshold, words):
@@ -115,3 +116,34 @@ def test_signatures_are_worked_out_in_batches(spark):
     assert "MapInArrow" in bands._jdf.queryExecution().executedPlan().toString()
     told = bands.selectExpr("band", "h", "int(key) % 7 as size").distinct().groupBy("size").count().collect()
     assert bands.count() == 1200 and {r["count"] for r in told} == {4}
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.8])
+def test_what_the_buckets_leave_apart_is_linked(spark, threshold):
+    """With signatures that hardly ever meet, what is connected is still exactly what all similar pairs connect."""
+    rng = random.Random(23)
+    rows = [(k, " ".join(t)) for k, t in families(rng, 50)]
+    base = [f"w{i}" for i in range(40)]
+    rows += [(2000 + k, " ".join(base[:36] + [f"x{k}", f"y{k}"])) for k in range(150)]  # a frequent line that makes up most of a text
+    rows += [(3000, None), (3001, " "), (3002, "one two"), (3003, "one two"), (3004, "one"), (3005, "one two three four five"), (3006, "a b c d e f g h i"), (3007, "b c d e f g h i"), (3008, "b c d e f g h i j")]
+    df = spark.createDataFrame(rows, "id long, seq string").repartition(3)
+    want, keys = brute(rows, 5, threshold, True), [k for k, _ in rows]
+    got = {(r.a, r.b): r.similarity for r in similar_links(df, "id", "seq", 5, threshold, True, bands=1, rows=12).collect()}
+    assert all(want[p] == pytest.approx(s) for p, s in got.items())
+    assert roots(keys, got) == roots(keys, want)
+    named = spark.createDataFrame([(f"k{k:05}", t) for k, t in rows], "id string, seq string")
+    got = {(int(r.a[1:]), int(r.b[1:])) for r in similar_links(named, "id", "seq", 5, threshold, True, bands=1, rows=12).collect()}
+    assert roots(keys, got) == roots(keys, want)
+
+
+def test_rows_of_a_run_in_many_batches():
+    """The pairs of a run are the same however its rows are cut into batches, and those of one cluster are none."""
+    rng = random.Random(2)
+    rows = sorted((token, rng.randint(40, 60), k, rng.choice([k, -1]), rng.randint(0, 5)) for token in range(-9, 9) for k in range(rng.choice([1, 2, 9, 120])))
+    found = []
+    for size in (5, 64, 5000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[k : k + size], strict=True)], names=["run", "n", "key", "cluster", "at"]) for k in range(0, len(rows), size)]
+        found.append(sorted(tuple(x.values()) for b in _meetings(iter(batches), 0.8) for x in b.to_pylist()))
+    assert found[0] == found[1] == found[2] and len(found[0]) > 1000
+    whole = [tuple(x.values()) for b in _meetings(iter([pa.RecordBatch.from_arrays([pa.array([r[k] if k != 3 else 0 for r in rows], pa.int64()) for k in range(5)], names=["run", "n", "key", "cluster", "at"])]), 0.8) for x in b.to_pylist()]
+    assert whole == []
